@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from functools import cached_property
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -74,8 +75,6 @@ class ChunkEncoder:
 
     def _ids(self, chunk: str, lead: str = "") -> bytes:
         """Ids of a chunk that follows ``lead``."""
-        if self.drops_space:
-            lead = ""
         if self._mark in chunk or not (chunk.isascii() and chunk.isprintable() or _PLAIN.fullmatch(chunk)):
             return self.whole(lead + chunk).tobytes()
         if self.drops_space:
@@ -97,6 +96,39 @@ class ChunkEncoder:
             else:
                 self._chunks[c] = None if not c or c[0].isspace() or c[-1].isspace() else self._ids(c, " ")
 
+    def split(self, text: str) -> list[str] | None:
+        """Chunks of a text, their spaces included, at boundaries the pre-tokenizer keeps; None: only the whole text will do."""
+        if self.drops_space:
+            return text.replace("\n", " ").split(" ")
+        head, *rest = text.split(" ")
+        if head[-1:].isspace() or any(not c or c[0].isspace() or c[-1].isspace() for c in rest):
+            return None
+        return [head, *[" " + c for c in rest]]
+
+    def pre_tokens(self, chunk: str) -> list[str]:
+        """The pre-tokens of a chunk; one that the pattern here is not sure to cut as the library does stays whole."""
+        if self._mark in chunk or not (chunk.isascii() and chunk.isprintable() or _PLAIN.fullmatch(chunk)):
+            return [chunk]
+        return self._cut(chunk.lower() if self.drops_space else chunk)
+
+    @cached_property
+    def vocabulary(self) -> frozenset[str]:
+        """Pre-tokens that the library gives one id: entries of the vocabulary that it reaches by its merges."""
+        text_of = {c: b for b, c in self._bytes.items()}
+        found = []
+        for entry in self.tokenizer.get_vocab(with_added_tokens=False):
+            try:
+                text = bytes(text_of[c] for c in entry).decode()
+            except (KeyError, UnicodeDecodeError):
+                continue
+            if self._mark not in text and _PLAIN.fullmatch(text) and self._cut(text) == [text] and len(self._model.tokenize(entry)) == 1:
+                found.append(text)
+        return frozenset(found)
+
+    def pieces(self, pre_token: str) -> int:
+        """How many ids the library gives a pre-token."""
+        return len(self._ids(pre_token)) // 4
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if self.drops_space:

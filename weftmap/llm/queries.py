@@ -31,8 +31,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_packing, op5_token_files)}
+    return {f.__name__: f for f in (op4_packing, op5_token_files, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
