@@ -19,6 +19,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_dedup import simhash_groups
+
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -38,7 +44,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_packing, op5_token_files, op8_token_counts)}
+    return {f.__name__: f for f in (op2_simhash, op4_packing, op5_token_files, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
