@@ -19,6 +19,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import embedding_groups
+
+    return embedding_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_dedup import simhash_groups
 
@@ -62,7 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash, op3_personal_data, op4_packing, op5_token_files, op6_decontamination, op8_token_counts, op10_quality)}
+    return {f.__name__: f for f in (op1_embeddings, op2_simhash, op3_personal_data, op4_packing, op5_token_files, op6_decontamination, op8_token_counts, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
