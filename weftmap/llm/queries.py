@@ -61,6 +61,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import lm_scores
+
+    return lm_scores(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_scores
 
@@ -68,7 +74,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_embeddings, op2_simhash, op3_personal_data, op4_packing, op5_token_files, op6_decontamination, op8_token_counts, op10_quality)}
+    return {f.__name__: f for f in (op1_embeddings, op2_simhash, op3_personal_data, op4_packing, op5_token_files, op6_decontamination, op8_token_counts, op9_lm_score, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
