@@ -55,6 +55,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -74,7 +80,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_embeddings, op2_simhash, op3_personal_data, op4_packing, op5_token_files, op6_decontamination, op8_token_counts, op9_lm_score, op10_quality)}
+    return {f.__name__: f for f in (op1_embeddings, op2_simhash, op3_personal_data, op4_packing, op5_token_files, op6_decontamination, op7_license_scan, op8_token_counts, op9_lm_score, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
