@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import overlapping
 from ..plans.genome import PIXEL_KEYS
+from ..sources.scratch import checkpointed
 from .query import off_diagonal
 
 #: 8 bytes each: 64 MB at most are broadcast.
@@ -191,8 +192,8 @@ def balance(
 def balance_steps(pixels: DataFrame, bins: DataFrame, iterations: int, *, kind: str = "all", ignore_diags: int = 2, value: str = "count") -> DataFrame:
     """(bin_id, bias) after a number of unfiltered iterations, wholly as joins and aggregates: the form for bins too many to broadcast.
 
-    ``kind``: ``all``, ``cis`` (each sequence apart) or ``trans``. One plan per call grows with the iterations; write the result
-    and go on from it where many are needed.
+    ``kind``: ``all``, ``cis`` (each sequence apart) or ``trans``. The pixels, and each iteration's marginals and biases, are
+    checkpointed, so that plans do not grow.
     """
     spread = bins.select("bin_id", "chrom_id")
     rows = pixels.where(F.abs(F.col("bin1_id") - F.col("bin2_id")) >= ignore_diags).select(*PIXEL_KEYS, F.col(value).alias("v"))
@@ -200,6 +201,7 @@ def balance_steps(pixels: DataFrame, bins: DataFrame, iterations: int, *, kind:
     rows = rows.join(side["1"], "bin1_id").join(side["2"], "bin2_id")
     if kind != "all":
         rows = rows.where((F.col("c1") == F.col("c2")) if kind == "cis" else (F.col("c1") != F.col("c2")))
+    rows = checkpointed(rows.select(*PIXEL_KEYS, "v"))
     group = ["chrom_id"] if kind == "cis" else []
     if kind == "trans":
         total = bins.count()
@@ -211,10 +213,10 @@ def balance_steps(pixels: DataFrame, bins: DataFrame, iterations: int, *, kind:
         w = now.select("bin_id", (F.col("bias") * F.col("cw")).alias("w"))
         product = rows.join(w.select(F.col("bin_id").alias("bin1_id"), F.col("w").alias("w1")), "bin1_id").join(w.select(F.col("bin_id").alias("bin2_id"), F.col("w").alias("w2")), "bin2_id")
         ends = product.select(F.explode(F.array(*PIXEL_KEYS)).alias("bin_id"), (F.col("v") * F.col("w1") * F.col("w2")).alias("m"))
-        marg = now.join(ends.groupBy("bin_id").agg(F.sum("m").alias("m")), "bin_id", "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
+        marg = checkpointed(now.join(ends.groupBy("bin_id").agg(F.sum("m").alias("m")), "bin_id", "left").withColumn("m", F.coalesce("m", F.lit(0.0))))
         mean = marg.where("m <> 0").groupBy(*group).agg(F.avg("m").alias("mu"))
         joined = marg.join(mean, group) if group else marg.crossJoin(mean)  # one row
-        now = joined.select("bin_id", "chrom_id", (F.col("bias") / F.coalesce(F.nullif(F.col("m") / F.col("mu"), F.lit(0.0)), F.lit(1.0))).alias("bias"), "cw")
+        now = checkpointed(joined.select("bin_id", "chrom_id", (F.col("bias") / F.coalesce(F.nullif(F.col("m") / F.col("mu"), F.lit(0.0)), F.lit(1.0))).alias("bias"), "cw"))
     return now.select("bin_id", "bias")
 
 
