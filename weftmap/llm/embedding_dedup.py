@@ -34,6 +34,8 @@ COUNT = 2
 #: Share of pairs at the limit that may be missed, by calibration.
 MISS = 1e-4
 MAX_FAMILIES = 64
+#: Shorter vectors are filled up with zeros, which changes no cosine.
+LEAST_DIM = 4
 #: Windows reach this many standard deviations of the difference of a pair at the limit.
 WINDOW_SIGMAS = 4.0
 #: Projections are kept as integers of this step; GUARD keeps the windows of neighbouring line numbers apart.
@@ -51,7 +53,7 @@ def _rotations(dim: int, families: int, arity: int) -> np.ndarray:
 
 def _taken(x: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The LINES lines of one family on which unit vectors project farthest out: numbers and projections."""
-    dim, few = x.shape[1], min(x.shape[1], 4)
+    dim, few = x.shape[1], LEAST_DIM
     line = np.zeros((len(x), 1), dtype=np.int64)
     value = np.zeros((len(x), 1))
     for r in rotation:
@@ -78,8 +80,6 @@ def window_of(dim: int, cosine: float) -> int:
 @lru_cache(maxsize=8)
 def calibrate(dim: int, cosine: float, arity: int, simulated: int = 2000) -> int:
     """Families needed so that pairs at the limit meet in COUNT of them, but for a share of MISS."""
-    if dim == 1:
-        return COUNT
     rng = np.random.default_rng(7)
     x = rng.normal(size=(simulated, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -124,14 +124,14 @@ def _on_lines(n: int, cosine: float):
                 batch = whole.slice(lo, 2000)
                 node, mult = batch.column("node").to_numpy(), batch.column("mult").to_numpy()
                 for rows, raw in _vectors(pa.concat_arrays([batch.column("e")])):
-                    dim = raw.shape[1]
-                    arity = _arity(n, dim)
-                    families = calibrate(dim, cosine, arity)
-                    x = raw.astype(np.float64)
+                    dim, space = raw.shape[1], max(raw.shape[1], LEAST_DIM)
+                    arity = _arity(n, space)
+                    families = calibrate(space, cosine, arity)
+                    x = np.pad(raw.astype(np.float64), ((0, 0), (0, space - dim)))
                     x /= np.abs(x).max(axis=1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    codes = np.concatenate([_coded(*_taken(x, r)) for r in _rotations(dim, families, arity)], axis=1)
-                    small = arity * (2 * dim - 1).bit_length() + VALUE_BITS <= 32
+                    codes = np.concatenate([_coded(*_taken(x, r)) for r in _rotations(space, families, arity)], axis=1)
+                    small = arity * (2 * space - 1).bit_length() + VALUE_BITS <= 32
                     codes_data = np.ascontiguousarray(codes.astype("<u4" if small else "<u8"))
                     codes_col = pa.array([c.tobytes() for c in codes_data], pa.binary())
                     raw_col = pa.array([v.tobytes() for v in np.ascontiguousarray(raw)], pa.binary())
@@ -166,18 +166,19 @@ def _verified(n: int, cosine: float, vec_type: str):
         use = np.flatnonzero(count)
         lo, hi = int(use[0]), int((first + count)[use].max())
         table, first, count = table.slice(lo, hi - lo), first[lo:hi] - lo, count[lo:hi]
-        arity = _arity(n, dim)
-        families = calibrate(dim, cosine, arity)
+        space = max(dim, LEAST_DIM)
+        arity = _arity(n, space)
+        families = calibrate(space, cosine, arity)
         own = np.flatnonzero(table.column("dim").to_numpy() == dim)
         place = np.zeros(len(table), dtype=np.int64)
         place[own] = np.arange(len(own))
         part = table.take(own)
-        small = arity * (2 * dim - 1).bit_length() + VALUE_BITS <= 32
+        small = arity * (2 * space - 1).bit_length() + VALUE_BITS <= 32
         codes = _matrix(part.column("codes"), np.dtype("<u4" if small else "<u8")).astype(np.int64)
         vec = _matrix(part.column("vec"), np.dtype(vec_type))
         node, mult, key = (part.column(c).to_numpy() for c in ("node", "mult", "key"))
         family, line = (key >> 41) % MAX_FAMILIES, key & ((1 << 41) - 1)
-        w = window_of(dim, cosine)
+        w = window_of(space, cosine)
         links: dict[str, list[np.ndarray]] = {"a": [], "b": []}
         for a, b in pairs(first, count):
             a, b = place[a], place[b]
