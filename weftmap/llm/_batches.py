@@ -22,6 +22,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES, rows: int
         held += n
     if len(sizes) > lo:
         yield batch.slice(lo)
+    pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, text: str) -> list[str]:

@@ -22,7 +22,7 @@ from functools import cached_property
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct strings remembered by one worker; past this only those of the latest texts are kept.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 
 #: Characters whose case, composition and letter class are the same in every Unicode version.
 _PLAIN = re.compile(r"[\t\n\r -~\u00a1-\u00ac\u00ae-\u012f\u0132-\u017e]*")
