@@ -15,7 +15,8 @@ from .operators import balance as BL
 from .operators import ingest as I
 from .operators import query as Q
 from .operators import reduce as R
-from .plans.genome import Genome
+from .plans.genome import Genome, small_table
+from .sources.scratch import checkpointed
 
 BINSIZE, NCHROMS = 7, 5
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +81,7 @@ def weighted_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blacklist(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("chr1", 20, 40), ("chr3", 0, 7), ("chr4", 33, 34)], "chrom string, start long, end long")
+    return small_table(spark, [("chr1", 20, 40), ("chr3", 0, 7), ("chr4", 33, 34)], "chrom string, start long, end long")
 
 
 _PRE = """
@@ -359,7 +360,7 @@ def mad_max_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = fixed_bins(spark, sf_dir)
     marg = bins.join(BL.marginals(Q.off_diagonal(pixels(spark, sf_dir), 2)), "bin_id", "left").select("bin_id", "chrom_id", F.coalesce("total", F.lit(0)).alias("m"))
     middle = marg.where("m > 0").groupBy("chrom_id").agg(F.median("m").alias("md"))
-    relative = marg.join(middle, "chrom_id", "left").select("bin_id", (F.col("m") / F.col("md")).alias("r"))
+    relative = checkpointed(marg.join(middle, "chrom_id", "left").select("bin_id", (F.col("m") / F.col("md")).alias("r")))  # a row a bin, used three times
     center, spread = B.median_and_mad(relative.where("r > 0").select(F.log("r").alias("l")), "l")
     return relative.where(F.col("r") < F.exp(F.lit(center - 5 * spread))).select("bin_id")
 
@@ -443,7 +444,7 @@ def coarsen_bins_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def zoomify_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = pixels(spark, sf_dir).select("bin1_id", "bin2_id", "count")
-    levels = R.zoomify({BINSIZE: (fixed_bins(spark, sf_dir), base)}, [14, 28, 42])
+    levels = R.zoomify({BINSIZE: (fixed_bins(spark, sf_dir), base)}, [14, 28, 42], keep=lambda _, level: (level[0], checkpointed(level[1])))
     parts = [px.select(F.lit(r).alias("resolution"), "bin1_id", "bin2_id", "count") for r, (_, px) in levels.items()]
     out = parts[0]
     for p in parts[1:]:

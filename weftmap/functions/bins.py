@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.genome import BINS, Genome
+from ..plans.genome import BINS, Genome, small_table
 
 #: Recognition sites (IUPAC codes) and the cut's place in them.
 ENZYMES = {
@@ -24,7 +24,7 @@ def binnify(spark: SparkSession, genome: Genome, binsize: int) -> DataFrame:
         raise ValueError("the bin size must be positive")
     offsets = genome.fixed_offsets(binsize)
     rows = [(i, n, x, offsets[i], offsets[i + 1] - offsets[i]) for i, (n, x) in enumerate(genome.sizes) if x > 0]
-    chroms = spark.createDataFrame(rows, "chrom_id int, chrom string, length long, first long, n long")
+    chroms = small_table(spark, rows, "chrom_id int, chrom string, length long, first long, n long")
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")
     start = F.col("k") * binsize
     return chroms.select("*", k).select((F.col("first") + F.col("k")).alias("bin_id"), "chrom_id", "chrom", start.alias("start"), F.least(start + binsize, F.col("length")).alias("end"))
@@ -41,7 +41,7 @@ def bins_from_edges(edges: DataFrame, genome: Genome) -> DataFrame:
         offsets.append((i, first))
         first += counts.get(i, 0)
     place = F.row_number().over(Window.partitionBy("chrom_id").orderBy("start", "end")) - 1
-    numbered = rows.withColumn("_k", place).join(spark.createDataFrame(offsets, "chrom_id int, _first long"), "chrom_id")
+    numbered = rows.withColumn("_k", place).join(small_table(spark, offsets, "chrom_id int, _first long"), "chrom_id")
     return numbered.select((F.col("_first") + F.col("_k")).cast("long").alias("bin_id"), *(f.name for f in BINS.fields[1:]))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.genome import PIXEL_KEYS, Genome
+from ..plans.genome import PIXEL_KEYS, Genome, small_table
 
 #: Spark's form of the usual names of aggregate functions. NaN counts as missing, as does null.
 _AGGREGATES: dict[str, Callable[[Column], Column]] = {
@@ -75,8 +75,7 @@ def _checked(rows: DataFrame, bad: Column, what: str, eager: bool) -> DataFrame:
 
 def assign_fixed(rows: DataFrame, genome: Genome, binsize: int, chrom_id: str, pos: str, out: str) -> DataFrame:
     """``out``: the fixed bin of a position; arithmetic on the sequence's first bin, a table of the genome's size."""
-    first = rows.sparkSession.createDataFrame(list(enumerate(genome.fixed_offsets(binsize)[:-1])), "_ci int, _first long")
-    # (_ci, _first) is the genome's metadata: small, but Spark checks its size before broadcasting it.
+    first = small_table(rows.sparkSession, list(enumerate(genome.fixed_offsets(binsize)[:-1])), "_ci int, _first long")
     return rows.join(first, rows[chrom_id] == first["_ci"]).withColumn(out, F.col("_first") + F.floor(F.col(pos) / binsize)).drop("_ci", "_first")
 
 
@@ -123,7 +122,7 @@ def sanitize_records(
     s1, s2 = suffixes
     c1, c2, a1, a2 = chrom + s1, chrom + s2, anchor + s1, anchor + s2
     rows = records
-    known = spark.createDataFrame([(n, i, x) for i, (n, x) in enumerate(genome.sizes)], "_name string, _id int, _len long")
+    known = small_table(spark, [(n, i, x) for i, (n, x) in enumerate(genome.sizes)], "_name string, _id int, _len long")
     for c, side in ((c1, "1"), (c2, "2")):
         k = known.select(F.col("_name").alias(f"_name{side}"), F.col("_id").alias(f"_id{side}"), F.col("_len").alias(f"_len{side}"))
         rows = rows.join(k, rows[c] == (k[f"_name{side}"] if decode_chroms else k[f"_id{side}"])).drop(f"_name{side}")
@@ -232,7 +231,7 @@ def pixels_from_blocks(blocks: Mapping[tuple[str, str], DataFrame], offsets: Map
 def sort_pairs(records: DataFrame, genome: Genome, *, by: str = "blocks", flip_only: bool = False, sided: Sequence[str] = ()) -> DataFrame:
     """Records of known sequences with mates in upper-triangular order of the enumeration, sorted by names as text:
     ``blocks``: chrom1, chrom2, pos1, pos2; ``positions``: chrom1, pos1, chrom2, pos2."""
-    ids = records.sparkSession.createDataFrame(list(genome.ids.items()), "_n string, _i int")
+    ids = small_table(records.sparkSession, list(genome.ids.items()), "_n string, _i int")
     rows = records.join(ids.select(F.col("_n").alias("_n1"), F.col("_i").alias("_i1")), F.col("chrom1") == F.col("_n1")).join(ids.select(F.col("_n").alias("_n2"), F.col("_i").alias("_i2")), F.col("chrom2") == F.col("_n2"))
     lower = (F.col("_i1") > F.col("_i2")) | ((F.col("_i1") == F.col("_i2")) & (F.col("pos1") > F.col("pos2")))
     rows = swap_where(rows, lower, [("chrom1", "chrom2"), ("pos1", "pos2"), *((f + "1", f + "2") for f in sided)]).drop("_n1", "_n2", "_i1", "_i2")

@@ -37,19 +37,21 @@ def box(pixels: DataFrame, bounds: Box) -> DataFrame:
     return pixels.where(_inside(*PIXEL_KEYS, bounds))
 
 
-def mirrored(pixels: DataFrame) -> DataFrame:
-    """Off-diagonal pixels with rows and columns exchanged."""
-    b1, b2 = PIXEL_KEYS
-    return pixels.where(F.col(b1) != F.col(b2)).select(*(F.col({b1: b2, b2: b1}.get(c, c)).alias(c) for c in pixels.columns))
-
-
 def fill_lower(pixels: DataFrame, bounds: Box) -> DataFrame:
-    """The box of the symmetric matrix whose upper triangle is stored: pixels in the box and mirror images that fall in it."""
+    """The box of the symmetric matrix whose upper triangle is stored: pixels in the box and mirror images that fall in it.
+
+    One scan gives both: a pixel is kept once for itself and once for its image, as far as they lie in the box.
+    """
+    b1, b2 = PIXEL_KEYS
     i0, i1, j0, j1 = bounds
-    upper = box(pixels, bounds)
-    if i1 <= j0 and i0 <= i1:  # wholly above the diagonal: no image falls in it
-        return upper
-    return upper.unionByName(mirrored(pixels.where(_inside(PIXEL_KEYS[1], PIXEL_KEYS[0], bounds))))
+    upper = _inside(b1, b2, bounds)
+    if i0 <= i1 <= j0:  # wholly above the diagonal: no image falls in it
+        return pixels.where(upper)
+    image = (F.col(b1) != F.col(b2)) & _inside(b2, b1, bounds)
+    sides = F.filter(F.array(F.when(upper, F.lit(False)), F.when(image, F.lit(True))), lambda x: x.isNotNull())
+    rows = pixels.where(upper | image).withColumn("_image", F.explode(sides))
+    turned = {b1: b2, b2: b1}
+    return rows.select(*(F.when(F.col("_image"), F.col(turned[c])).otherwise(F.col(c)).alias(c) if c in turned else F.col(c) for c in pixels.columns))
 
 
 def cis(pixels: DataFrame, bins: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import binsize_of, chromsizes_of
-from ..plans.genome import PIXEL_KEYS
+from ..plans.genome import PIXEL_KEYS, small_table
 from ..plans.resolutions import predecessors, quad_tile_depth
 from .ingest import aggregate
 
@@ -58,7 +58,7 @@ def coarse_id(bins: DataFrame, factor: int) -> DataFrame:
     for r in sorted(per, key=lambda r: r["_first"]):
         rows.append((r["chrom_id"], r["_first"], first))
         first += -(-r["_n"] // factor)
-    offsets = bins.sparkSession.createDataFrame(rows, "chrom_id int, _old long, _new long")
+    offsets = small_table(bins.sparkSession, rows, "chrom_id int, _old long, _new long")
     return bins.join(offsets, "chrom_id").select("bin_id", (F.col("_new") + F.floor((F.col("bin_id") - F.col("_old")) / factor)).alias("new_id"))
 
 

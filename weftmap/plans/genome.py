@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -18,6 +18,16 @@ BINS = T.StructType(
 PIXEL_KEYS = ("bin1_id", "bin2_id")
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """Metadata of the driver as a frame whose size Spark knows, so that its joins are planned by that size."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds))
+
+
 @dataclass(frozen=True)
 class Genome:
     """Names and lengths in enumeration order."""
@@ -41,7 +51,7 @@ class Genome:
         return sum(x for _, x in self.sizes)
 
     def chroms(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(i, n, x) for i, (n, x) in enumerate(self.sizes)], CHROMS)
+        return small_table(spark, [(i, n, x) for i, (n, x) in enumerate(self.sizes)], CHROMS)
 
     def region(self, region: Region) -> tuple[str, int, int]:
         return parse_region(region, self.chromsizes)
