@@ -73,7 +73,7 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 def read_chromsizes(spark: SparkSession, path: str, patterns: Sequence[str] = (r"^chr[0-9]+$", r"^chr[XY]$", r"^chrM$"), all_names: bool = False) -> Genome:
     """Names and lengths: in the file's order, or those that match the patterns, by pattern and then in natural order."""
-    rows = [line["value"].split("\t")[:2] for line in spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", r"\r?\n")).alias("value")).collect() if "\t" in line["value"]]
+    rows = [line["value"].split("\t")[:2] for line in spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\r?\n")).alias("value")).collect() if "\t" in line["value"]]
     sizes = {name: int(length) for name, length in rows}
     if all_names:
         return Genome.of(sizes)
@@ -102,7 +102,7 @@ def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
                     head, _, body = record.partition("\n")
                     yield pd.DataFrame({"name": [head.split()[0]], "sequence": ["".join(body.split())]})
 
-    return spark.read.option("wholetext", True).text(list(paths)).mapInPandas(records, "name string, sequence string")
+    return spark.read.text(list(paths), wholetext=True).mapInPandas(records, "name string, sequence string")
 
 
 def read_hic_arrays(rows: DataFrame, genome: Genome, chrom1: str = "chrms1", cut1: str = "cuts1", chrom2: str = "chrms2", cut2: str = "cuts2") -> DataFrame:
