@@ -272,3 +272,32 @@ def test_pipes(pixels):
     assert pipe.steps == ()
     table = pipe.pipe(lambda chunk: chunk[["bin1_id"]] + 1).table("bin1_id long")
     assert rows(table) == sorted((r.bin1_id + 1,) for r in pixels.collect())
+
+
+def test_any_input_and_orientations(spark):
+    import pandas as pd
+
+    one = {"bin1_id": [0], "bin2_id": [1], "count": [5]}
+    frame = I.pixels_from_any(spark, [one, pd.DataFrame(one), spark.createDataFrame([(1, 2, 3)], "bin1_id long, bin2_id long, count long")])
+    assert rows(frame) == [(0, 1, 5), (0, 1, 5), (1, 2, 3)]
+    with pytest.raises(ValueError):
+        I.pixels_from_any(spark, [])
+    pairs = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "b"), ("c", "a")], "chrom1 string, chrom2 string")
+    assert I.one_orientation(pairs) is pairs
+    with pytest.raises(I.InvalidPairs):
+        I.one_orientation(pairs.unionByName(spark.createDataFrame([("b", "a")], pairs.schema)))
+
+
+def test_check_bins(bins, variable):
+    assert B.check_bins(bins, GENOME) is bins and B.check_bins(variable, GENOME) is variable
+    shorter = Genome.of({"a": 95, "b": 50, "c": 7})
+    for bad, genome in ((bins, shorter), (bins.where("bin_id <> 2"), GENOME), (bins.withColumn("end", F.expr("if(bin_id = 2, end + 1, if(bin_id = 4, end - 1, end))")), GENOME)):
+        with pytest.raises(ValueError):
+            B.check_bins(bad, genome)
+
+
+def test_custom_format(spark):
+    from weftmap.sources.custom import register_format
+
+    register_format(spark, "counting", "chrom1 string, pos1 long", lambda options: range(int(options["parts"])), lambda part, options: (("a", part * 10 + i) for i in range(2)))
+    assert rows(spark.read.format("counting").option("parts", "3").load()) == [("a", x) for x in (0, 1, 10, 11, 20, 21)]

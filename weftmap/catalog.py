@@ -230,6 +230,27 @@ def sort_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.sort_pairs(rows, genome(spark, sf_dir))
 
 
+@_query("select l_partkey%5 as chrom1, l_suppkey%5 as chrom2, count(*) n from lineitem group by 1,2")
+def pair_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return I.pair_blocks(items.select((F.col("l_partkey") % 5).alias("chrom1"), (F.col("l_suppkey") % 5).alias("chrom2")))
+
+
+@_query("""select vec_id bin1_id, cast(i-1 as bigint) bin2_id, embedding[i] as "count" from (select vec_id, embedding, unnest(range(1, len(embedding)+1)) i from embeddings) where embedding[i]<>0 and i-1>=vec_id""")
+def array_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dense matrix, a row of it a row, as pixels of its upper triangle."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return I.pixels_from_array(rows.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("values")))
+
+
+@_query("""with p as (select l_partkey%40 r, l_suppkey%20 c, l_linenumber n from lineitem), b as (select r, 40+c c, n from p union all select least(r,c), greatest(r,c), n from (select r%20 r, c, n from p) where r<=c)
+select cast(r as bigint) bin1_id, cast(c as bigint) bin2_id, n as "count" from b""")
+def block_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of a matrix over two sequences as pixels."""
+    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_partkey") % 40).alias("row"), (F.col("l_suppkey") % 20).alias("col"), F.col("l_linenumber").alias("count"))
+    return I.pixels_from_blocks({("a", "a"): p.withColumn("row", F.col("row") % 20), ("b", "a"): p.select(F.col("col").alias("row"), F.col("row").alias("col"), "count")}, {"a": 0, "b": 40})
+
+
 # --- queries
 
 

@@ -45,6 +45,19 @@ def bins_from_edges(edges: DataFrame, genome: Genome) -> DataFrame:
     return numbered.select((F.col("_first") + F.col("_k")).cast("long").alias("bin_id"), *(f.name for f in BINS.fields[1:]))
 
 
+def check_bins(bins: DataFrame, genome: Genome) -> DataFrame:
+    """The bins, or ValueError unless they cut exactly the genome's sequences, each from 0 to its length without gaps or overlaps."""
+    per = bins.withColumn("_w", F.col("end") - F.col("start")).groupBy("chrom_id", "chrom")
+    found = {(r["chrom_id"], r["chrom"]): (r["lo"], r["hi"], r["w"], r["bad"]) for r in per.agg(F.min("start").alias("lo"), F.max("end").alias("hi"), F.sum("_w").alias("w"), F.sum((F.col("_w") <= 0).cast("int")).alias("bad")).collect()}  # a row a sequence
+    want = {(i, n): (0, x, x, 0) for i, (n, x) in enumerate(genome.sizes) if x > 0}
+    if found != want:
+        raise ValueError("the bins do not cover the sequences")
+    following = Window.partitionBy("chrom_id").orderBy("bin_id")
+    if bins.withColumn("_next", F.lead("start").over(following)).where(F.col("_next") != F.col("end")).take(1):
+        raise ValueError("bins overlap, leave gaps or are out of order")
+    return bins
+
+
 def restriction_bins(sequences: DataFrame, genome: Genome, enzyme: str) -> DataFrame:
     """Fragments between an enzyme's cuts in (name, sequence) rows. An edge lies one base after the 1-based position of the first base behind a cut."""
     if enzyme not in ENZYMES:

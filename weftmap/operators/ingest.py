@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -228,6 +228,36 @@ def pixels_from_blocks(blocks: Mapping[tuple[str, str], DataFrame], offsets: Map
     return out.where(F.col("count") != 0)
 
 
+def pixels_from_any(spark: SparkSession, data) -> DataFrame:
+    """A Spark or pandas frame, a dict of equally long columns, or an iterable of these, as one table."""
+    import pandas as pd
+
+    if isinstance(data, DataFrame):
+        return data
+    if isinstance(data, (pd.DataFrame, Mapping)):
+        return spark.createDataFrame(pd.DataFrame(data))
+    parts = [pixels_from_any(spark, d) for d in data]
+    if not parts:
+        raise ValueError("no pixels given")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def pair_blocks(records: DataFrame) -> DataFrame:
+    """(chrom1, chrom2, n): how many records each ordered pair of sequences has."""
+    return records.groupBy("chrom1", "chrom2").agg(F.count("*").alias("n"))
+
+
+def one_orientation(records: DataFrame) -> DataFrame:
+    """The records, or InvalidPairs if two sequences occur in both orders. A row for each pair of sequences is compared, not the records."""
+    blocks = pair_blocks(records).where(F.col("chrom1") != F.col("chrom2"))
+    turned = blocks.select(F.col("chrom2").alias("chrom1"), F.col("chrom1").alias("chrom2"))
+    _no_rows(blocks.join(turned, ["chrom1", "chrom2"], "left_semi"), F.lit(True), "two sequences occur in both orders")
+    return records
+
+
 def sort_pairs(records: DataFrame, genome: Genome, *, by: str = "blocks", flip_only: bool = False, sided: Sequence[str] = ()) -> DataFrame:
     """Records of known sequences with mates in upper-triangular order of the enumeration, sorted by names as text:
     ``blocks``: chrom1, chrom2, pos1, pos2; ``positions``: chrom1, pos1, chrom2, pos2."""
