@@ -13,8 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import materialize
+
 #: Rows of one block of a group.
 CAP = 3000
+#: Large groups up to this number (12 bytes each) are sent to every task.
+FEW = 100_000
 #: Pairs looked at in one go.
 PAIRS_AT_ONCE = 2_000_000
 
@@ -26,7 +30,13 @@ def meet(rows: DataFrame, key: str, spread: str) -> DataFrame:
     with itself (or of a key that is not split) all rows have 0.
     """
     large = rows.groupBy(key).count().where(F.col("count") > CAP).select(F.col(key).alias("_k"), F.ceil(F.col("count") / CAP).cast("int").alias("_n"))
-    joined = rows.join(large, rows[key] == large["_k"], "left").drop("_k")
+    large = materialize(large, "large-groups")
+    n_large = large.count()
+    if not n_large:  # rows go straight to where they meet
+        zero = F.lit(0)
+        return rows.withColumns({"_lo": zero, "_hi": zero, "_side": zero}).repartition(key).sortWithinPartitions(key)
+    # Sent to every task while they are few, else joined where the rows are dealt by key.
+    joined = rows.join(F.broadcast(large) if n_large <= FEW else large, rows[key] == large["_k"], "left").drop("_k")
     own = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread, F.lit(7)), F.col("_n")).cast("int"))
     dealt = (
         joined.withColumn("_own", own)
