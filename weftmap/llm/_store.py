@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
-import shutil
 import tempfile
 import uuid
 
@@ -26,20 +26,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a path through Hadoop, so that any store works; failures are of no consequence to results."""
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
+    """Remove a path through Hadoop, so that any store works; a failure leaves it to the cluster's own cleaning."""
+    with contextlib.suppress(Exception):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone; the folder is then the cluster's to clean
-        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return it read back, with its lineage cut.
 
-    The table survives lost executors. It is deleted when the returned frame is garbage collected
-    only if the caller asks for it with :func:`release`; results that still refer to it stay valid.
+    The table survives lost executors and stays until :func:`release`, as later results may still read it.
     """
     path = fresh_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
