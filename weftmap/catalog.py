@@ -16,7 +16,9 @@ from .operators import ingest as I
 from .operators import query as Q
 from .operators import reduce as R
 from .plans.genome import Genome, small_table
-from .sources.scratch import checkpointed
+from .sources import collection as C
+from .sources import text as T
+from .sources.scratch import checkpointed, scratch_path
 
 BINSIZE, NCHROMS = 7, 5
 Query = Callable[[SparkSession, str], DataFrame]
@@ -510,6 +512,60 @@ def contact_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.annotate(Q.fill_lower(rows, (*extent, *extent)), B.binnify(spark, g, BINSIZE), replace=True)
 
 
+# --- stored and read back
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> C.ContactMatrix:
+    rows = pixels(spark, sf_dir).select("bin1_id", "bin2_id", "count")
+    return C.create(scratch_path(spark, "matrix"), fixed_bins(spark, sf_dir), rows, genome=genome(spark, sf_dir))
+
+
+@_query(_PRE + f"""select {_PX} from px where bin1_id in (select bin_id from bins where chrom='chr1' and "end">3 and start<25) and bin2_id in (select bin_id from bins where chrom='chr2')""")
+def stored_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as a matrix, opened, and a box fetched by two regions."""
+    return _stored(spark, sf_dir).matrix(balance=False).fetch("chr1:3-25", "chr2")
+
+
+@_query(_PRE + """select 'sum' as k, cast(sum("count") as varchar) v from px union all select 'nnz', cast(count(*) as varchar) from px union all select 'nbins', cast((select count(*) from bins) as varchar) union all select 'bin-type', 'fixed' union all select 'bin-size', '7'
+union all select 'nchroms', '5' union all select 'storage-mode', 'symmetric-upper'""")
+def stored_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info = _stored(spark, sf_dir).info
+    return small_table(spark, [(k, str(info[k])) for k in ("sum", "nnz", "nbins", "bin-type", "bin-size", "nchroms", "storage-mode")], "k string, v string")
+
+
+@_query(_coarse_sql(4, 'cast(sum("count") as bigint) as "count"'))
+def stored_zoomify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pyramid written level by level, its top read back."""
+    path = scratch_path(spark, "pyramid")
+    C.zoomify(spark, [_stored(spark, sf_dir).uri], path, [14, 28])
+    return C.ContactMatrix(spark, f"{path}::/resolutions/28").pixels()[:]
+
+
+@_query(_PRE + """select cast(least(r1,r2) as bigint) bin1_id, cast(greatest(r1,r2) as bigint) bin2_id, count(*) as "count" from rec where cell='R' group by 1,2""")
+def stored_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One cell of several written over the same bins."""
+    path = scratch_path(spark, "cells")
+    C.create_cells(path, fixed_bins(spark, sf_dir), scool_cells(spark, sf_dir), genome=genome(spark, sf_dir))
+    return C.read_cell(spark, path, "R")[1]
+
+
+@_query(_PRE + f"select {_PX} from px")
+def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs written as one-based text, read again and aggregated."""
+    path = scratch_path(spark, "pairs")
+    rows = records(spark, sf_dir).select(*(c for k in "12" for c in (F.concat(F.lit("chr"), F.col(f"chrom{k}")), F.col(f"pos{k}") + 1)))
+    rows.write.options(sep="\t", compression="gzip").csv(path)
+    return I.pixels_from_pairs(T.read_pairs(spark, path), genome(spark, sf_dir), binsize=BINSIZE, one_based=True)
+
+
+@_query(_PRE + f"select {_PX} from px")
+def text_bg2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels dumped with the positions of their bins, loaded again."""
+    path = scratch_path(spark, "bg2")
+    Q.annotate(pixels(spark, sf_dir).select("bin1_id", "bin2_id", "count"), fixed_bins(spark, sf_dir), ["chrom", "start", "end"], replace=True).write.options(sep="\t").csv(path)
+    return I.pixels_from_bg2(T.read_bg2(spark, path), genome(spark, sf_dir), binsize=BINSIZE)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -4,8 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the cluster's checkpoint folder, or in a local one where there is none, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "weftmap-checkpoints")
+    return f"{folder.rstrip('/')}/weftmap/{label}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
