@@ -25,9 +25,9 @@ BACKOFF = 0.4
 #: Bigrams rarer than this count as unseen: the scored documents are in the corpus, so each has been seen once.
 MIN_COUNT = 2
 #: Bytes of text in a slice.
-SLICE_BYTES = 12_000_000
-#: Bigrams of slices in a bucket, about.
-BUCKET_ENTRIES = 2_000_000
+SLICE_BYTES = 6_000_000
+#: Tokens of the corpus to a bucket, about.
+BUCKET_TOKENS = 8_000_000
 
 
 def _squeeze(a: np.ndarray) -> bytes:
@@ -91,7 +91,6 @@ def lm_scores(docs: DataFrame, tokenizer: str, min_count: int = MIN_COUNT, backo
                         lengths.append(len(ids[-1]))
                 flat = np.concatenate(ids)
                 token, n = np.unique(flat, return_counts=True)
-                n_pairs = len(np.unique(_bigrams(flat, np.array(lengths))[0]))
                 d = piece.column(0)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -101,18 +100,18 @@ def lm_scores(docs: DataFrame, tokenizer: str, min_count: int = MIN_COUNT, backo
                         pa.array([np.array(lengths, dtype="<i8").tobytes()], pa.binary()),
                         pa.array([_squeeze(flat)], pa.binary()),
                         pa.array([4 if wide else 2], pa.int32()),
-                        pa.array([n_pairs]),
+                        pa.array([len(flat)]),
                         pa.array([token.astype("<i8").tolist()], pa.list_(pa.int64())),
                         pa.array([n.tolist()], pa.list_(pa.int64())),
                     ],
-                    names=["slice", "doc_ids", "nulls", "lengths", "ids", "width", "n_pairs", "tokens", "counts"],
+                    names=["slice", "doc_ids", "nulls", "lengths", "ids", "width", "n_tokens", "tokens", "counts"],
                 )
                 number += 1
 
-    schema = "slice long, doc_ids binary, nulls binary, lengths binary, ids binary, width int, n_pairs long, tokens array<long>, counts array<long>"
+    schema = "slice long, doc_ids binary, nulls binary, lengths binary, ids binary, width int, n_tokens long, tokens array<long>, counts array<long>"
     sliced = materialize(rows.mapInArrow(encode, schema), "slices")
-    entries = sliced.agg(F.coalesce(F.sum("n_pairs"), F.lit(0))).first()[0]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET_ENTRIES))
+    corpus = sliced.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corpus // BUCKET_TOKENS))
     counted = sliced.select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy("x.tokens").agg(F.sum("x.counts").alias("n")).collect()  # a row a vocabulary entry
     unigram = np.zeros(max((r[0] for r in counted), default=0) + 1)
     for token, n in counted:
