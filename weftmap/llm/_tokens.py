@@ -109,7 +109,14 @@ class ChunkEncoder:
         """The pre-tokens of a chunk; one that the pattern here is not sure to cut as the library does stays whole."""
         if self._mark in chunk or not (chunk.isascii() and chunk.isprintable() or _PLAIN.fullmatch(chunk)):
             return [chunk]
-        return self._cut(chunk.lower() if self.drops_space else chunk)
+        if self.drops_space:
+            chunk = chunk.lower()
+        body = chunk[1:] if chunk[:1] == " " else chunk
+        if body.isalpha():
+            return [body] if self.drops_space else [chunk]
+        if body[-1:] in _STOPS and body[:-1].isalpha():
+            return [(body if self.drops_space else chunk)[:-1], body[-1]]
+        return self._cut(chunk)
 
     @cached_property
     def vocabulary(self) -> frozenset[str]:
@@ -167,3 +174,6 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+def forget_encoders() -> None:
+    """Free what this worker's encoders remember, before steps that do not encode."""
+    _ENCODERS.clear()

@@ -64,36 +64,42 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         known: dict[str, int] = {}
-        sums: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        held = 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
 
         def hand_on() -> pa.RecordBatch:
-            out = []
-            for number, parts in sums.items():
-                at = np.concatenate([p[0] for p in parts])
-                total = np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype("<u4")
-                at = np.flatnonzero(total).astype("<u2")
-                out.append((number, at.tobytes(), total[at].tobytes(), None, None))
-            return _batch(out, _NAMES[1:], _TYPES[1:])
+            """Sums by slice and document of what is held, a row a slice."""
+            number, at, n = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, dtype=np.int64) for k in range(3))
+            slices_, which = np.unique(number, return_inverse=True)
+            place, inverse = np.unique((which.astype(np.int64) << 16) | at, return_inverse=True)
+            total = np.bincount(inverse, weights=n).astype("<u4") if len(n) else np.zeros(0, dtype="<u4")
+            edge = np.searchsorted(place >> 16, np.arange(len(slices_) + 1))
+            empty = pa.nulls(len(slices_), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(slices_), _cut((place & 0xFFFF).astype("<u2"), edge), _cut(total, edge), empty, empty], names=_NAMES[1:])
 
         for batch in batches:
             passing = batch.filter(pc.is_valid(batch.column("doc_ids")))
             if passing.num_rows:
                 yield passing.select(_NAMES[1:])
             batch = batch.filter(pc.is_null(batch.column("doc_ids")))
-            for key, number, at, freq in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                pieces = known.get(key)
-                if pieces is None:
-                    if len(known) > 500_000:
-                        known.clear()
-                    pieces = known[key] = enc.pieces(key)
-                at = np.frombuffer(at, dtype="<u2")
-                sums.setdefault(number, []).append((at, np.frombuffer(freq, dtype=np.uint8).astype(np.int64) * pieces))
-                held += len(at)
-            if held > HELD:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("key").to_pylist()
+            if len(known) > 500_000:
+                known.clear()
+            for key in keys:
+                if key not in known:
+                    known[key] = enc.pieces(key)
+            pieces = np.array([known[key] for key in keys], dtype=np.int64)
+            at, edge = _flat(batch.column("docs"), "<u2")
+            freq, _ = _flat(batch.column("counts"), np.uint8)
+            n = np.diff(edge)
+            held.append((np.repeat(batch.column("slice").to_numpy(), n), at.astype(np.int64), freq * np.repeat(pieces, n)))
+            size += len(at)
+            if size > HELD:
                 yield hand_on()
-                sums.clear()
-                held = 0
+                held.clear()
+                size = 0
         yield hand_on()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +133,21 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     return per_doc.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def _cut(values: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """A binary column whose entries are the stretches of ``values`` between the edges."""
+    offsets = (edge * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _flat(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a binary column without nulls as one array, and the edges between them."""
+    width = np.dtype(dtype).itemsize
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1 + column.offset)[column.offset :]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    return np.ascontiguousarray(raw).view(dtype), (offsets - offsets[0]).astype(np.int64) // width
+
+
 def _slice_rows(enc, piece: pa.RecordBatch, number: int) -> Iterator[pa.RecordBatch]:
     """The postings of one slice, and its own row with the documents and what is counted already."""
     texts = texts_of(piece, "t")
@@ -174,15 +195,13 @@ def _slice_rows(enc, piece: pa.RecordBatch, number: int) -> Iterator[pa.RecordBa
         sure += np.bincount(doc, weights=pieces[tok] * n, minlength=len(texts)).astype(np.int64)
         keep = ~hot[tok]
         tok, doc, n = tok[keep], doc[keep], n[keep]
+        names = pa.array(names, pa.string())
         while len(tok):  # frequencies over 255 go as several entries
             now = np.minimum(n, 255)
             edge = np.concatenate([[0], np.flatnonzero(np.diff(tok)) + 1, [len(tok)]])
-            d, f = doc.astype("<u2").tobytes(), now.astype(np.uint8).tobytes()
-            keys = tok[edge[:-1]].tolist()
-            cuts = edge.tolist()
-            for lo in range(0, len(keys), 20_000):
-                span = range(lo, min(lo + 20_000, len(keys)))
-                yield _batch([(names[keys[j]], number, d[2 * cuts[j] : 2 * cuts[j + 1]], f[cuts[j] : cuts[j + 1]], None, None) for j in span], _NAMES, _TYPES)
+            rows, empty = len(edge) - 1, pa.nulls(len(edge) - 1, pa.binary())
+            columns = [names.take(pa.array(tok[edge[:-1]])), pa.array(np.full(rows, number)), _cut(doc.astype("<u2"), edge), _cut(now.astype(np.uint8), edge), empty, empty]
+            yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
             n = n - now
             tok, doc, n = tok[n > 0], doc[n > 0], n[n > 0]
     sizes = np.array([len(t.encode()) for t in texts], dtype="<i8")
