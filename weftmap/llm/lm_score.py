@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._batches import slices, texts_of
 from ._store import materialize
-from ._tokens import encoder
+from ._tokens import encoder, forget_encoders
 
 #: Factor of each step back.
 BACKOFF = 0.4
@@ -56,14 +56,12 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def _ordered(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys by bucket and value, their counts, the place of each given key among them, and the buckets' edges."""
-    distinct, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+def _ordered(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys by bucket and value, their counts, and the buckets' edges."""
+    distinct, count = np.unique(key, return_counts=True)
     bucket = _bucket(distinct, buckets)
     order = np.argsort(bucket, kind="stable")
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    return distinct[order], count[order], place[inverse], np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return distinct[order], count[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
 def lm_scores(docs: DataFrame, tokenizer: str, min_count: int = MIN_COUNT, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,10 +117,11 @@ def lm_scores(docs: DataFrame, tokenizer: str, min_count: int = MIN_COUNT, backo
     total = max(1.0, unigram.sum())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
             for number, lengths, ids, width in zip(*(batch.column(c).to_pylist() for c in ("slice", "lengths", "ids", "width"))):
                 key, _ = _bigrams(_expand(ids, f"<u{width}"), np.frombuffer(lengths, dtype="<i8"))
-                distinct, count, _, edge = _ordered(key, buckets)
+                distinct, count, edge = _ordered(key, buckets)
                 some = [b for b in range(buckets) if edge[b + 1] > edge[b]]
                 cut = [slice(edge[b], edge[b + 1]) for b in some]
                 yield pa.RecordBatch.from_arrays(
@@ -154,6 +153,7 @@ def lm_scores(docs: DataFrame, tokenizer: str, min_count: int = MIN_COUNT, backo
             yield totals()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         sums: list[np.ndarray] = []
         for batch in batches:
             for i in range(batch.num_rows):
@@ -166,11 +166,13 @@ def lm_scores(docs: DataFrame, tokenizer: str, min_count: int = MIN_COUNT, backo
                 value = np.log(unigram[ids] / total)
                 key, at = _bigrams(ids, lengths)
                 if len(at):
-                    distinct, _, place, _ = _ordered(key, buckets)
+                    distinct, _, _ = _ordered(key, buckets)
                     pair = np.concatenate(sums).astype(np.float64)
                     seen = np.log(np.maximum(pair, 1) / unigram[(distinct >> np.uint64(32)).astype(np.int64)])
                     back = np.log(backoff) + np.log(unigram[(distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)] / total)
-                    value[at] = np.where(pair >= min_count, seen, back)[place]
+                    by_key = np.argsort(distinct)
+                    each = np.where(pair >= min_count, seen, back)[by_key]
+                    value[at] = each[np.searchsorted(distinct[by_key], key)]
                 sums = []
                 owner = np.repeat(np.arange(len(lengths)), lengths)
                 log_score = np.bincount(owner, weights=value, minlength=len(lengths))
