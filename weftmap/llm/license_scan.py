@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib.resources import files
 from math import ceil, log
 
 import numpy as np
@@ -27,8 +28,11 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 MISS = 1e-9
 
-#: Usual notices of well-known licences. Callers may pass their own.
-TEMPLATES = {
+#: A licence text is looked for whole and in parts of about this many words, cut between paragraphs.
+PART_WORDS = 200
+
+#: Notices of fixed wording.
+_NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "MIT": "Released under the MIT License",
@@ -42,7 +46,70 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "All-rights-reserved": "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means",
+    "GPL-2.0-header": "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+    "AGPL-header": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "EPL-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+}
+#: Names as notices say them: after "under" if that makes a shingle, else after every one of the openings.
+_NAMES = {
+    "MIT": ("the MIT License",),
+    "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License"),
+    "BSD": ("the BSD License", "the BSD 2-Clause License", "the BSD 3-Clause License", "a BSD-style license"),
+    "ISC": ("the ISC License",),
+    "Zlib": ("the zlib License", "the zlib/libpng License"),
+    "Unlicense": ("the Unlicense license",),
+    "BSL-1.0": ("the Boost Software License",),
+    "GPL": ("the GNU General Public License", "the GNU GPL", "the GPL License"),
+    "GPL-2.0": ("the GPL v2", "the GPL version 2"),
+    "GPL-3.0": ("the GPL v3", "the GPL version 3"),
+    "LGPL": ("the GNU Lesser General Public License", "the GNU LGPL", "the GNU Library General Public License"),
+    "AGPL": ("the GNU Affero General Public License", "the GNU AGPL", "the AGPL v3"),
+    "MPL-2.0": ("the Mozilla Public License",),
+    "EPL": ("the Eclipse Public License",),
+    "CC-BY": ("CC BY 4.0", "CC BY 3.0", "a Creative Commons Attribution License", "a Creative Commons Attribution 3.0", "a Creative Commons Attribution 4.0"),
+    "CC-BY-SA": ("CC BY-SA 4.0", "CC BY-SA 3.0", "a Creative Commons Attribution-ShareAlike", "the Creative Commons Attribution-ShareAlike"),
+    "CC-BY-NC": ("CC BY-NC 4.0", "CC BY-NC 3.0", "a Creative Commons Attribution-NonCommercial"),
+    "CC-BY-ND": ("CC BY-ND 4.0", "CC BY-ND 3.0", "a Creative Commons Attribution-NoDerivatives", "a Creative Commons Attribution-NoDerivs"),
+    "CC-BY-NC-SA": ("CC BY-NC-SA 4.0", "CC BY-NC-SA 3.0", "a Creative Commons Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND": ("CC BY-NC-ND 4.0", "CC BY-NC-ND 3.0", "a Creative Commons Attribution-NonCommercial-NoDerivatives", "a Creative Commons Attribution-NonCommercial-NoDerivs"),
 }
+_OPENINGS = ("Licensed under", "Released under", "Distributed under", "Available under", "Published under", "Provided under", "terms of")
+
+
+def _bodies() -> dict[str, str]:
+    """Whole licence texts and, of longer ones, their parts. Apostrophes become blanks, as they part words anyway."""
+    out = {}
+    for file in sorted(files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name):
+        text, name = file.read_text(encoding="utf-8").replace("'", " "), file.name.removesuffix(".txt")
+        out[f"{name}-full"] = text
+        parts, size = [[]], 0
+        for paragraph in text.split("\n\n"):
+            n = len(words_of(paragraph))
+            if size and size + n > PART_WORDS:
+                parts.append([])
+                size = 0
+            parts[-1].append(paragraph)
+            size += n
+        if len(parts) > 1:
+            cut = ["\n\n".join(p) for p in parts]
+            out.update({f"{name}-part-{k}": t for k, t in enumerate(cut, 1) if len(words_of(t)) >= SHINGLE_WORDS})
+    return out
+
+
+def _templates() -> dict[str, str]:
+    out = dict(_NOTICES)
+    said = {tuple(words_of(t)) for t in out.values()}
+    for name, forms in _NAMES.items():
+        texts = []
+        for form in forms:
+            short = len(words_of(form)) + 1 < SHINGLE_WORDS
+            texts += [t for opening in (_OPENINGS if short else ("under",)) if len(words_of(t := f"{opening} {form}")) >= SHINGLE_WORDS and tuple(words_of(t)) not in said]
+        out.update({f"{name}-notice-{k}": t for k, t in enumerate(texts, 1)})
+    return {**out, **_bodies()}
+
+
+#: Usual notices of well-known licences, and licence texts. Callers may pass their own.
+TEMPLATES = _templates()
 
 
 def bands_for(s: int, similarity: float = SIMILARITY, miss: float = MISS) -> int:
@@ -104,13 +171,24 @@ def prepare(templates: dict[str, str]) -> list[Template]:
     return made
 
 
-def _matches(words: list[bytes], h: np.ndarray, hit: np.ndarray, templates: list[Template]) -> list[tuple[str, int, float, int]]:
+def _holders(templates: list[Template]) -> dict[int, list[int]]:
+    """Numbers of the templates that hold each shingle."""
+    out: dict[int, list[int]] = {}
+    for i, t in enumerate(templates):
+        for x in t.hashes.tolist():
+            out.setdefault(x, []).append(i)
+    return out
+
+
+def _matches(words: list[bytes], h: np.ndarray, hit: np.ndarray, templates: list[Template], holders: dict[int, list[int]]) -> list[tuple[str, int, float, int]]:
     """(template, matching windows, largest share, first word of the first window with it) for one text; ``hit``: places of shingles of any template."""
     out = []
-    for t in templates:
-        places = hit[np.isin(h[hit], t.hashes)]
-        if not len(places):
-            continue
+    places_of: dict[int, list[int]] = {}
+    for place, x in zip(hit.tolist(), h[hit].tolist()):
+        for i in holders[x]:
+            places_of.setdefault(i, []).append(place)
+    for i in sorted(places_of):
+        t, places = templates[i], np.array(places_of[i])
         last = max(0, ceil((len(h) - t.size) / t.step))
         lo = np.maximum(0, -(-(places - t.size + 1) // t.step))
         windows = np.unique(np.concatenate([np.arange(a, min(b, last) + 1) for a, b in zip(lo, places // t.step)]))
@@ -143,6 +221,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = prepare(chosen)
+        holders = _holders(ready)
         every = np.unique(np.concatenate([t.hashes for t in ready])) if ready else np.zeros(0, dtype=np.uint64)
         for batch in batches:
             for piece in slices(batch, "t"):
@@ -158,7 +237,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
                     if n > 0:
                         mine = hits[np.searchsorted(hits, at) : np.searchsorted(hits, at + n)] - at
                         if len(mine):
-                            out += [(doc_id, *m) for m in _matches(words, h_all[at : at + n], mine, ready)]
+                            out += [(doc_id, *m) for m in _matches(words, h_all[at : at + n], mine, ready, holders)]
                     at += len(words)
                 names, types = ["doc_id", "license", "n_windows", "containment", "start_word"], [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, types)], names=names)
