@@ -4,6 +4,10 @@ Two generative models over hashed word n-grams are compared: the target's, from
 documents, and the raw text's, from all documents. A document's weight is the log ratio of the two, per n-gram;
 buckets with too little evidence say nothing. The threshold between good and bad labelled documents fixes how many
 documents are kept, k, and a Gumbel top-k draw over the weights fixes which.
+
+Insults in good prose hardly move a mean over all n-grams, so toxic documents have a model of their own: words in more of the
+toxic labelled documents than of the others, from one half of the sample. A document's toxicity is the log ratio of its
+most telling word; the threshold comes from the other half, and what lies beyond it is rejected before k is fixed.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ LABEL_ROWS = 20_000
 BUCKETS = 1 << 18
 #: Occurrences the raw model must predict in the target before a bucket counts.
 EVIDENCE = 5.0
+#: Toxic labelled documents a word must stand in before it counts.
+TOXIC_DOCS = 5
 #: N-grams' worth of indifference added to a document, so that a few words decide nothing.
 SHRINK = 20.0
 #: Losing a good document weighs as much as keeping this many bad ones when the threshold is set.
@@ -36,8 +42,8 @@ TEMPERATURE = 0.001
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
-def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all texts' n-grams, words first and pairs after them, with the owner of each: (bucket, text)."""
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words, with the owner of each: (hash, text)."""
     of_chunk: dict[str, int] = {}
     mine, sizes = [], []
     for text in texts:
@@ -56,7 +62,11 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), sizes)
     n = np.diff(edges)[at]
     pick = np.repeat(edges[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    h, owner = hashes[pick], np.repeat(owner, n)
+    return hashes[pick], np.repeat(owner, n)
+
+
+def _features(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all texts' n-grams, words first and pairs after them, with the owner of each: (bucket, text)."""
     a, b = h[:-1], h[1:]
     pair = ((a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)) % np.uint64(BUCKETS)
     pair[a == b] = 0  # a word said twice is one n-gram, whatever the word
@@ -111,14 +121,25 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
             return lo
 
 
+def word_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Log ratio of the shares of toxic and of clean documents that hold each word; 0 where few toxic ones do."""
+    expected = clean * (n_toxic / max(1, n_clean))
+    return np.where(toxic >= TOXIC_DOCS, np.log((toxic + 1) / (expected + 1)), 0).clip(0)
+
+
 def _sample(labels: DataFrame, label_id: str, quality: str, toxic: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted ids of at most ``rows`` labelled documents, and which of them are good. Conflicting labels make a document bad."""
+    """Sorted ids of at most ``rows`` labelled documents, and their classes: 1 bad, 2 good, 3 toxic. Conflicting labels make a document bad or toxic."""
     known = labels.where(F.col(label_id).isNotNull() & F.col(quality).isNotNull())
-    good = (F.col(quality) == 1) & (F.coalesce(F.col(toxic), F.lit(0)) == 0)
-    per_doc = known.groupBy(F.col(label_id).cast("long").alias("d")).agg(F.min(good.cast("int")).alias("good"), F.min(F.col(quality)).alias("quality"))
-    per_doc = per_doc.where((F.col("good") == 1) | (F.col("quality") != 1))  # good text with insults is neither
-    found = sorted((r["d"], r["good"]) for r in per_doc.orderBy(F.xxhash64("d"), "d").limit(rows).collect())
-    return np.array([d for d, _ in found], dtype=np.int64), np.array([g == 1 for _, g in found], dtype=bool)
+    insult = F.coalesce(F.col(toxic), F.lit(0)) != 0
+    per_doc = known.groupBy(F.col(label_id).cast("long").alias("d")).agg(F.max(insult.cast("int")).alias("toxic"), F.min((F.col(quality) == 1).cast("int")).alias("good"))
+    per_doc = per_doc.select("d", F.when(F.col("toxic") == 1, 3).when(F.col("good") == 1, 2).otherwise(1).alias("class"))
+    found = sorted((r["d"], r["class"]) for r in per_doc.orderBy(F.xxhash64("d"), "d").limit(rows).collect())
+    return np.array([d for d, _ in found], dtype=np.int64), np.array([c for _, c in found], dtype=np.int8)
+
+
+def _fits(ids: np.ndarray) -> np.ndarray:
+    """Which ids the words of toxic documents are taken from; the others set the threshold."""
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63) == 0
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", quality: str = "quality", toxic: str = "toxic", label_rows: int = LABEL_ROWS, seed: int = 42) -> DataFrame:
@@ -126,52 +147,79 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     A text without words (or null) has score null and is not kept. Without good and bad labelled documents all others are kept.
     Rows with equal keys in the draw stay or go together, so repeated rows do. Null ids are scored like others; other columns
-    are ignored; an empty table gives no row. At most ``label_rows`` labelled documents are used.
+    are ignored; an empty table gives no row. At most ``label_rows`` labelled documents are used. Toxic documents are not kept
+    once the labels show which words make them so.
     """
-    ids, good = _sample(labels, label_id, quality, toxic, label_rows)
+    ids, classes = _sample(labels, label_id, quality, toxic, label_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
 
     def labelled(column: pa.Array) -> np.ndarray:
-        """0: not in the sample, 1: bad, 2: good."""
+        """0: not in the sample, 1: bad, 2: good, 3: toxic."""
         d = column.fill_null(-1).to_numpy(zero_copy_only=False)
         if not len(ids):
             return np.zeros(len(d), dtype=np.int8)
         at = np.minimum(np.searchsorted(ids, d), len(ids) - 1)
         own = (ids[at] == d) & column.is_valid().to_numpy(zero_copy_only=False)
-        return np.where(own, 1 + good[at], 0).astype(np.int8)
+        return np.where(own, classes[at], 0).astype(np.int8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(2 * BUCKETS, dtype=np.int64), np.zeros(2 * BUCKETS, dtype=np.int64)
+        held: list[np.ndarray] = []  # each word once a labelled document, toxic ones' as odd numbers
         for batch in batches:
             for piece in slices(batch, "t"):
-                bucket, owner = _features(texts_of(piece, "t"))
+                h, of = _words(texts_of(piece, "t"))
+                bucket, owner = _features(h, of)
+                label = labelled(piece.column(0))
                 raw += np.bincount(bucket, minlength=2 * BUCKETS)
-                target += np.bincount(bucket[labelled(piece.column(0))[owner] == 2], minlength=2 * BUCKETS)
+                target += np.bincount(bucket[label[owner] == 2], minlength=2 * BUCKETS)
+                use = np.flatnonzero((label > 0) & _fits(piece.column(0).fill_null(0).to_numpy(zero_copy_only=False)))
+                for i in use.tolist():
+                    own = np.unique(h[np.searchsorted(of, i) : np.searchsorted(of, i, "right")]).astype(np.int64)
+                    held.append(np.concatenate([[0], own + 1]) * 2 + (label[i] == 3))  # 0 counts the documents
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["at", "raw", "target"])
+        if held:
+            word, n = np.unique(np.concatenate(held), return_counts=True)
+            odd = word % 2 == 1
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - word // 2), pa.array(np.where(odd, 0, n)), pa.array(np.where(odd, n, 0))], names=["at", "raw", "target"])
 
-    total = rows.mapInArrow(count, "at long, raw long, target long").groupBy("at").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # a row a bucket
+    total = rows.mapInArrow(count, "at long, raw long, target long").groupBy("at").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    total = total.where((F.col("at") >= -1) | (F.col("target") >= TOXIC_DOCS)).toPandas()  # a row a bucket, and those of words in toxic labelled documents
     raw, target = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
-    raw[total["at"]], target[total["at"]] = total["raw"], total["target"]
+    buckets, words, docs_of = total[total["at"] >= 0], total[total["at"] < -1].sort_values("at", ascending=False), total[total["at"] == -1]
+    raw[buckets["at"]], target[buckets["at"]] = buckets["raw"], buckets["target"]
     ratio = log_ratio(target, raw)
+    said, telling = (-2 - words["at"].to_numpy()).astype(np.uint64), word_ratio(words["target"].to_numpy(), words["raw"].to_numpy(), int(docs_of["target"].sum()), int(docs_of["raw"].sum()))
+    said, telling = said[telling > 0], telling[telling > 0]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "t"):
                 texts = texts_of(piece, "t")
-                bucket, owner = _features(texts)
+                h, of = _words(texts)
+                toxicity = np.zeros(len(texts))
+                if len(said):
+                    at = np.minimum(np.searchsorted(said, h), len(said) - 1)
+                    hit = said[at] == h
+                    np.maximum.at(toxicity, of[hit], telling[at[hit]])
+                bucket, owner = _features(h, of)
                 n = np.bincount(owner, minlength=len(texts))
                 value = np.bincount(owner, weights=ratio[bucket], minlength=len(texts)) / (n + SHRINK)
                 noise = np.array([zlib.crc32(f"{seed}:{d}".encode(), zlib.crc32(t.encode())) for d, t in zip(piece.column(0).to_pylist(), texts)])
                 key = value / TEMPERATURE - np.log(-np.log((noise + 0.5) / 2**32))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n.astype(np.int64)), pa.array(value, mask=n == 0), pa.array(key, mask=n == 0), pa.array(labelled(piece.column(0)))], names=["doc_id", "n_features", "score", "key", "label"])
-
-    scored = materialize(rows.mapInArrow(score, "doc_id long, n_features long, score double, key double, label byte"), "scores")
-    known = scored.where((F.col("label") > 0) & F.col("score").isNotNull()).dropDuplicates(["doc_id"]).select("score", "label").toPandas()  # label_rows at most
-    tau = threshold(known["score"][known["label"] == 2].to_numpy(), known["score"][known["label"] == 1].to_numpy())
-    k = scored.where(F.col("score") >= F.lit(float(tau))).count()
-    last = kth_largest(scored, "key", k)
-    return scored.select("doc_id", "n_features", "score", F.coalesce(F.col("key") >= F.lit(float(last)), F.lit(False)).alias("kept"))
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n.astype(np.int64)), pa.array(value, mask=n == 0), pa.array(key, mask=n == 0), pa.array(toxicity), pa.array(labelled(piece.column(0)))], names=["doc_id", "n_features", "score", "key", "toxicity", "label"])
+
+    scored = materialize(rows.mapInArrow(score, "doc_id long, n_features long, score double, key double, toxicity double, label byte"), "scores")
+    known = scored.where((F.col("label") > 0) & F.col("score").isNotNull()).dropDuplicates(["doc_id"]).select("doc_id", "score", "toxicity", "label").toPandas()  # label_rows at most
+    apart = known[~_fits(known["doc_id"].to_numpy())]
+    most = -threshold(-apart["toxicity"][apart["label"] != 3].to_numpy(), -apart["toxicity"][apart["label"] == 3].to_numpy())
+    known = known[known["toxicity"] <= most]
+    tau = threshold(known["score"][known["label"] == 2].to_numpy(), known["score"][known["label"] != 2].to_numpy())
+    clean = scored.where(F.col("toxicity") <= F.lit(float(most)))
+    k = clean.where(F.col("score") >= F.lit(float(tau))).count()
+    last = kth_largest(clean, "key", k)
+    kept = (F.col("toxicity") <= F.lit(float(most))) & (F.col("key") >= F.lit(float(last)))
+    return scored.select("doc_id", "n_features", "score", F.coalesce(kept, F.lit(False)).alias("kept"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
