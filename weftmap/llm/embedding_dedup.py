@@ -33,7 +33,8 @@ LINES = 2
 COUNT = 2
 #: Share of pairs at the limit that may be missed, by calibration.
 MISS = 1e-4
-MAX_FAMILIES = 64
+#: More are an error: pairs would be missed. Their numbers must fit into FAMILY_BITS.
+MAX_FAMILIES, FAMILY_BITS = 1000, 10
 #: Shorter vectors are filled up with zeros, which changes no cosine.
 LEAST_DIM = 4
 #: Windows reach this many standard deviations of the difference of a pair at the limit.
@@ -92,10 +93,26 @@ def calibrate(dim: int, cosine: float, arity: int, simulated: int = 2000) -> int
         a, b = _coded(*_taken(x, rotation)), _coded(*_taken(y, rotation))
         met.append((np.abs(a[:, :, None] - b[:, None, :]) <= w).any((1, 2)).mean())
     p = float(np.mean(met)) - 2 * (0.25 / (8 * simulated)) ** 0.5  # a cautious estimate
-    for n in range(COUNT, MAX_FAMILIES):
-        if sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(COUNT)) <= MISS:
+    for n in range(COUNT, MAX_FAMILIES + 1):
+        if p > 0 and sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(COUNT)) <= MISS:
             return n
-    return MAX_FAMILIES
+    raise ValueError(f"vectors of {dim} components would need over {MAX_FAMILIES} families of lines to miss at most {MISS} of pairs at the limit")
+
+
+def _keys(dim: int, family: int, line: np.ndarray) -> np.ndarray:
+    """One integer for length, family and line: with 13, 10 and 40 bits, or 17, 10 and 36 for long vectors, as negative numbers."""
+    if dim < 1 << 13:
+        return (((dim << FAMILY_BITS) + family) << 40) + line
+    if dim >= 1 << 17:
+        raise ValueError(f"vectors of {dim} components are too long")
+    return -1 - ((((dim << FAMILY_BITS) + family) << 36) + line)
+
+
+def _key_parts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Family and line of keys."""
+    short = key >= 0
+    plain, bits = np.where(short, key, -1 - key), np.where(short, 40, 36)
+    return (plain >> bits) & ((1 << FAMILY_BITS) - 1), plain & ((np.int64(1) << bits) - 1)
 
 
 def _arity(n: int, dim: int) -> int:
@@ -137,7 +154,7 @@ def _on_lines(n: int, cosine: float):
                     raw_col = pa.array([v.tobytes() for v in np.ascontiguousarray(raw)], pa.binary())
                     for k in range(codes.shape[1]):
                         family = k // LINES
-                        key = ((dim * MAX_FAMILIES + family) << 41) + (codes[:, k] >> VALUE_BITS)
+                        key = _keys(dim, family, codes[:, k] >> VALUE_BITS)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(key), pa.array(np.full(len(rows), dim, dtype=np.int32)), pa.array(node[rows]), pa.array(mult[rows]), codes_col, raw_col], names=["key", "dim", "node", "mult", "codes", "vec"]
                         )
@@ -177,7 +194,7 @@ def _verified(n: int, cosine: float, vec_type: str):
         codes = _matrix(part.column("codes"), np.dtype("<u4" if small else "<u8")).astype(np.int64)
         vec = _matrix(part.column("vec"), np.dtype(vec_type))
         node, mult, key = (part.column(c).to_numpy() for c in ("node", "mult", "key"))
-        family, line = (key >> 41) % MAX_FAMILIES, key & ((1 << 41) - 1)
+        family, line = _key_parts(key)
         w = window_of(space, cosine)
         links: dict[str, list[np.ndarray]] = {"a": [], "b": []}
         for a, b in pairs(first, count):
