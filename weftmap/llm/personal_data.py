@@ -29,8 +29,6 @@ _PHONE = _DIGITS | frozenset(" ().-")
 _TOKEN = _ALNUM | frozenset("_-+/=.")
 _URL_END = frozenset(" \t\n\r\f\v\"'<>`")
 
-#: The longest value looked for after a cue.
-VALUE_CHARS = 512
 _SCHEMES = ("http://", "https://", "ftp://")
 #: Cues of account and document numbers, and of secrets; each also capitalised and in capitals.
 _ACCOUNT_CUES = ("iban", "account number", "account no", "passport", "ssn", "tax id")
@@ -147,32 +145,55 @@ def _url(text: str, start: int, end: int) -> tuple[int, int] | None:
     return (start, i) if i > end and text[end] in _ALNUM else None
 
 
-def _value(text: str, i: int, least: int) -> tuple[int, int] | None:
-    """A value after a cue: a separator, perhaps a quote, then a token of at least ``least`` characters with a digit in it."""
+class _Tokens:
+    """Runs of token characters of one text; the last run is remembered, so that cues inside it do not read it again."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.end, self.digit = text, 0, 0, -1
+
+    def at(self, j: int) -> tuple[int, bool]:
+        """End of the token that starts at j, without trailing stops, and whether it holds a digit."""
+        if not self.start <= j < self.end:
+            self.start = j
+            last = end = _run(self.text, j, _TOKEN)
+            while end > j and self.text[end - 1] in ".-=":
+                end -= 1
+            self.stop, self.digit = end, end - 1
+            while self.digit >= j and self.text[self.digit] not in _DIGITS:
+                self.digit -= 1
+            self.end = last
+        return max(j, self.stop), self.digit >= j
+
+
+def _gap(text: str, i: int, kind: str = " \t:=#\"'") -> int:
+    """End of a separator of at most 8 characters."""
     j = i
-    while j < len(text) and j - i < 8 and text[j] in " \t:=#\"'":
+    while j < len(text) and j - i < 8 and text[j] in kind:
         j += 1
+    return j
+
+
+def _value(text: str, i: int, least: int, tokens: _Tokens) -> tuple[int, int] | None:
+    """A value after a cue: a separator, perhaps a quote, then a token of at least ``least`` characters with a digit in it."""
+    j = _gap(text, i)
     if j == i:
         return None
-    end = j
-    while end < min(len(text), j + VALUE_CHARS) and text[end] in _TOKEN:
-        end += 1
-    while end > j and text[end - 1] in ".-=":
-        end -= 1
-    return (j, end) if end - j >= least and any(c in _DIGITS for c in text[j:end]) else None
+    end, digit = tokens.at(j)
+    return (j, end) if end - j >= least and digit else None
 
 
-def _secret(text: str, start: int, end: int) -> tuple[int, int] | None:
+def _secret(text: str, start: int, end: int, tokens: _Tokens) -> tuple[int, int] | None:
     if text[start:end] == "AKIA":  # a key's own beginning
         stop = _run(text, end, _ALNUM)
         return (start, stop) if stop - start == 20 and not _word_before(text, start) and text[start:stop].isupper() else None
-    return None if _word_before(text, start) else _value(text, end, 12)
+    return None if _word_before(text, start) else _value(text, end, 12, tokens)
 
 
 def find_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all personal data in a text, by start and then kind."""
     spans: list[tuple[int, int, str]] = []
     end_of = dict.fromkeys(KINDS, 0)
+    tokens = _Tokens(text)
 
     def keep(kind: str, found: tuple | None) -> None:
         if found is not None:
@@ -204,9 +225,9 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
                 keep("url", _url(text, start, last + 1))
         elif anchor == "account":
             if start >= end_of["account"] and not _word_before(text, start):
-                keep("account", _value(text, last + 1, 6))
+                keep("account", _value(text, last + 1, 6, tokens))
         elif start >= end_of["secret"]:
-            keep("secret", _secret(text, start, last + 1))
+            keep("secret", _secret(text, start, last + 1, tokens))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(spans, key=lambda s: (s[0], order[s[2]], s[1]))
 
