@@ -29,11 +29,17 @@ _PHONE = _DIGITS | frozenset(" ().-")
 _TOKEN = _ALNUM | frozenset("_-+/=.")
 _URL_END = frozenset(" \t\n\r\f\v\"'<>`")
 
+_SEPARATORS = " \t:=#\"'"
 _SCHEMES = ("http://", "https://", "ftp://")
-#: Cues of account and document numbers, and of secrets; each also capitalised and in capitals.
+#: Cues of account and document numbers, and of secrets, in letters of either case.
 _ACCOUNT_CUES = ("iban", "account number", "account no", "passport", "ssn", "tax id")
+#: Words that may stand between an account cue and its number.
+_LINKS = frozenset(("no", "nr", "num", "number", "id", "code", "is", "was", "are", "of", "the", "my", "your"))
 _SECRET_CUES = ("password", "passwd", "secret", "token", "api_key", "apikey", "akia")
 
+#: A-Z to lower case; lower() would move the places of other letters.
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
 _AUTOMATON = None
 
 
@@ -49,8 +55,7 @@ def _automaton():
             a.add_word(d, ("digit", 1))
         for kind, cues in (("scheme", _SCHEMES), ("account", _ACCOUNT_CUES), ("secret", _SECRET_CUES)):
             for cue in cues:
-                for form in {cue, cue.capitalize(), cue.upper()}:
-                    a.add_word(form, (kind, len(form)))
+                a.add_word(cue, (kind, len(cue)))
         a.make_automaton()
         _AUTOMATON = a
     return _AUTOMATON
@@ -165,7 +170,7 @@ class _Tokens:
         return max(j, self.stop), self.digit >= j
 
 
-def _gap(text: str, i: int, kind: str = " \t:=#\"'") -> int:
+def _gap(text: str, i: int, kind: str = _SEPARATORS) -> int:
     """End of a separator of at most 8 characters."""
     j = i
     while j < len(text) and j - i < 8 and text[j] in kind:
@@ -182,6 +187,53 @@ def _value(text: str, i: int, least: int, tokens: _Tokens) -> tuple[int, int] |
     return (j, end) if end - j >= least and digit else None
 
 
+def _iban(text: str, start: int) -> int | None:
+    """End of an account number with valid check digits that starts here, its groups apart or not."""
+    n, i, plain, best = len(text), start, "", None
+    while i < n and len(plain) < 34:
+        if text[i] in _ALNUM:
+            plain += text[i].upper()
+            i += 1
+            if len(plain) >= 15 and (i == n or text[i] not in _ALNUM):
+                if plain[:2].isalpha() and plain[2:4].isdigit() and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+                    best = i
+        elif text[i] in " -" and i + 1 < n and text[i + 1] in _ALNUM:
+            i += 1
+        else:
+            break
+    return best
+
+
+def _account(text: str, i: int, tokens: _Tokens) -> tuple[int, int] | None:
+    """A number after a cue and perhaps linking words: with IBAN check digits, or a token of six characters or more with a digit, or groups of digits."""
+    j = _gap(text, i, _SEPARATORS + "." if text[max(0, i - 2) : i].lower() == "no" else _SEPARATORS)
+    while j > i:  # linking words, each with a separator after it
+        end = _run(text, j, _ALNUM) if j < len(text) and text[j] in _ALNUM and text[j] not in _DIGITS else j
+        if end == j or end - j > 6 or text[j:end].lower() not in _LINKS:
+            break
+        i, j = end, _gap(text, end, _SEPARATORS + ".")
+    if j == i:
+        return None
+    if end := _iban(text, j):
+        return j, end
+    end, digit = tokens.at(j)
+    if not digit:
+        return None
+    if all(c in _DIGITS or c == "-" for c in text[j:end]):  # more groups, of short ones or up to a long one
+        size = sum(c in _DIGITS for c in text[j:end])
+        while size < 34 and end + 1 < len(text) and text[end] == " " and text[end + 1] in _DIGITS:
+            stop = _run(text, end + 1, _DIGITS)
+            more = stop - end - 1
+            if more < 2 or size + more > 34 or (stop < len(text) and (text[stop].isalnum() or text[stop] == "_")) or (more < 6 and _longest(text[j:end]) > 5):
+                break
+            end, size = stop, size + more
+    return (j, end) if end - j >= 6 else None
+
+
+def _longest(groups: str) -> int:
+    return max(len(g) for g in groups.replace("-", " ").split(" "))
+
+
 def _secret(text: str, start: int, end: int, tokens: _Tokens) -> tuple[int, int] | None:
     if text[start:end] == "AKIA":  # a key's own beginning
         stop = _run(text, end, _ALNUM)
@@ -202,7 +254,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
                 spans.append((found[0], found[1], kind))
 
     ip_seen = 0
-    for last, (anchor, size) in _automaton().iter(text):
+    for last, (anchor, size) in _automaton().iter(text.encode().translate(_LOWER).decode()):
         start = last - size + 1
         if anchor == "digit":
             # Only a run's first digit, or the first after a match, can begin a match.
@@ -225,7 +277,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
                 keep("url", _url(text, start, last + 1))
         elif anchor == "account":
             if start >= end_of["account"] and not _word_before(text, start):
-                keep("account", _value(text, last + 1, 6, tokens))
+                keep("account", _account(text, last + 1, tokens))
         elif start >= end_of["secret"]:
             keep("secret", _secret(text, start, last + 1, tokens))
     order = {k: i for i, k in enumerate(KINDS)}
