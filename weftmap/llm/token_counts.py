@@ -2,7 +2,7 @@
 
 Documents are turned into pre-token frequencies; each distinct pre-token meets its occurrences from all
 documents in one shuffle, where the library's merges count its pieces once; the counts times the
-frequencies are then summed per document. No document's ids are ever made.
+frequencies are then summed per document. No document's ids are made, but for texts with runs of blanks, which are encoded whole.
 
 The rows that travel are one per (slice of documents, pre-token), with the documents' places in the slice
 and their frequencies packed into it. Two kinds of pre-token do not travel, because they would be the hot keys:
