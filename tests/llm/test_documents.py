@@ -296,12 +296,35 @@ def test_token_counts(spark, byte_ids):
     assert count_tokens(docs(spark, []), BYTE).collect() == []
 
 
-def test_vocabulary_entries_are_one_piece():
-    from weftmap.llm._tokens import encoder
+def test_token_counts_of_runs_of_blanks(spark):
+    from tokenizers import Tokenizer
+
+    from weftmap.llm.token_counts import count_tokens
+
+    texts = [(t or "").replace(" ", blank) for t in TEXTS for blank in ("  ", " \n", "\n ", "\t", " \x0b ")]
+    texts += [" " * 20_000, "a" + " " * 20_000 + "b", "x  <|endoftext|>  y <|endoftext|>\n z", " \n" * 500]
+    data = [(i, t, *[None] * 8) for i, t in enumerate(texts)]
+    library = Tokenizer.from_file(BYTE)
+    found = by_id(count_tokens(docs(spark, data), BYTE), "doc_id", "n_tokens")
+    assert found == [[i, len(library.encode(t, add_special_tokens=False).ids)] for i, t in enumerate(texts)]
+
+
+def test_other_tokenizer_files_are_used_whole(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from weftmap.llm._tokens import ChunkEncoder
 
-    enc = encoder(BYTE)
-    assert len(enc.vocabulary) > 30_000
-    assert all(len(enc.whole(p)) == 1 for p in sorted(enc.vocabulary)[::50])
+    with open(BYTE) as f:
+        other = json.load(f)
+    other["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(other))
+    own, library = ChunkEncoder(str(path)), Tokenizer.from_file(str(path))
+    assert not own.cuts
+    for text, ids in zip(TEXTS[:12], own.encode([t or "" for t in TEXTS[:12]])):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
 def test_language_model_scores(spark, byte_ids):

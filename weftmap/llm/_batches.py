@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -28,3 +29,17 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES, rows: int
 def texts_of(batch: pa.RecordBatch, text: str) -> list[str]:
     """The texts of a batch; a null counts as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+
+
+def squeezed(a: np.ndarray) -> bytes:
+    """An array's bytes, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+
+
+def expanded(data: bytes, dtype: str) -> np.ndarray:
+    """The array behind compressed bytes."""
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=dtype)

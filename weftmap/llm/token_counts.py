@@ -1,13 +1,12 @@
 """Token counts by counting the pieces of each distinct pre-token once.
 
-Documents are turned into pre-token frequencies; each distinct pre-token meets its occurrences from all
-documents in one shuffle, where the library's merges count its pieces once; the counts times the
-frequencies are then summed per document. No document's ids are made, but for texts with runs of blanks, which are encoded whole.
-
-The rows that travel are one per (slice of documents, pre-token), with the documents' places in the slice
-and their frequencies packed into it. Two kinds of pre-token do not travel, because they would be the hot keys:
-entries of the vocabulary, which are one piece each, and those in more than one in ``HOT`` of a slice's
-documents, which the slice counts itself.
+Documents are turned into pre-token frequencies, a slice of documents at a time: the slice's distinct pre-tokens are numbered, and its
+frequencies are written, with those numbers, to the shared folder. All slices' pre-tokens then meet in a relational join with a
+table of distinct pre-tokens, in which the library's merges have counted the pieces of each once. The counts go
+back to their slices, where they are multiplied with the frequencies and summed per document. No document's ids are made.
+
+What travels is a row per slice and distinct pre-token, however often it occurs: a frequent pre-token is no hot key beyond a row a
+slice. The slices are stored once and numbered in what is stored, so lost tasks can't make numbers and counts disagree.
 """
 
 from __future__ import annotations
@@ -16,38 +15,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import slices, texts_of
-from ._tokens import encoder
+from ._batches import expanded, slices, squeezed, texts_of
+from ._store import materialize
+from ._tokens import encoder, forget_encoders
 
 #: Bytes of text in a slice, and documents at most.
 SLICE_BYTES, SLICE_DOCS = 8_000_000, 60_000
-#: A pre-token in more than one in HOT of a slice's documents is counted by the slice.
-HOT = 64
-#: Documents' sums a task holds before it hands them on.
-HELD = 4_000_000
-
-_POSTINGS = "key string, slice long, docs binary, counts binary, doc_ids binary, nulls binary"
-_SUMS = "slice long, docs binary, counts binary, doc_ids binary, nulls binary"
-_OUT = "doc_id long, n_bytes long, n_tokens long"
-
-_NAMES = ["key", "slice", "docs", "counts", "doc_ids", "nulls"]
-_TYPES = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
-
-def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * len(names), types)], names=names)
+_SLICES = "slice long, doc_ids binary, nulls binary, sizes binary, spread binary, tokens binary, times binary, words array<string>"
+_NAMES = ["slice", "doc_ids", "nulls", "sizes", "spread", "tokens", "times", "words"]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
     A null text is empty, with 0 tokens. Repeated and null ids give a row each; other columns are ignored;
-    an empty table gives no row. ``docs`` must list its rows in the same order whenever it is computed, as a
-    scan does, since slices are numbered by task.
+    an empty table gives no row. With a tokenizer file of unknown settings a whole text is one pre-token.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
 
@@ -58,153 +44,83 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for piece in slices(batch, "t", SLICE_BYTES, SLICE_DOCS):
-                yield from _slice_rows(enc, piece, number)
+                yield _slice_row(enc, piece, number)
                 number += 1
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        known: dict[str, int] = {}
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def hand_on() -> pa.RecordBatch:
-            """Sums by slice and document of what is held, a row a slice."""
-            number, at, n = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, dtype=np.int64) for k in range(3))
-            slices_, which = np.unique(number, return_inverse=True)
-            place, inverse = np.unique((which.astype(np.int64) << 16) | at, return_inverse=True)
-            total = np.bincount(inverse, weights=n).astype("<u4") if len(n) else np.zeros(0, dtype="<u4")
-            edge = np.searchsorted(place >> 16, np.arange(len(slices_) + 1))
-            empty = pa.nulls(len(slices_), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(slices_), _cut((place & 0xFFFF).astype("<u2"), edge), _cut(total, edge), empty, empty], names=_NAMES[1:])
-
         for batch in batches:
-            passing = batch.filter(pc.is_valid(batch.column("doc_ids")))
-            if passing.num_rows:
-                yield passing.select(_NAMES[1:])
-            batch = batch.filter(pc.is_null(batch.column("doc_ids")))
-            if not batch.num_rows:
-                continue
-            keys = batch.column("key").to_pylist()
-            if len(known) > 500_000:
-                known.clear()
-            for key in keys:
-                if key not in known:
-                    known[key] = enc.pieces(key)
-            pieces = np.array([known[key] for key in keys], dtype=np.int64)
-            at, edge = _flat(batch.column("docs"), "<u2")
-            freq, _ = _flat(batch.column("counts"), np.uint8)
-            n = np.diff(edge)
-            held.append((np.repeat(batch.column("slice").to_numpy(), n), at.astype(np.int64), freq * np.repeat(pieces, n)))
-            size += len(at)
-            if size > HELD:
-                yield hand_on()
-                held.clear()
-                size = 0
-        yield hand_on()
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, base, at, more = None, None, [], []
-
-        def done() -> pa.RecordBatch:
-            doc_ids, nulls, sizes, counts = base
-            total = counts.astype(np.int64)
-            if at:
-                np.add.at(total, np.concatenate(at), np.concatenate(more))
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=nulls), pa.array(sizes), pa.array(total)], names=["doc_id", "n_bytes", "n_tokens"])
+            words = batch.column("word")
+            yield pa.RecordBatch.from_arrays([words, pa.array([enc.pieces(w) for w in words.to_pylist()], pa.int64())], names=["word", "pieces"])
 
-        for batch in batches:
-            for n, docs_, counts, doc_ids, nulls in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if n != number:
-                    if base is not None:
-                        yield done()
-                    number, base, at, more = n, None, [], []
-                if doc_ids is not None:
-                    base = (np.frombuffer(doc_ids, dtype="<i8"), np.frombuffer(nulls, dtype=bool), np.frombuffer(docs_, dtype="<i8"), np.frombuffer(counts, dtype="<i8"))
-                else:
-                    at.append(np.frombuffer(docs_, dtype="<u2").astype(np.int64))
-                    more.append(np.frombuffer(counts, dtype="<u4").astype(np.int64))
-        if base is not None:
-            yield done()
-
-    postings = rows.mapInArrow(frequencies, _POSTINGS)
-    # A slice's own row spreads by its number, a posting goes where its pre-token is counted.
-    met = postings.repartition(F.coalesce(F.xxhash64("key"), F.xxhash64("slice"))).mapInArrow(add_up, _SUMS)
-    per_doc = met.repartition("slice").sortWithinPartitions("slice").mapInArrow(finish, _OUT)
-    return per_doc.withColumn("over_limit", F.col("n_tokens") > limit)
-
-
-def _cut(values: np.ndarray, edge: np.ndarray) -> pa.Array:
-    """A binary column whose entries are the stretches of ``values`` between the edges."""
-    offsets = (edge * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
-
-
-def _flat(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """The entries of a binary column without nulls as one array, and the edges between them."""
-    width = np.dtype(dtype).itemsize
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1 + column.offset)[column.offset :]
-    data = column.buffers()[2]
-    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
-    return np.ascontiguousarray(raw).view(dtype), (offsets - offsets[0]).astype(np.int64) // width
-
-
-def _slice_rows(enc, piece: pa.RecordBatch, number: int) -> Iterator[pa.RecordBatch]:
-    """The postings of one slice, and its own row with the documents and what is counted already."""
+    stored = materialize(rows.mapInArrow(frequencies, _SLICES), "slices")
+    words = stored.select("slice", F.posexplode("words").alias("at", "word"))
+    counted = materialize(words.select("word").distinct().mapInArrow(pieces, "word string, pieces long"), "pieces")
+    known = words.join(counted, "word").select("slice", "at", F.col("pieces").cast("int").alias("pieces"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in stored.schema if f.name not in ("slice", "words")))
+    # A slice's own row comes after the counts of its pre-tokens, which come in the order of their numbers.
+    own = stored.select("slice", F.lit(2**31 - 1).alias("at"), F.lit(None).cast("int").alias("pieces"), *(c for c in stored.columns if c not in ("slice", "words")))
+    met = known.union(own).repartition("slice").sortWithinPartitions("slice", "at")
+    return met.mapInArrow(_summed, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def _slice_row(enc, piece: pa.RecordBatch, number: int) -> pa.RecordBatch:
+    """One slice: its documents, their frequencies of numbered pre-tokens, and the pre-tokens by number."""
     texts = texts_of(piece, "t")
-    ids = piece.column(0)
     of_chunk: dict[str, int] = {}
     at, freq, docs = [], [], []
-    sure = np.zeros(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
         chunks = enc.split(text)
-        if chunks is None:
-            sure[i] = len(enc.whole(text))
-            continue
         mine = np.fromiter((of_chunk.setdefault(c, len(of_chunk)) for c in chunks), dtype=np.int64, count=len(chunks))
         u, n = np.unique(mine, return_counts=True)
         at.append(u)
         freq.append(n)
         docs.append(np.full(len(u), i))
-    if at:
-        at, freq, docs = np.concatenate(at), np.concatenate(freq), np.concatenate(docs)
-        # Each distinct chunk falls into pre-tokens: those of the vocabulary are one piece, the others are numbered.
-        known, numbers, ones, owner, other = enc.vocabulary, {}, np.zeros(len(of_chunk), dtype=np.int64), [], []
-        for chunk, k in of_chunk.items():
-            for p in enc.pre_tokens(chunk):
-                if p in known:
-                    ones[k] += 1
-                else:
-                    owner.append(k)
-                    other.append(numbers.setdefault(p, len(numbers)))
-        sure += np.bincount(docs, weights=ones[at] * freq, minlength=len(texts)).astype(np.int64)
-        owner, other = np.array(owner, dtype=np.int64), np.array(other, dtype=np.int64)
-        start = np.searchsorted(owner, np.arange(len(of_chunk) + 1))
-        many = np.diff(start)[at]
-        pick = np.repeat(start[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        tok, doc, n = other[pick], np.repeat(docs, many), np.repeat(freq, many)
-        order = np.lexsort((doc, tok))
-        tok, doc, n = tok[order], doc[order], n[order]
-        if len(tok):  # one entry a pre-token and document
-            new = np.concatenate([[True], (np.diff(tok) != 0) | (np.diff(doc) != 0)])
-            n = np.add.reduceat(n, np.flatnonzero(new))
-            tok, doc = tok[new], doc[new]
-        names = list(numbers)
-        spread = np.bincount(tok, minlength=len(names))
-        hot = spread * HOT > max(len(texts), HOT)
-        pieces = np.array([enc.pieces(p) if h else 0 for p, h in zip(names, hot.tolist())], dtype=np.int64)
-        sure += np.bincount(doc, weights=pieces[tok] * n, minlength=len(texts)).astype(np.int64)
-        keep = ~hot[tok]
-        tok, doc, n = tok[keep], doc[keep], n[keep]
-        names = pa.array(names, pa.string())
-        while len(tok):  # frequencies over 255 go as several entries
-            now = np.minimum(n, 255)
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(tok)) + 1, [len(tok)]])
-            rows, empty = len(edge) - 1, pa.nulls(len(edge) - 1, pa.binary())
-            columns = [names.take(pa.array(tok[edge[:-1]])), pa.array(np.full(rows, number)), _cut(doc.astype("<u2"), edge), _cut(now.astype(np.uint8), edge), empty, empty]
-            yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
-            n = n - now
-            tok, doc, n = tok[n > 0], doc[n > 0], n[n > 0]
-    sizes = np.array([len(t.encode()) for t in texts], dtype="<i8")
-    doc_ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
-    nulls = ids.is_null().to_numpy(zero_copy_only=False)
-    yield _batch([(None, number, sizes.tobytes(), sure.astype("<i8").tobytes(), doc_ids.tobytes(), nulls.tobytes())], _NAMES, _TYPES)
+    at, freq, docs = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (at, freq, docs))
+    numbers: dict[str, int] = {}
+    edge, flat = [0], []
+    for chunk in of_chunk:
+        flat += [numbers.setdefault(p, len(numbers)) for p in enc.pre_tokens(chunk) if p]
+        edge.append(len(flat))
+    edge, flat = np.array(edge), np.array(flat, dtype=np.int64)
+    many = np.diff(edge)[at]
+    pick = np.repeat(edge[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    key = np.repeat(docs, many) * max(1, len(numbers)) + flat[pick]
+    order = np.argsort(key, kind="stable")
+    key, times = key[order], np.repeat(freq, many)[order]
+    new = np.flatnonzero(np.diff(key, prepend=-1))
+    key, times = key[new], (np.add.reduceat(times, new) if len(new) else times)
+    doc, token = np.divmod(key, max(1, len(numbers)))
+    ids = piece.column(0)
+    columns = [
+        [number],
+        [ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()],
+        [ids.is_null().to_numpy(zero_copy_only=False).tobytes()],
+        [np.array([len(t.encode()) for t in texts], dtype="<i8").tobytes()],
+        [np.bincount(doc, minlength=len(texts)).astype("<i8").tobytes()],
+        [squeezed(token.astype("<u4"))],
+        [squeezed(times.astype("<u4"))],
+        [list(numbers)],
+    ]
+    types = [pa.int64(), *[pa.binary()] * 6, pa.list_(pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=_NAMES)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a slice's pre-tokens in order, then the slice: its documents with their sums."""
+    forget_encoders()
+    held: list[np.ndarray] = []
+    for batch in batches:
+        counts = batch.column("pieces").to_numpy(zero_copy_only=False)
+        lo = 0
+        for i in np.flatnonzero(batch.column("pieces").is_null().to_numpy(zero_copy_only=False)).tolist():
+            held.append(counts[lo:i])
+            lo = i + 1
+            doc_ids, nulls, sizes, spread, tokens, times = (batch.column(c)[i].as_py() for c in _NAMES[1:7])
+            pieces, spread = np.concatenate(held).astype(np.int64), np.frombuffer(spread, dtype="<i8")
+            held = []
+            value = pieces[expanded(tokens, "<u4")] * expanded(times, "<u4")
+            total = np.diff(np.concatenate([[0], np.cumsum(value)])[np.concatenate([[0], np.cumsum(spread)])])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.frombuffer(doc_ids, dtype="<i8"), mask=np.frombuffer(nulls, dtype=bool)), pa.array(np.frombuffer(sizes, dtype="<i8")), pa.array(total)], names=["doc_id", "n_bytes", "n_tokens"]
+            )
+        held.append(counts[lo:])
