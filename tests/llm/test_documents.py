@@ -218,6 +218,21 @@ def test_token_files(spark, tmp_path):
     assert read_token_files(write_token_files(docs(spark, []), f"file://{tmp_path}/none", WORD, 2)).collect() == []
 
 
+def test_token_files_roll_over_and_are_read_in_parts(spark, tmp_path, monkeypatch):
+    from weftmap.llm import token_files
+
+    monkeypatch.setattr(token_files, "READ_IDS", 50)
+    data = [(i % 40, f"text {i} " * (i % 7), *[None] * 8) for i in range(300)]
+    whole = by_id(token_files.read_token_files(token_files.write_token_files(docs(spark, data), f"file://{tmp_path}/whole", WORD, 2)), "doc_id", "n_tokens", "ids_crc32")
+    monkeypatch.setattr(token_files, "FILE_IDS", 100)
+    monkeypatch.setattr(token_files, "READ_DOCS", 3)
+    manifest = token_files.write_token_files(docs(spark, data), f"file://{tmp_path}/parts", WORD, 2)
+    found = token_files.read_token_files(manifest)
+    assert manifest.count() > 4 and by_id(found, "doc_id", "n_tokens", "ids_crc32") == whole
+    rows = sorted(found.collect(), key=lambda r: r.start)
+    assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1]] and [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+
+
 def test_elias_fano():
     from weftmap.llm.token_files import EliasFano
 
@@ -227,6 +242,8 @@ def test_elias_fano():
         ef = EliasFano.encode(values)
         assert (ef.all() == values).all()
         assert [ef.select(i) for i in range(0, n, 97)] == values[::97].tolist()
+        for lo, hi in ((0, n), (0, min(1, n)), (n // 3, n // 2), (max(0, n - 5), n), (n // 2, min(n, n // 2 + 600)), (min(n, 512), min(n, 1024))):
+            assert ef.selects(lo, hi).tolist() == values[lo:hi].tolist()
         if n > 1000 and top > 1000:
             assert 8 * (len(ef.low) + len(ef.high)) <= n * (2 + math.log2(top / n) + 1)
 

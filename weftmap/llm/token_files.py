@@ -31,6 +31,8 @@ MAGIC = b"WEFTIDS1"
 #: A file is closed once it holds this many ids.
 FILE_IDS = 64_000_000
 SELECT_EVERY = 512
+#: Documents whose boundaries are selected, and ids that are read, in one go.
+READ_DOCS, READ_IDS = 16_384, 4_000_000
 
 _MANIFEST = "file string, shard int, part int, n_docs long, n_ids long"
 _ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -73,10 +75,22 @@ class EliasFano:
             low |= ((int(self.low[k >> 3]) >> (k & 7)) & 1) << b
         return ((one - i) << self.low_bits) | low
 
+    def selects(self, lo: int, hi: int) -> np.ndarray:
+        """Values lo to hi, by select: the samples bound the stretch of high bits to read."""
+        if lo >= hi:
+            return np.zeros(0, dtype=np.int64)
+        start, after = int(self.samples[lo // SELECT_EVERY]), -(-hi // SELECT_EVERY)
+        stop = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[start >> 3 : (stop >> 3) + 1], bitorder="little")[start & 7 :]) + start
+        at = np.arange(lo, hi)
+        ones = ones[at - lo // SELECT_EVERY * SELECT_EVERY]
+        first = lo * self.low_bits
+        low = np.unpackbits(self.low[first >> 3 : (hi * self.low_bits >> 3) + 1], bitorder="little")[first & 7 :][: len(at) * self.low_bits]
+        low = (low.reshape(len(at), self.low_bits).astype(np.int64) << np.arange(self.low_bits)).sum(axis=1, dtype=np.int64)
+        return ((ones - at) << self.low_bits) | low
+
     def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        low = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        return ((ones - np.arange(self.n)) << self.low_bits) | (low << np.arange(self.low_bits)).sum(axis=1, dtype=np.int64)
+        return self.selects(0, self.n)
 
 
 def _filesystem(path: str):
@@ -159,14 +173,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
 
     ``path`` must be a folder that driver and executors share. Documents are dealt to tasks by ranges of
     (id, hash of text), so equal ids do not meet in one task; within a file they are sorted likewise.
+    Rows with the same id and text are further parted by a number of their own, so that no group of copies is one task's.
     A null id comes first, a null text is empty, repeated rows are written repeatedly, other columns are
     ignored. Of an empty table no file is written. Returns the manifest: one row per file with the number of
     documents, of ids, and of ids before it (``base``). The manifest is what the driver gathers: a row a file.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
-    rows = rows.repartitionByRange(parts, "d", "h").sortWithinPartitions("d", "h").select("d", "t")
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("n"))
+    rows = rows.repartitionByRange(parts, "d", "h", "n").sortWithinPartitions("d", "h", "n").select("d", "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -219,24 +234,34 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 f = TokenFile(row["file"])
-                ends = f.ends.all()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                lo = 0
-                while lo < len(ends):
-                    hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + 4_000_000, "right")))
-                    block = f.ids(int(starts[lo]), int(ends[hi - 1])).astype("<u4")
-                    at = starts[lo]
-                    crcs = [zlib.crc32(block[s - at : e - at].tobytes()) for s, e in zip(starts[lo:hi], ends[lo:hi])]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(f.doc_ids[lo:hi], pa.int64(), mask=f.null_ids[lo:hi]), pa.array(starts[lo:hi] + row["base"]), pa.array(ends[lo:hi] - starts[lo:hi]), pa.array(crcs, pa.int64())],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                    )
-                    lo = hi
+                for first in range(0, len(f), READ_DOCS):
+                    yield from _read_some(f, first, min(first + READ_DOCS, len(f)), row["base"])
 
     n = max(1, manifest.count())
     return manifest.repartition(n, "base").mapInArrow(read, _ROWS)
 
 
+def _read_some(f: TokenFile, first: int, last: int, base: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the documents first to last of one file, whose boundaries come from select."""
+    ends = f.ends.selects(first, last)
+    starts = np.concatenate([[f.ends.select(first - 1) if first else 0], ends[:-1]]).astype(np.int64)
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + READ_IDS, "right")))
+        block = f.ids(int(starts[lo]), int(ends[hi - 1])).astype("<u4")
+        at = starts[lo]
+        crcs = [zlib.crc32(block[s - at : e - at].tobytes()) for s, e in zip(starts[lo:hi], ends[lo:hi])]
+        own = slice(first + lo, first + hi)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(f.doc_ids[own], pa.int64(), mask=f.null_ids[own]), pa.array(starts[lo:hi] + base), pa.array(ends[lo:hi] - starts[lo:hi]), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
+        )
+        lo = hi
+
+
 def token_file_digest(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """Write the files to the shared folder and read every document back from them."""
+    """Write the files to the shared folder and read every document back from them: doc_id, start, n_tokens, ids_crc32.
+
+    A null text is empty and has its end id only; null ids come first; repeated rows are written repeatedly; other columns are
+    ignored; an empty table gives no row.
+    """
     return read_token_files(write_token_files(docs, fresh_path(docs.sparkSession, "ids"), tokenizer, end_id))
