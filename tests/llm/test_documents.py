@@ -279,8 +279,50 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in contamination(docs(spark), bench.limit(0)).collect())
     kept = decontaminate(docs(spark), bench)
     assert kept.columns == docs(spark).columns and {r.doc_id for r in kept.collect()} == {e[0] for e in expected if not e[5]} - {e[0] for e in expected if e[5]}
+    assert {r.doc_id for r in decontaminate(docs(spark), bench, block_bytes=40).collect()} == {r.doc_id for r in kept.collect()}
     best = {(r.item_id, r.item_start, r.n_words, r.doc_id, r.doc_start) for r in longest_matches(docs(spark), bench).collect()}
-    assert ("1", 0, 12, 15, 0) in best and ("1", 2, 10, 15, 2) in best and ("5", 0, 11, 2, 1) in best
+    assert ("1", 0, 12, 15, 0) in best and ("5", 0, 11, 2, 1) in best and not any(b[:3] == ("1", 2, 10) for b in best)
+
+
+def test_longest_matches_against_brute_force(spark):
+    from weftmap.llm.decontamination import contamination, longest_matches, words_of
+
+    rng = np.random.default_rng(6)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 3, rng.integers(0, 60)))) for i in range(30)] + [(None, "w0 w1 w0 w1 w0"), (None, "w2 w2 w2 w2")]
+    items += [(40, items[3][1] + " and more of it " + items[4][1])]
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3, rng.integers(0, 90))) for _ in range(40)]
+    texts += [f"before {items[i][1]} after" for i in (0, 5, 9)] + ["x " + items[-1][1] * 2, None, ""]
+    data = [(i, t, *[None] * 8) for i, t in enumerate(texts)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    tests = {i: words_of(t) for i, t in enumerate(t for _, t in items)}
+
+    def reach(w, p):
+        """The longest match at p, among items with a window there."""
+        best = 0
+        for own in tests.values():
+            for s in range(len(own)):
+                n = 0
+                while p + n < len(w) and s + n < len(own) and w[p + n] == own[s + n]:
+                    n += 1
+                if n >= 6 or (n == len(own) and s == 0):
+                    best = max(best, n)
+        return best
+
+    for options in ({}, {"block_bytes": 200}):
+        for r in contamination(docs(spark, data), bench, window=6, **options).collect():
+            w = words_of(texts[r.doc_id] or "")
+            lengths = [reach(w, p) for p in range(len(w))]
+            assert r.longest == max(lengths, default=0) and r.longest_start == (lengths.index(r.longest) if r.longest else None)
+            if r.longest_item is not None:
+                own = tests[[str(i) for i, _ in items].index(r.longest_item)]
+                assert own[r.longest_item_start : r.longest_item_start + r.longest] == w[r.longest_start : r.longest_start + r.longest]
+    found = {}
+    for r in longest_matches(docs(spark, data), bench, 6).collect():
+        found.setdefault(r.doc_id, []).append((r.doc_start, r.n_words))
+    for i, t in enumerate(texts):
+        w = words_of(t or "")
+        spans = [(p, n) for p in range(len(w)) if (n := max((k for k in [reach(w, p)] if k >= 6), default=0))]
+        assert sorted(found.get(i, [])) == [s for k, s in enumerate(spans) if not any(sum(o) >= sum(s) for o in spans[:k])]
 
 
 def test_license_scan(spark):

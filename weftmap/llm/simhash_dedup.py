@@ -18,9 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._batches import slices, texts_of
 from ._pairs import meet, pairs, star, whole_groups
+from ._rows import fresh_name, join_hot, quoted, without_rows
 from ._store import materialize
 from .components import connected_components
 
@@ -210,6 +212,17 @@ def simhash_links(unique: DataFrame) -> DataFrame:
     return meet(rows, "key", "fp").mapInArrow(_verified, "u long, v long")
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """(fp, n_rows, winner) of every fingerprint of ``rows`` (fp, d, r): how many rows have it, and the row that stands for its component,
+    as (whether its id is null, the id, the row's number): that with the smallest id, and of several the first."""
+    own = F.min(F.struct(F.col("d").isNull().alias("no_id"), "d", "r")).alias("first")
+    unique = materialize(rows.groupBy("fp").agg(own, F.count("*").alias("n_rows")), "unique")
+    parts = connected_components(simhash_links(unique))
+    labelled = unique.join(parts, unique.fp == parts.node, "left").select("fp", "first", "n_rows", F.coalesce("component", "fp").alias("label"))
+    winners = labelled.groupBy("label").agg(F.min("first").alias("winner"), F.count("*").alias("_n"))
+    return materialize(join_hot(labelled.drop("first"), winners, "label", "_n").select("fp", "n_rows", "winner"), "classes")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits), component_id (smallest id reachable by links), kept.
 
@@ -218,18 +231,27 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are ignored; an empty table gives no row.
     """
     rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    unique = materialize(rows.groupBy("fp").agg(F.min("d").alias("low")), "unique")
-    parts = connected_components(simhash_links(unique))
-    labelled = unique.join(parts, unique.fp == parts.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("label"))
-    lowest = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = labelled.join(lowest, "label").select("fp", "component_id")
-    return rows.join(named, "fp").select(
+    named = _classes(rows.withColumn("r", F.lit(0).cast("long"))).select("fp", "n_rows", F.col("winner.d").alias("component_id"))
+    return join_hot(rows, named, "fp", "n_rows").select(
         F.col("d").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("d") == F.col("component_id"), F.lit(False)).alias("kept")
     )
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the near-duplicates: of each group the row with the smallest id stays. All columns are kept as they are.
-    Rows that share an id stay or go together; rows with a null id stay."""
-    gone = simhash_groups(docs, id_col, text_col).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    """``docs`` without the near-duplicates: of each group one row stays, that with the smallest id; of several with that id, or if all
+    ids are null, the first as stored. Other rows go, whatever their ids are elsewhere. All columns are kept as they are; an empty table stays empty.
+    """
+    number, fp = fresh_name(docs.columns, "row"), fresh_name(docs.columns, "fp")
+    names = [*docs.columns, number]
+    numbered = docs.select(*(quoted(c) for c in docs.columns), F.monotonically_increasing_id().alias(number))
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, text_col):
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(_fingerprints_of(texts_of(piece, text_col)).view("<i8"))], names=[*names, fp])
+
+    schema = T.StructType([*numbered.schema.fields, T.StructField(fp, T.LongType())])
+    stored = materialize(numbered.mapInArrow(compute, schema), "documents")
+    rows = stored.select(F.col(quoted(id_col)).cast("long").alias("d"), F.col(number).alias("r"), F.col(fp).alias("fp"))
+    found = join_hot(rows, _classes(rows).select("fp", "n_rows", F.col("winner.r").alias("stays")), "fp", "n_rows")
+    return without_rows(stored.drop(fp), number, materialize(found.where(F.col("r") != F.col("stays")).select("r"), "gone"))
