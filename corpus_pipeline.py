@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftmap.llm._store import materialize
+from weftmap.llm._store import delete_path, materialize, noting_tables, path_of, release
 from weftmap.llm.decontamination import decontaminate
 from weftmap.llm.packing import pack
 from weftmap.llm.personal_data import redact_documents
@@ -59,8 +59,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``. A stage's own tables and its input are deleted once its result is stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with noting_tables() as made:
+            kept = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        for path in made:
+            if path != path_of(kept):
+                delete_path(spark, path)
+        release(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

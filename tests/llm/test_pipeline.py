@@ -44,22 +44,10 @@ def quality_by_hand(data, labels):
                 target.update(f[part])
         share = sum(target.values()) / max(1, sum(raw.values()))
         ratio.append({k: float(np.float32(math.log((target[k] + 1) / (n * share + 1)))) for k, n in raw.items() if n * share >= 5})
-    score = {i: sum(r.get(k, 0) for f, r in zip(fs, ratio) for k in f) / (sum(map(len, fs)) + 20) for i, fs in enumerate(feats) if fs[0]}
-    seen, g, b = set(), [], []
-    for i, r in enumerate(data):
-        if i in score and r[0] in good | bad and r[0] not in seen:
-            seen.add(r[0])
-            (g if r[0] in good else b).append(score[i])
-    if g and b:
-        edges = sorted({*g, *b})
-        cuts = [edges[0] - 1, *((x + y) / 2 for x, y in zip(edges, edges[1:])), edges[-1] + 1]
-        gain = [10 * sum(x >= c for x in g) / len(g) + sum(x < c for x in b) / len(b) for c in cuts]
-        best = [c for c, x in zip(cuts, gain) if x > max(gain) - 1e-12]
-        tau = (best[0] + best[-1]) / 2
-    else:
-        tau = -math.inf
-    key = {i: s / 0.001 - math.log(-math.log((zlib.crc32(f"42:{data[i][0]}".encode(), zlib.crc32(data[i][1].encode())) + 0.5) / 2**32)) for i, s in score.items()}
-    k = sum(s >= tau for s in score.values())
+    score = {i: sum(r.get(k, 0) for f, r in zip(fs, ratio) for k in f) for i, fs in enumerate(feats) if fs[0]}
+    share = len(good) / (len(good) + len(bad)) if good and bad else 1.0
+    key = {i: s - math.log(-math.log((zlib.crc32(f"42:{data[i][0]}".encode(), zlib.crc32(data[i][1].encode())) + 0.5) / 2**32)) for i, s in score.items()}
+    k = round(share * len(score))
     last = sorted(key.values(), reverse=True)[k - 1] if k else math.inf
     return score, {i for i, x in key.items() if x >= last}
 
@@ -90,7 +78,7 @@ def test_quality_draw(spark):
     score, kept = quality_by_hand(numbered, labels)
     found = {r.doc_id: r for r in quality_scores(docs(spark, numbered), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert {i for i, r in found.items() if r.kept} == kept and 0 < len(kept) < len(score)
-    assert all((r.score is None) == (i not in score) and (r.score is None or abs(r.score - score[i]) < 1e-5) for i, r in found.items())
+    assert all((r.score is None) == (i not in score) and (r.score is None or abs(r.score - score[i]) < 1e-5 * max(1, abs(score[i]))) for i, r in found.items())
 
 
 def test_stages(spark, tmp_path):
@@ -107,8 +95,7 @@ def test_stages(spark, tmp_path):
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
     _, kept = quality_by_hand(data, labels)
-    gone = {r[0] for i, r in enumerate(data) if i not in kept and r[0] is not None}
-    left = [r[:2] for r in data if r[0] not in gone]
+    left = [data[i][:2] for i in sorted(kept)]
     prints = [int(x) for x in _fingerprints_of([t or "" for _, t in left])]
     label = list(range(len(left)))
     for _ in range(4):
@@ -116,11 +103,10 @@ def test_stages(spark, tmp_path):
             for j, b in enumerate(prints):
                 if (a ^ b).bit_count() <= 3:
                     label[i] = label[j] = min(label[i], label[j])
-    low = {k: min((d for (d, _), m in zip(left, label) if m == k and d is not None), default=None) for k in set(label)}
-    gone = {d for (d, _), k in zip(left, label) if d is not None and d != low[k]}
-    left = [(d, t) for d, t in left if d not in gone]
-    bad = {d for d, t in left if "passage of ten words that is in the benchmark too" in (t or "")}
-    left = [(d, None if t is None else redact(t)) for d, t in left if d not in bad]
+    first = {k: min((d is None, d or 0, i) for i, ((d, _), m) in enumerate(zip(left, label)) if m == k)[2] for k in set(label)}
+    left = [left[i] for i in sorted(first.values())]
+    bad = [d for d, t in left if "passage of ten words that is in the benchmark too" in (t or "")]
+    left = [(d, None if t is None else redact(t)) for d, t in left if "passage of ten words that is in the benchmark too" not in (t or "")]
     encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = Counter()
     for d, t in left:
@@ -136,6 +122,42 @@ def test_stages(spark, tmp_path):
         assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
 
 
+def test_stages_decide_rows_and_keep_columns_of_any_name(spark):
+    from pyspark.sql import types as T
+
+    from weftmap.llm.decontamination import decontaminate
+    from weftmap.llm.personal_data import redact_documents
+    from weftmap.llm.quality import keep_quality
+    from weftmap.llm.simhash_dedup import simhash_dedup
+
+    clash = ["_gone", "_bad", "_rejected", "_row", "_fp", "_doc", "_n", "_weight", "_draw", "_LABEL", "a.b"]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in clash)])
+    leak = "passage of ten words that is in the benchmark too"
+    a, b, c = ("one text of its own about rivers and their long ways to the sea", "quite another one on mountains which nobody has ever climbed before", "a third text that tells of ships and harbours in the far north")
+    rows = [(3, a), (7, a), (7, b), (None, a), (5, None), (5, ""), (8, f"it has a {leak} and more"), (8, c), (None, f"so does this {leak}"), (9, c), (9, c)]
+    frame = spark.createDataFrame([(*r, *[i] * len(clash)) for i, r in enumerate(rows)], schema)
+    kept = simhash_dedup(frame)
+    assert kept.schema == frame.schema and sorted(r._gone for r in kept.collect()) == [0, 2, 4, 6, 7, 8]
+    kept = decontaminate(frame, spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    assert kept.schema == frame.schema and sorted(r._gone for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 9, 10]
+    assert redact_documents(frame).schema == frame.schema
+    labels = spark.createDataFrame([(3, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
+    kept = keep_quality(frame, labels)
+    assert kept.schema == frame.schema and 4 <= kept.count() <= 5
+    assert sorted(r._gone for r in keep_quality(frame, labels, keep_share=1.0).collect()) == [0, 1, 2, 3, 6, 7, 8, 9, 10]
+
+
+def test_rejected_rows_are_joined_by_shuffle_if_many(spark, monkeypatch):
+    from weftmap.llm import _rows
+
+    monkeypatch.setattr(_rows, "SENT_ROWS", 3)
+    stored = spark.range(20).selectExpr("id n", "id x")
+    assert sorted(r.x for r in _rows.without_rows(stored, "n", spark.range(0, 20, 2)).collect()) == list(range(1, 20, 2))
+    table = spark.createDataFrame([(k, k * 10, 100 * k) for k in range(4)], "k long, v long, w long")
+    met = _rows.join_hot(spark.range(40).selectExpr("id % 4 k", "id"), table, "k", "w", hot=150)
+    assert sorted((r.id, r.v) for r in met.collect()) == [(i, i % 4 * 10) for i in range(40)]
+
+
 def test_stages_on_nothing(spark, tmp_path):
     import corpus_pipeline
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +21,11 @@ def fresh_name(columns: Sequence[str], stem: str) -> str:
     return name
 
 
-def quoted(column: str) -> str:
-    """A column name for expressions, dots and all."""
-    return "`" + column.replace("`", "``") + "`"
+def by_position(docs: DataFrame, run: Callable[..., DataFrame], *columns: str) -> DataFrame:
+    """``run`` on the rows with columns named c0, c1 and so on, and the new names of ``columns``; its result gets the old names again.
+    So columns may have any names, which functions on Arrow batches could not take otherwise."""
+    names = docs.columns
+    return run(docs.toDF(*(f"c{i}" for i in range(len(names)))), *(f"c{names.index(c)}" for c in columns)).toDF(*names)
 
 
 def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, hot: int = HOT_ROWS) -> DataFrame:
@@ -40,6 +42,6 @@ def without_rows(stored: DataFrame, number: str, gone: DataFrame) -> DataFrame:
     """``stored`` without the rows whose ``number`` stands in ``gone`` (one column), and without the number."""
     (column,) = gone.columns
     name = fresh_name(stored.columns, "gone")
-    gone = gone.select(F.col(quoted(column)).alias(name))
+    gone = gone.select(F.col(column).alias(name))
     gone = F.broadcast(gone) if gone.limit(SENT_ROWS + 1).count() <= SENT_ROWS else gone
-    return stored.join(gone, F.col(quoted(number)) == F.col(name), "left_anti").drop(number)
+    return stored.join(gone, F.col(number) == F.col(name), "left_anti").drop(number)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import slices, texts_of
-from ._rows import fresh_name, quoted, without_rows
+from ._rows import by_position, fresh_name, without_rows
 from ._store import materialize
 
 WINDOW = 10
@@ -383,10 +383,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     """``docs`` without the contaminated rows, all columns as they are. A row goes if its own text is contaminated, whatever its id; null texts stay,
     and empty tables give no row, or all rows. With one block of benchmark rows are dropped where they are searched."""
     blocks = _blocks(benchmark, "item_id", "text", block_bytes)
+    return by_position(docs, lambda rows, own_id, text: _cleaned(rows, blocks, window, own_id, text), id_col, text_col)
+
+
+def _cleaned(docs: DataFrame, blocks: list[DataFrame], window: int, id_col: str, text_col: str) -> DataFrame:
     if len(blocks) > 1:
         number = fresh_name(docs.columns, "row")
         stored = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "documents")
-        found = _by_blocks(stored.select(F.col(number).alias("k"), F.col(quoted(id_col)).cast("long").alias("d"), F.col(quoted(text_col)).alias("t")), blocks, window)
+        found = _by_blocks(stored.select(F.col(number).alias("k"), F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")), blocks, window)
         return without_rows(stored, number, materialize(found.where("n_hit > 0").select("k"), "gone"))
     tests = TestSuffixes.build([tuple(r) for r in blocks[0].collect()], window)
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import slices, texts_of
+from ._rows import by_position
 
 #: Kinds in the order in which spans with one start are listed. The first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
@@ -322,10 +323,12 @@ def redact(text: str) -> str:
 
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with personal data in the text replaced by placeholders, and the length column, if there is one, set anew where the text changed.
-    A null text stays null; all other columns stay as they are."""
-    schema = docs.schema
+    A null text stays null; all other columns stay as they are; an empty table stays empty."""
     has_length = length_col in docs.columns
+    return by_position(docs, lambda rows, text, length=None: _redacted(rows, text, length), text_col, *([length_col] if has_length else []))
 
+
+def _redacted(docs: DataFrame, text_col: str, length_col: str | None) -> DataFrame:
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, text_col):
@@ -333,10 +336,10 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str =
                 old = piece.column(at).to_pylist()
                 new = [t if t is None else redact(t) for t in old]
                 piece = piece.set_column(at, piece.schema.field(at), pa.array(new, piece.schema.field(at).type))
-                if has_length:
+                if length_col is not None:
                     at = piece.schema.get_field_index(length_col)
                     sizes = [n if a == b else len(b) for n, a, b in zip(piece.column(at).to_pylist(), old, new)]
                     piece = piece.set_column(at, piece.schema.field(at), pa.array(sizes, piece.schema.field(at).type))
                 yield piece
 
-    return docs.mapInArrow(change, schema)
+    return docs.mapInArrow(change, docs.schema)

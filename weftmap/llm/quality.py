@@ -1,13 +1,14 @@
 """Quality classification by importance resampling.
 
 Two generative models over hashed word n-grams are compared: the target's, from a bounded sample of labelled good
-documents, and the raw text's, from all documents. A document's weight is the log ratio of the two, per n-gram;
-buckets with too little evidence say nothing. The threshold between good and bad labelled documents fixes how many
-documents are kept, k, and a Gumbel top-k draw over the weights fixes which.
+documents, and the raw text's, from all documents. A document's weight is the log ratio of the two, summed over its n-grams;
+buckets with too little evidence say nothing. A Gumbel top-k draw over the weights keeps k documents, that is, k are drawn one after another
+without replacement with chances in proportion to the ratios. k is a share of the documents: a parameter, by default the share of good
+ones among the labelled.
 
-Insults in good prose hardly move a mean over all n-grams, so toxic documents have a model of their own: words in more of the
+Insults in good prose hardly move the sum, so toxic documents have a model of their own: words in more of the
 toxic labelled documents than of the others, from one half of the sample. A document's toxicity is the log ratio of its
-most telling word; the threshold comes from the other half, and what lies beyond it is rejected before k is fixed.
+most telling word; the threshold comes from the other half, and what lies beyond it is rejected before the draw.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._batches import slices, texts_of
+from ._rows import by_position, fresh_name
 from ._store import materialize
 
 #: Labelled rows used at most, those with the lowest hash of their id. All other statistics cover all documents.
@@ -32,12 +35,8 @@ BUCKETS = 1 << 18
 EVIDENCE = 5.0
 #: Toxic labelled documents a word must stand in before it counts.
 TOXIC_DOCS = 5
-#: N-grams' worth of indifference added to a document, so that a few words decide nothing.
-SHRINK = 20.0
-#: Losing a good document weighs as much as keeping this many bad ones when the threshold is set.
+#: Losing a clean document weighs as much as keeping this many toxic ones when the threshold is set.
 GOOD_WEIGHT = 10.0
-#: Scale of the Gumbel noise on the weight per n-gram.
-TEMPERATURE = 0.001
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -142,16 +141,12 @@ def _fits(ids: np.ndarray) -> np.ndarray:
     return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63) == 0
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", quality: str = "quality", toxic: str = "toxic", label_rows: int = LABEL_ROWS, seed: int = 42) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_features, score (log ratio per n-gram, shrunk to 0), kept.
-
-    A text without words (or null) has score null and is not kept. Without good and bad labelled documents all others are kept.
-    Rows with equal keys in the draw stay or go together, so repeated rows do. Null ids are scored like others; other columns
-    are ignored; an empty table gives no row. At most ``label_rows`` labelled documents are used. Toxic documents are not kept
-    once the labels show which words make them so.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str = "doc_id", quality: str = "quality", toxic: str = "toxic", label_rows: int = LABEL_ROWS, keep_share: float | None = None, seed: int = 42) -> tuple[DataFrame, list[str], Column]:
+    """``docs`` stored with further columns (id, n-grams, weight, key of the draw, toxicity, label), their names, and the condition for being kept."""
     ids, classes = _sample(labels, label_id, quality, toxic, label_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
+    names = [fresh_name(docs.columns, x) for x in ("doc", "n", "weight", "draw", "toxicity", "label")]
+    every = docs.withColumn(names[0], F.col(id_col).cast("long"))
 
     def labelled(column: pa.Array) -> np.ndarray:
         """0: not in the sample, 1: bad, 2: good, 3: toxic."""
@@ -192,10 +187,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     said, telling = (-2 - words["at"].to_numpy()).astype(np.uint64), word_ratio(words["target"].to_numpy(), words["raw"].to_numpy(), int(docs_of["target"].sum()), int(docs_of["raw"].sum()))
     said, telling = said[telling > 0], telling[telling > 0]
 
+    columns = [*every.columns, *names[1:]]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "t"):
-                texts = texts_of(piece, "t")
+            for piece in slices(batch, text_col):
+                texts, doc = texts_of(piece, text_col), piece.column(piece.num_columns - 1)
                 h, of = _words(texts)
                 toxicity = np.zeros(len(texts))
                 if len(said):
@@ -204,25 +201,46 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                     np.maximum.at(toxicity, of[hit], telling[at[hit]])
                 bucket, owner = _features(h, of)
                 n = np.bincount(owner, minlength=len(texts))
-                value = np.bincount(owner, weights=ratio[bucket], minlength=len(texts)) / (n + SHRINK)
-                noise = np.array([zlib.crc32(f"{seed}:{d}".encode(), zlib.crc32(t.encode())) for d, t in zip(piece.column(0).to_pylist(), texts)])
-                key = value / TEMPERATURE - np.log(-np.log((noise + 0.5) / 2**32))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n.astype(np.int64)), pa.array(value, mask=n == 0), pa.array(key, mask=n == 0), pa.array(toxicity), pa.array(labelled(piece.column(0)))], names=["doc_id", "n_features", "score", "key", "toxicity", "label"])
-
-    scored = materialize(rows.mapInArrow(score, "doc_id long, n_features long, score double, key double, toxicity double, label byte"), "scores")
-    known = scored.where((F.col("label") > 0) & F.col("score").isNotNull()).dropDuplicates(["doc_id"]).select("doc_id", "score", "toxicity", "label").toPandas()  # label_rows at most
-    apart = known[~_fits(known["doc_id"].to_numpy())]
+                weight = np.bincount(owner, weights=ratio[bucket], minlength=len(texts))
+                noise = np.array([zlib.crc32(f"{seed}:{d}".encode(), zlib.crc32(t.encode())) for d, t in zip(doc.to_pylist(), texts)])
+                draw = weight - np.log(-np.log((noise + 0.5) / 2**32))
+                made = [pa.array(n.astype(np.int64)), pa.array(weight, mask=n == 0), pa.array(draw, mask=n == 0), pa.array(toxicity), pa.array(labelled(doc))]
+                yield pa.RecordBatch.from_arrays([*piece.columns, *made], names=columns)
+
+    schema = T.StructType([*every.schema.fields, *(T.StructField(c, t) for c, t in zip(names[1:], (T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType(), T.ByteType())))])
+    scored = materialize(every.mapInArrow(score, schema), "scores")
+    doc, n, weight, draw, toxicity, label = names
+    known = scored.where((F.col(label) > 0) & F.col(weight).isNotNull()).groupBy(doc).agg(F.max(toxicity).alias("toxicity"), F.max(label).alias("label")).toPandas()  # label_rows at most
+    apart = known[~_fits(known[doc].to_numpy())]
     most = -threshold(-apart["toxicity"][apart["label"] != 3].to_numpy(), -apart["toxicity"][apart["label"] == 3].to_numpy())
-    known = known[known["toxicity"] <= most]
-    tau = threshold(known["score"][known["label"] == 2].to_numpy(), known["score"][known["label"] != 2].to_numpy())
-    clean = scored.where(F.col("toxicity") <= F.lit(float(most)))
-    k = clean.where(F.col("score") >= F.lit(float(tau))).count()
-    last = kth_largest(clean, "key", k)
-    kept = (F.col("toxicity") <= F.lit(float(most))) & (F.col("key") >= F.lit(float(last)))
-    return scored.select("doc_id", "n_features", "score", F.coalesce(kept, F.lit(False)).alias("kept"))
+    if keep_share is None:
+        good, bad = int((classes == 2).sum()), int((classes == 1).sum())
+        keep_share = good / (good + bad) if good and bad else 1.0
+    clean = scored.where((F.col(toxicity) <= F.lit(float(most))) & F.col(draw).isNotNull())
+    last = kth_largest(clean, draw, round(keep_share * clean.count()))
+    kept = (F.col(toxicity) <= F.lit(float(most))) & (F.col(draw) >= F.lit(float(last)))
+    return scored, names, F.coalesce(kept, F.lit(False))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_features, score (the log importance weight, summed over n-grams), kept.
+
+    A text without words (or null) has score null and is not kept. Without good and bad labelled documents, or a ``keep_share``, all others are kept.
+    Rows with equal keys in the draw stay or go together, so repeated rows do. Null ids are scored like others; other columns
+    are ignored; an empty table gives no row. At most ``label_rows`` labelled documents are used. Toxic documents are not kept
+    once the labels show which words make them so. Options: label_id, quality, toxic (columns of ``labels``), label_rows, keep_share, seed.
+    """
+    only = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    scored, (doc, n, weight, *_), kept = _scored(only, labels, "id", "text", **options)
+    return scored.select(F.col(doc).alias("doc_id"), F.col(n).alias("n_features"), F.col(weight).alias("score"), kept.alias("kept"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rejected ones, all columns as they are. Rows that share an id with a rejected one go with it; rows with a null id stay."""
-    gone = quality_scores(docs, labels, id_col, text_col, **options).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_rejected"))
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_rejected"), "left_anti")
+    """``docs`` without the rejected rows, all columns as they are. Each row is decided by itself, whatever its id: of rows that share one some may
+    stay, and rows with a null id are rejected like others. An empty table stays empty. The documents are written once to the shared folder, with their scores."""
+
+    def drawn(rows: DataFrame, own_id: str, text: str) -> DataFrame:
+        scored, names, kept = _scored(rows, labels, own_id, text, **options)
+        return scored.where(kept).drop(*names)
+
+    return by_position(docs, drawn, id_col, text_col)

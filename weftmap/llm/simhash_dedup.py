@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ._batches import slices, texts_of
 from ._pairs import meet, pairs, star, whole_groups
-from ._rows import fresh_name, join_hot, quoted, without_rows
+from ._rows import by_position, fresh_name, join_hot, without_rows
 from ._store import materialize
 from .components import connected_components
 
@@ -241,9 +241,13 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``docs`` without the near-duplicates: of each group one row stays, that with the smallest id; of several with that id, or if all
     ids are null, the first as stored. Other rows go, whatever their ids are elsewhere. All columns are kept as they are; an empty table stays empty.
     """
+    return by_position(docs, _deduplicated, id_col, text_col)
+
+
+def _deduplicated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     number, fp = fresh_name(docs.columns, "row"), fresh_name(docs.columns, "fp")
     names = [*docs.columns, number]
-    numbered = docs.select(*(quoted(c) for c in docs.columns), F.monotonically_increasing_id().alias(number))
+    numbered = docs.withColumn(number, F.monotonically_increasing_id())
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,6 +256,6 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     schema = T.StructType([*numbered.schema.fields, T.StructField(fp, T.LongType())])
     stored = materialize(numbered.mapInArrow(compute, schema), "documents")
-    rows = stored.select(F.col(quoted(id_col)).cast("long").alias("d"), F.col(number).alias("r"), F.col(fp).alias("fp"))
+    rows = stored.select(F.col(id_col).cast("long").alias("d"), F.col(number).alias("r"), F.col(fp).alias("fp"))
     found = join_hot(rows, _classes(rows).select("fp", "n_rows", F.col("winner.r").alias("stays")), "fp", "n_rows")
     return without_rows(stored.drop(fp), number, materialize(found.where(F.col("r") != F.col("stays")).select("r"), "gone"))
