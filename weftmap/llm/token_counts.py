@@ -1,16 +1,18 @@
 """Token counts by counting the pieces of each distinct pre-token once.
 
 Documents are turned into pre-token frequencies, a slice of documents at a time: the slice's distinct pre-tokens are numbered, and its
-frequencies are written, with those numbers, to the shared folder. All slices' pre-tokens then meet in a relational join with a
-table of distinct pre-tokens, in which the library's merges have counted the pieces of each once. The counts go
-back to their slices, where they are multiplied with the frequencies and summed per document. No document's ids are made.
+frequencies are written, with those numbers, to the shared folder. All slices' distinct pre-tokens are dealt by hash, so that
+each meets itself from all slices in one task, where the library's merges count its pieces once. The counts are joined back
+to the slices, multiplied with the frequencies and summed per document. No document's ids are made.
 
-What travels is a row per slice and distinct pre-token, however often it occurs: a frequent pre-token is no hot key beyond a row a
-slice. The slices are stored once and numbered in what is stored, so lost tasks can't make numbers and counts disagree.
+A pre-token travels once a slice, however often it occurs, in compressed sorted lists, one for each slice and hash bucket; the number of buckets
+is bounded, so lists keep their length as the corpus grows. No pre-token is a hot key beyond that. The slices are
+stored once and numbered in what is stored, so lost tasks can't make numbers and counts disagree.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +24,15 @@ from ._batches import expanded, slices, squeezed, texts_of
 from ._store import materialize
 from ._tokens import encoder, forget_encoders
 
+#: Buckets of pre-tokens at most, whatever the size of the corpus; a task reads a bucket list by list.
+MOST_BUCKETS = 4096
+#: Counts of pre-tokens a task remembers; past this it counts some anew.
+REMEMBERED = 1_000_000
 #: Bytes of text in a slice, and documents at most.
 SLICE_BYTES, SLICE_DOCS = 8_000_000, 60_000
 
-_SLICES = "slice long, doc_ids binary, nulls binary, sizes binary, spread binary, tokens binary, times binary, words array<string>"
-_NAMES = ["slice", "doc_ids", "nulls", "sizes", "spread", "tokens", "times", "words"]
+_SLICES = "slice long, doc_ids binary, nulls binary, sizes binary, spread binary, tokens binary, times binary, lists array<struct<bucket: int, words: binary>>"
+_NAMES = ["slice", "doc_ids", "nulls", "sizes", "spread", "tokens", "times", "lists"]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,6 +41,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     A null text is empty, with 0 tokens. Repeated and null ids give a row each; other columns are ignored;
     an empty table gives no row. With a tokenizer file of unknown settings a whole text is one pre-token.
     """
+    buckets = min(MOST_BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,27 +51,48 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for piece in slices(batch, "t", SLICE_BYTES, SLICE_DOCS):
-                yield _slice_row(enc, piece, number)
+                yield _slice_row(enc, piece, number, buckets)
                 number += 1
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        known: dict[bytes, int] = {}
         for batch in batches:
-            words = batch.column("word")
-            yield pa.RecordBatch.from_arrays([words, pa.array([enc.pieces(w) for w in words.to_pylist()], pa.int64())], names=["word", "pieces"])
+            found = []
+            for data in batch.column("words").to_pylist():
+                words = _unpacked(data)
+                if len(known) > REMEMBERED:
+                    known.clear()
+                for w in words:
+                    if w not in known:
+                        known[w] = enc.pieces(w.decode())
+                found.append(squeezed(np.array([known[w] for w in words], dtype="<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("bucket"), pa.array(found, pa.binary())], names=["slice", "bucket", "counts"])
 
     stored = materialize(rows.mapInArrow(frequencies, _SLICES), "slices")
-    words = stored.select("slice", F.posexplode("words").alias("at", "word"))
-    counted = materialize(words.select("word").distinct().mapInArrow(pieces, "word string, pieces long"), "pieces")
-    known = words.join(counted, "word").select("slice", "at", F.col("pieces").cast("int").alias("pieces"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in stored.schema if f.name not in ("slice", "words")))
-    # A slice's own row comes after the counts of its pre-tokens, which come in the order of their numbers.
-    own = stored.select("slice", F.lit(2**31 - 1).alias("at"), F.lit(None).cast("int").alias("pieces"), *(c for c in stored.columns if c not in ("slice", "words")))
-    met = known.union(own).repartition("slice").sortWithinPartitions("slice", "at")
+    lists = stored.select("slice", F.explode("lists").alias("x")).select("slice", "x.bucket", "x.words")
+    counted = lists.repartition("bucket").mapInArrow(pieces, "slice long, bucket int, counts binary")
+    # A slice's own row comes after the counts of its pre-tokens, which come in the order of the buckets.
+    whole = [c for c in stored.columns if c not in ("slice", "lists")]
+    known = counted.select("slice", "bucket", "counts", *(F.lit(None).cast("binary").alias(c) for c in whole))
+    own = stored.select("slice", F.lit(MOST_BUCKETS).alias("bucket"), F.lit(None).cast("binary").alias("counts"), *whole)
+    met = known.union(own).repartition("slice").sortWithinPartitions("slice", "bucket")
     return met.mapInArrow(_summed, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-def _slice_row(enc, piece: pa.RecordBatch, number: int) -> pa.RecordBatch:
-    """One slice: its documents, their frequencies of numbered pre-tokens, and the pre-tokens by number."""
+def _packed(words: list[bytes]) -> bytes:
+    return squeezed(np.frombuffer(np.array([len(words), *map(len, words)], dtype="<u4").tobytes() + b"".join(words), dtype=np.uint8))
+
+
+def _unpacked(data: bytes) -> list[bytes]:
+    raw = expanded(data, np.uint8).tobytes()
+    n = int.from_bytes(raw[:4], "little")
+    edge = (4 * n + 4 + np.concatenate([[0], np.cumsum(np.frombuffer(raw, dtype="<u4", count=n, offset=4), dtype=np.int64)])).tolist()
+    return [raw[a:b] for a, b in zip(edge, edge[1:])]
+
+
+def _slice_row(enc, piece: pa.RecordBatch, number: int, buckets: int) -> pa.RecordBatch:
+    """One slice: its documents, their frequencies of numbered pre-tokens, and the pre-tokens by number, which follows bucket and bytes."""
     texts = texts_of(piece, "t")
     of_chunk: dict[str, int] = {}
     at, freq, docs = [], [], []
@@ -84,12 +112,22 @@ def _slice_row(enc, piece: pa.RecordBatch, number: int) -> pa.RecordBatch:
     edge, flat = np.array(edge), np.array(flat, dtype=np.int64)
     many = np.diff(edge)[at]
     pick = np.repeat(edge[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    key = np.repeat(docs, many) * max(1, len(numbers)) + flat[pick]
+    words = [w.encode() for w in numbers]
+    bucket = np.array([zlib.crc32(w) % buckets for w in words], dtype=np.int32)
+    order = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))
+    rank = np.zeros(len(words), dtype=np.int64)
+    rank[order] = np.arange(len(words))
+    words, bucket = [words[i] for i in order], bucket[order]
+    cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(words)]
+    lists = [{"bucket": int(bucket[a]), "words": _packed(words[a:b])} for a, b in zip(cut, cut[1:]) if a < b]
+    key = np.repeat(docs, many) * max(1, len(words)) + rank[flat[pick]]
     order = np.argsort(key, kind="stable")
     key, times = key[order], np.repeat(freq, many)[order]
     new = np.flatnonzero(np.diff(key, prepend=-1))
     key, times = key[new], (np.add.reduceat(times, new) if len(new) else times)
-    doc, token = np.divmod(key, max(1, len(numbers)))
+    doc, token = np.divmod(key, max(1, len(words)))
+    gap = np.diff(token, prepend=0)
+    gap[np.flatnonzero(np.diff(doc, prepend=-1))] = token[np.flatnonzero(np.diff(doc, prepend=-1))]  # gaps inside a document
     ids = piece.column(0)
     columns = [
         [number],
@@ -97,30 +135,34 @@ def _slice_row(enc, piece: pa.RecordBatch, number: int) -> pa.RecordBatch:
         [ids.is_null().to_numpy(zero_copy_only=False).tobytes()],
         [np.array([len(t.encode()) for t in texts], dtype="<i8").tobytes()],
         [np.bincount(doc, minlength=len(texts)).astype("<i8").tobytes()],
-        [squeezed(token.astype("<u4"))],
-        [squeezed(times.astype("<u4"))],
-        [list(numbers)],
+        [squeezed(gap.astype("<u4").view(np.uint8).reshape(-1, 4).T)],
+        [squeezed(times.astype("<u4").view(np.uint8).reshape(-1, 4).T)],
+        [lists],
     ]
-    types = [pa.int64(), *[pa.binary()] * 6, pa.list_(pa.string())]
+    types = [pa.int64(), *[pa.binary()] * 6, pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=_NAMES)
 
 
+def _plain(data: bytes) -> np.ndarray:
+    """Numbers whose bytes were stored place by place."""
+    return np.ascontiguousarray(expanded(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a slice's pre-tokens in order, then the slice: its documents with their sums."""
     forget_encoders()
     held: list[np.ndarray] = []
     for batch in batches:
-        counts = batch.column("pieces").to_numpy(zero_copy_only=False)
-        lo = 0
-        for i in np.flatnonzero(batch.column("pieces").is_null().to_numpy(zero_copy_only=False)).tolist():
-            held.append(counts[lo:i])
-            lo = i + 1
-            doc_ids, nulls, sizes, spread, tokens, times = (batch.column(c)[i].as_py() for c in _NAMES[1:7])
-            pieces, spread = np.concatenate(held).astype(np.int64), np.frombuffer(spread, dtype="<i8")
+        for counts, doc_ids, nulls, sizes, spread, tokens, times in zip(*(batch.column(c).to_pylist() for c in ("counts", *_NAMES[1:7]))):
+            if counts is not None:
+                held.append(expanded(counts, "<u4"))
+                continue
+            pieces, spread = np.concatenate([*held, np.zeros(0, dtype="<u4")]).astype(np.int64), np.frombuffer(spread, dtype="<i8")
             held = []
-            value = pieces[expanded(tokens, "<u4")] * expanded(times, "<u4")
-            total = np.diff(np.concatenate([[0], np.cumsum(value)])[np.concatenate([[0], np.cumsum(spread)])])
+            edge = np.concatenate([[0], np.cumsum(spread)])
+            run = np.cumsum(_plain(tokens))
+            token = run - np.repeat(np.concatenate([[0], run])[edge[:-1]], spread)
+            total = np.concatenate([[0], np.cumsum(pieces[token] * _plain(times))])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(doc_ids, dtype="<i8"), mask=np.frombuffer(nulls, dtype=bool)), pa.array(np.frombuffer(sizes, dtype="<i8")), pa.array(total)], names=["doc_id", "n_bytes", "n_tokens"]
+                [pa.array(np.frombuffer(doc_ids, dtype="<i8"), mask=np.frombuffer(nulls, dtype=bool)), pa.array(np.frombuffer(sizes, dtype="<i8")), pa.array(np.diff(total[edge]))], names=["doc_id", "n_bytes", "n_tokens"]
             )
-        held.append(counts[lo:])
