@@ -386,20 +386,35 @@ def test_other_tokenizer_files_are_used_whole(tmp_path):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
-def test_language_model_scores(spark, byte_ids):
-    from weftmap.llm.lm_score import lm_scores
-
-    one, two = Counter(x for _, t in byte_ids for x in t), Counter(p for _, t in byte_ids for p in zip(t, t[1:]))
-    n = sum(one.values())
-
-    def score(t):
-        s = math.log(one[t[0]] / n) if t else 0.0
-        return s + sum(math.log(two[a, b] / one[a]) if two[a, b] >= 2 else math.log(0.4 * one[b] / n) for a, b in zip(t, t[1:]))
-
-    found = by_id(lm_scores(docs(spark), BYTE), "doc_id", "n_tokens", "log_score")
-    for got, want in zip(found, order([[i, len(t), score(t)] for i, t in byte_ids])):
-        assert got[:2] == want[:2] and abs(got[2] - want[2]) < 1e-6 * max(1, abs(want[2]))
-    assert lm_scores(docs(spark, []), BYTE).collect() == []
+def test_language_model_scores(spark, byte_ids, monkeypatch):
+    from weftmap.llm import lm_score
+
+    grams = lambda t, n: [tuple(t[i : i + n]) for i in range(len(t) - n + 1)]
+
+    def scores(texts, order):
+        count = {n: Counter(g for _, t in texts for g in grams(t, n)) for n in range(1, order + 1)}
+        corpus = sum(count[1].values())
+        out = []
+        for d, t in texts:
+            own = {n: Counter(grams(t, n)) for n in count}
+            c = lambda g, own=own: count[len(g)][g] - own[len(g)][g]
+
+            def one(context, w):
+                if not context:
+                    return math.log(max(1, c((w,))) / corpus)
+                return math.log(c((*context, w)) / c(context)) if c((*context, w)) else math.log(0.4) + one(context[1:], w)
+
+            out.append([d, len(t), sum(one(tuple(t[max(0, i - order + 1) : i]), w) for i, w in enumerate(t))])
+        return out
+
+    for order_of, slice_bytes in ((3, 6_000_000), (3, 2000), (2, 2000), (1, 2000)):
+        monkeypatch.setattr(lm_score, "SLICE_BYTES", slice_bytes)
+        found = by_id(lm_score.lm_scores(docs(spark), BYTE, order=order_of), "doc_id", "n_tokens", "log_score")
+        for got, want in zip(found, order(scores(byte_ids, order_of))):
+            assert got[:2] == want[:2] and abs(got[2] - want[2]) < 1e-6 * max(1, abs(want[2]))
+    assert lm_score.lm_scores(docs(spark, []), BYTE).collect() == []
+    with pytest.raises(ValueError):
+        lm_score.lm_scores(docs(spark), BYTE, order=5)
 
 
 def test_quality(spark):

@@ -1,10 +1,14 @@
-"""Language-model scores by stupid backoff over token bigrams, computed relationally.
+"""Language-model scores by stupid backoff over token n-grams, computed relationally.
 
-The unit is a slice: some megabytes of consecutive documents as token ids. A slice's distinct bigrams with their
-counts are dealt by hash to buckets, where the counts of all slices add up to the corpus's count table; each slice
-gets back the totals of its own bigrams, joined by slice and bucket, and sums the scores of its documents. A
-bigram travels once per slice, whatever its frequency, so none is hot. Token counts have one row per entry of the
-tokenizer's vocabulary, which bounds what every task is sent.
+N-grams of orders 2 to ORDER are counted in tables partitioned by their hash, and every document's own n-grams are joined to those
+counts and summed. The unit of both is a slice: some megabytes of consecutive documents as token ids, stored once. A slice's
+distinct n-grams, with their counts, are dealt to hash buckets as sorted, compressed lists; there the counts of all slices
+add up, and each slice gets back, list for list, how often its n-grams occur in other slices. So an
+n-gram travels once a slice, whatever its frequency, and none is hot; as slices and buckets grow in number, lists grow shorter, down to the plain
+relational form of one row per slice and n-gram. Token counts have one row per entry of the tokenizer's vocabulary, which
+bounds what every task is sent.
+
+A document is scored by the rest of the corpus: its own occurrences are taken out of all counts, or nothing in it would ever be unseen.
 """
 
 from __future__ import annotations
@@ -16,39 +20,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import slices, texts_of
+from ._batches import expanded, slices, squeezed, texts_of
 from ._store import materialize
 from ._tokens import encoder, forget_encoders
 
+#: Longest n-grams.
+ORDER = 3
 #: Factor of each step back.
 BACKOFF = 0.4
-#: Bigrams rarer than this count as unseen: the scored documents are in the corpus, so each has been seen once.
-MIN_COUNT = 2
 #: Bytes of text in a slice.
 SLICE_BYTES = 6_000_000
 #: Tokens of the corpus to a bucket, about.
-BUCKET_TOKENS = 8_000_000
-
+BUCKET_TOKENS = 4_000_000
 
-def _squeeze(a: np.ndarray) -> bytes:
-    import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+def _planes(a: np.ndarray) -> bytes:
+    """Integers compressed byte place by byte place, high places first."""
+    wide = np.ascontiguousarray(a.astype(">u8"))
+    return squeezed(wide.view(np.uint8).reshape(-1, 8).T)
 
 
-def _expand(data: bytes, dtype: str) -> np.ndarray:
-    import zstandard
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(expanded(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=dtype)
 
-
-def _bigrams(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bigrams inside documents as integers, and the position of each one's second token."""
-    first = np.zeros(len(ids) + 1, dtype=bool)
+def _ngrams(ids: np.ndarray, lengths: np.ndarray, order: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(integers, places of the last token) of all n-grams inside documents, for n = 2 to ``order``. Shorter n-grams have the smaller integers."""
     ends = np.cumsum(lengths)
-    first[np.concatenate([[0], ends])] = True
-    at = np.flatnonzero(~first[:-1])
-    return (ids[at - 1].astype(np.uint64) << np.uint64(32)) | ids[at].astype(np.uint64), at
+    place = np.arange(len(ids)) - np.repeat(ends - lengths, lengths)  # in the document
+    wide, key, out = ids.astype(np.uint64), ids.astype(np.uint64), []
+    for n in range(2, order + 1):
+        at = np.flatnonzero(place >= n - 1)
+        longer = np.zeros(len(ids), dtype=np.uint64)
+        longer[at] = (key[at - 1] << np.uint64(bits)) | wide[at]
+        key = longer
+        out.append((key[at] | np.uint64((n - 2) << order * bits), at))
+    return out
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -56,54 +63,70 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def _ordered(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys by bucket and value, their counts, and the buckets' edges."""
-    distinct, count = np.unique(key, return_counts=True)
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct integers in order, and their counts."""
+    key = np.sort(key)
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    return key[new], np.diff(np.append(new, len(key)))
+
+
+def _dealt(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted keys by bucket and value, and the buckets' edges."""
     bucket = _bucket(distinct, buckets)
     order = np.argsort(bucket, kind="stable")
-    return distinct[order], count[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _elsewhere(key: np.ndarray, owner: np.ndarray, distinct: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """For each n-gram of a document, how often it occurs in the corpus outside the document."""
+    which = np.searchsorted(distinct, key)
+    pair, n = _counted(owner * len(distinct) + which)
+    own = n[np.searchsorted(pair, owner * len(distinct) + which)]
+    return total[which] - own
 
 
-def lm_scores(docs: DataFrame, tokenizer: str, min_count: int = MIN_COUNT, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, tokenizer: str, order: int = ORDER, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, log_score (natural, summed over tokens), mean_log_score.
 
-    The score of a token after another is c(pair) / c(first) if the pair has been seen ``min_count`` times in all documents,
-    else ``backoff`` * c(token) / N; a document's first token has c(token) / N. A null or empty text has 0 tokens,
-    log_score 0 and a null mean. Repeated rows count and are scored each time; null ids give a row each; other columns are
+    c counts occurrences in all other rows. The score of a token after the context of up to ``order`` - 1 tokens in its document is
+    c(context, token) / c(context) if c(context, token) > 0, else ``backoff`` times its score after a context shorter by one; with none
+    it is max(1, c(token)) / N, where N is the number of tokens in the corpus. A null or empty text has 0 tokens,
+    log_score 0 and a null mean. Repeated rows are rows of their own, which count for each other; null ids give a row each; other columns are
     ignored; an empty table gives no row.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
+    bits = max(1, (_vocabulary_size(tokenizer) - 1).bit_length())
+    if order < 1 or order * bits + max(0, order - 2).bit_length() > 64:
+        raise ValueError(f"n-grams of order {order} over {1 << bits} tokens do not fit into 64 bits")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc, number = encoder(tokenizer), TaskContext.get().partitionId() << 32
-        wide = enc.tokenizer.get_vocab_size() > 65536
+        width = 2 if bits <= 16 else 4
         for batch in batches:
             for piece in slices(batch, "t", SLICE_BYTES):
                 ids, lengths = [], []
                 for part in slices(piece, "t"):
                     for x in enc.encode(texts_of(part, "t")):
-                        ids.append(np.frombuffer(x, dtype="<u4").astype("<u4" if wide else "<u2"))
+                        ids.append(np.frombuffer(x, dtype="<u4").astype(f"<u{width}"))
                         lengths.append(len(ids[-1]))
                 flat = np.concatenate(ids)
-                token, n = np.unique(flat, return_counts=True)
+                token, n = _counted(flat)
                 d = piece.column(0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number]),
-                        pa.array([d.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()], pa.binary()),
-                        pa.array([d.is_null().to_numpy(zero_copy_only=False).tobytes()], pa.binary()),
-                        pa.array([np.array(lengths, dtype="<i8").tobytes()], pa.binary()),
-                        pa.array([_squeeze(flat)], pa.binary()),
-                        pa.array([4 if wide else 2], pa.int32()),
-                        pa.array([len(flat)]),
-                        pa.array([token.astype("<i8").tolist()], pa.list_(pa.int64())),
-                        pa.array([n.tolist()], pa.list_(pa.int64())),
-                    ],
-                    names=["slice", "doc_ids", "nulls", "lengths", "ids", "width", "n_tokens", "tokens", "counts"],
-                )
+                columns = [
+                    ([number], pa.int64()),
+                    ([d.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()], pa.binary()),
+                    ([d.is_null().to_numpy(zero_copy_only=False).tobytes()], pa.binary()),
+                    ([np.array(lengths, dtype="<i8").tobytes()], pa.binary()),
+                    ([squeezed(flat)], pa.binary()),
+                    ([width], pa.int32()),
+                    ([len(flat)], pa.int64()),
+                    ([token.tolist()], pa.list_(pa.int64())),
+                    ([n.tolist()], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["slice", "doc_ids", "nulls", "lengths", "ids", "width", "n_tokens", "tokens", "counts"])
                 number += 1
 
     schema = "slice long, doc_ids binary, nulls binary, lengths binary, ids binary, width int, n_tokens long, tokens array<long>, counts array<long>"
@@ -111,79 +134,97 @@ def lm_scores(docs: DataFrame, tokenizer: str, min_count: int = MIN_COUNT, backo
     corpus = sliced.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corpus // BUCKET_TOKENS))
     counted = sliced.select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy("x.tokens").agg(F.sum("x.counts").alias("n")).collect()  # a row a vocabulary entry
-    unigram = np.zeros(max((r[0] for r in counted), default=0) + 1)
+    unigram = np.zeros(max((r[0] for r in counted), default=0) + 1, dtype=np.int64)
     for token, n in counted:
         unigram[token] = n
-    total = max(1.0, unigram.sum())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_encoders()
         for batch in batches:
             for number, lengths, ids, width in zip(*(batch.column(c).to_pylist() for c in ("slice", "lengths", "ids", "width"))):
-                key, _ = _bigrams(_expand(ids, f"<u{width}"), np.frombuffer(lengths, dtype="<i8"))
-                distinct, count, edge = _ordered(key, buckets)
-                some = [b for b in range(buckets) if edge[b + 1] > edge[b]]
+                found = _ngrams(expanded(ids, f"<u{width}"), np.frombuffer(lengths, dtype="<i8"), order, bits)
+                distinct, count = _counted(np.concatenate([np.zeros(0, dtype=np.uint64), *(key for key, _ in found)]))
+                by, edge = _dealt(distinct, buckets)
+                distinct, count = distinct[by], count[by]
+                some = np.flatnonzero(np.diff(edge))
                 cut = [slice(edge[b], edge[b + 1]) for b in some]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int64()), pa.array([number] * len(some), pa.int64()), pa.array([_squeeze(np.diff(distinct[c], prepend=np.uint64(0))) for c in cut], pa.binary()), pa.array([_squeeze(count[c].astype("<u4")) for c in cut], pa.binary())],
+                    [pa.array(some), pa.array(np.full(len(some), number)), pa.array([_planes(np.diff(distinct[c], prepend=np.uint64(0))) for c in cut], pa.binary()), pa.array([_planes(count[c]) for c in cut], pa.binary())],
                     names=["bucket", "slice", "keys", "counts"],
                 )
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         held: list[tuple[int, np.ndarray, np.ndarray]] = []
         now = None
 
-        def totals() -> pa.RecordBatch:
-            keys = np.concatenate([k for _, k, _ in held])
-            distinct, inverse = np.unique(keys, return_inverse=True)
-            sums = np.bincount(inverse, weights=np.concatenate([c for _, _, c in held])).astype("<u8")[inverse]
+        def others() -> pa.RecordBatch:
+            keys, counts = np.concatenate([k for _, k, _ in held]), np.concatenate([c for _, _, c in held])
+            by = np.argsort(keys, kind="stable")
+            new = np.flatnonzero(np.concatenate([[True], keys[by[1:]] != keys[by[:-1]]]))
+            size = np.diff(np.append(new, len(by)))
+            rest = np.empty(len(keys), dtype=np.int64)
+            rest[by] = np.repeat(np.add.reduceat(counts[by], new), size)
+            rest -= counts
             cut = np.cumsum([0, *(len(k) for _, k, _ in held)])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _, _ in held], pa.int64()), pa.array([now] * len(held), pa.int64()), pa.array([_squeeze(sums[a:b]) for a, b in zip(cut, cut[1:])], pa.binary())], names=["slice", "bucket", "sums"]
-            )
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in held], pa.int64()), pa.array([now] * len(held), pa.int64()), pa.array([_planes(rest[a:b]) for a, b in zip(cut, cut[1:])], pa.binary())], names=["slice", "bucket", "rest"])
 
         for batch in batches:
             for bucket, number, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if bucket != now and held:
-                    yield totals()
+                    yield others()
                     held = []
                 now = bucket
-                held.append((number, np.cumsum(_expand(keys, "<u8")), _expand(counts, "<u4")))
+                held.append((number, np.cumsum(_from_planes(keys), dtype=np.uint64), _from_planes(counts).astype(np.int64)))
         if held:
-            yield totals()
+            yield others()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_encoders()
-        sums: list[np.ndarray] = []
+        rest: list[np.ndarray] = []
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("sums", "doc_ids", "nulls", "lengths", "ids", "width")}
-                if row["sums"] is not None:
-                    sums.append(_expand(row["sums"], "<u8"))
+                row = {c: batch.column(c)[i].as_py() for c in ("rest", "doc_ids", "nulls", "lengths", "ids", "width")}
+                if row["rest"] is not None:
+                    rest.append(_from_planes(row["rest"]).astype(np.int64))
                     continue
                 lengths = np.frombuffer(row["lengths"], dtype="<i8")
-                ids = _expand(row["ids"], f"<u{row['width']}").astype(np.int64)
-                value = np.log(unigram[ids] / total)
-                key, at = _bigrams(ids, lengths)
-                if len(at):
-                    distinct, _, _ = _ordered(key, buckets)
-                    pair = np.concatenate(sums).astype(np.float64)
-                    seen = np.log(np.maximum(pair, 1) / unigram[(distinct >> np.uint64(32)).astype(np.int64)])
-                    back = np.log(backoff) + np.log(unigram[(distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)] / total)
-                    by_key = np.argsort(distinct)
-                    each = np.where(pair >= min_count, seen, back)[by_key]
-                    value[at] = each[np.searchsorted(distinct[by_key], key)]
-                sums = []
-                owner = np.repeat(np.arange(len(lengths)), lengths)
-                log_score = np.bincount(owner, weights=value, minlength=len(lengths))
+                ids = expanded(row["ids"], f"<u{row['width']}").astype(np.int64)
+                log_score = _scores(ids, lengths, np.concatenate([np.zeros(0, dtype=np.int64), *rest]))
+                rest = []
                 nulls = np.frombuffer(row["nulls"], dtype=bool)
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["doc_ids"], dtype="<i8"), mask=nulls), pa.array(lengths), pa.array(log_score)], names=["doc_id", "n_tokens", "log_score"])
 
+    def _scores(ids: np.ndarray, lengths: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Scores of a slice's documents; ``rest``: counts of its n-grams in other slices, in the order in which they were dealt."""
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        context = _elsewhere(ids, owner, np.arange(len(unigram)), unigram)
+        value = np.log(np.maximum(context, 1) / max(1, corpus))
+        found = _ngrams(ids, lengths, order, bits)
+        distinct, total = _counted(np.concatenate([np.zeros(0, dtype=np.uint64), *(key for key, _ in found)]))
+        by, _ = _dealt(distinct, buckets)
+        total[by] += rest
+        for key, at in found:
+            count = np.zeros(len(ids), dtype=np.int64)
+            count[at] = _elsewhere(key, owner[at], distinct, total)
+            seen = count[at] > 0
+            value[at[~seen]] += np.log(backoff)
+            value[at[seen]] = np.log(count[at[seen]] / context[at[seen] - 1])
+            context = count
+        return np.bincount(owner, weights=value, minlength=len(lengths))
+
     dealt = sliced.select("slice", "lengths", "ids", "width").mapInArrow(deal, "bucket long, slice long, keys binary, counts binary")
-    summed = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "slice long, bucket long, sums binary")
-    # A slice's totals come in the order of the buckets, its own row after them.
-    back = summed.select("slice", "bucket", "sums", *(F.lit(None).cast(t).alias(c) for c, t in (("doc_ids", "binary"), ("nulls", "binary"), ("lengths", "binary"), ("ids", "binary"), ("width", "int"))))
-    own = sliced.select("slice", F.lit(buckets).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("sums"), "doc_ids", "nulls", "lengths", "ids", "width")
+    summed = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "slice long, bucket long, rest binary")
+    # A slice's lists come in the order of the buckets, its own row after them.
+    back = summed.select("slice", "bucket", "rest", *(F.lit(None).cast(t).alias(c) for c, t in (("doc_ids", "binary"), ("nulls", "binary"), ("lengths", "binary"), ("ids", "binary"), ("width", "int"))))
+    own = sliced.select("slice", F.lit(buckets).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("rest"), "doc_ids", "nulls", "lengths", "ids", "width")
     met = back.union(own).repartition("slice").sortWithinPartitions("slice", "bucket")
     scores = met.mapInArrow(score, "doc_id long, n_tokens long, log_score double")
     return scores.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))
+
+
+def _vocabulary_size(tokenizer: str) -> int:
+    """One more than the largest id."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()) + 1
