@@ -23,8 +23,8 @@ FEW = 100_000
 PAIRS_AT_ONCE = 2_000_000
 
 
-def meet(rows: DataFrame, key: str, spread: str) -> DataFrame:
-    """Rows dealt and sorted by (key, _lo, _hi), with large keys split in blocks by a hash of ``spread``.
+def meet(rows: DataFrame, key: str, spread: str, *order: str) -> DataFrame:
+    """Rows dealt and sorted by (key, _lo, _hi, _side, *order), with large keys split in blocks by a hash of ``spread``. ``rows`` are computed twice.
 
     ``_side`` is 0 for rows of the lower block and 1 for those of the higher; in the meeting of a block
     with itself (or of a key that is not split) all rows have 0.
@@ -34,7 +34,7 @@ def meet(rows: DataFrame, key: str, spread: str) -> DataFrame:
     n_large = large.count()
     if not n_large:  # rows go straight to where they meet
         zero = F.lit(0)
-        return rows.withColumns({"_lo": zero, "_hi": zero, "_side": zero}).repartition(key).sortWithinPartitions(key)
+        return rows.withColumns({"_lo": zero, "_hi": zero, "_side": zero}).repartition(key).sortWithinPartitions(key, *order)
     # Sent to every task while they are few, else joined where the rows are dealt by key.
     joined = rows.join(F.broadcast(large) if n_large <= FEW else large, rows[key] == large["_k"], "left").drop("_k")
     own = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread, F.lit(7)), F.col("_n")).cast("int"))
@@ -46,7 +46,7 @@ def meet(rows: DataFrame, key: str, spread: str) -> DataFrame:
         .withColumn("_side", F.when(F.col("_own") > F.col("_lo"), 1).otherwise(0))
         .drop("_n", "_own", "_other")
     )
-    return dealt.repartition(key, "_lo", "_hi").sortWithinPartitions(key, "_lo", "_hi", "_side")
+    return dealt.repartition(key, "_lo", "_hi").sortWithinPartitions(key, "_lo", "_hi", "_side", *order)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
@@ -92,6 +92,23 @@ def _partners(held: list[pa.RecordBatch], key: str) -> tuple[pa.Table, np.ndarra
     return table, first, count
 
 
+def windows(first: np.ndarray, count: np.ndarray, value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The partners of each row that lie within ``width`` of its own value; partners stand in the order of their values."""
+    lo = _place(value, first, first + count, value - width)
+    hi = _place(value, first, first + count, value + width + 1)
+    return lo, hi - lo
+
+
+def _place(value: np.ndarray, lo: np.ndarray, hi: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Where in its sorted range each target belongs, by binary search of all ranges at once."""
+    lo, hi = lo.copy(), hi.copy()
+    while len(on := np.flatnonzero(lo < hi)):
+        middle = (lo[on] + hi[on]) // 2
+        below = value[middle] < target[on]
+        lo[on[below]], hi[on[~below]] = middle[below] + 1, middle[~below]
+    return lo
+
+
 def pairs(first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index arrays of all pairs (row, partner), a bounded number at once."""
     total = np.cumsum(count)

@@ -7,8 +7,11 @@ part only in the lines of each family where it projects farthest out. There the
 while near vectors are far out on the same lines, so windows hold few strangers. The number of families and the count a pair must
 reach are calibrated on simulated pairs at the cosine limit.
 
-Equal vectors are one class with a multiplicity. A pair is looked at in the first line where it meets only, and its
-link is added to counts and stars on the spot: no row per pair is made.
+What is shuffled for the lines is a number, a projection and a few codes, never the vector. A line's entries are sorted by
+projection, and a window centred at each sweeps over them. Its collisions are handed to the pair's lower vector as lists, where collisions of
+all families are counted. A pair that has met in both families before is not told again, so near copies, which meet in all, are told twice or so.
+Pairs that pass the count are verified where they first met: only there, and only for vectors that such pairs need, are vectors sent.
+Equal vectors are one class with a multiplicity. Links are added to counts and stars on the spot: no row per pair is made.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._pairs import meet, pairs, star, whole_groups
-from ._store import materialize
+from ._pairs import meet, pairs, star, whole_groups, windows
+from ._rows import join_hot
+from ._store import materialize, release
 from .components import connected_components
 
 COSINE = 0.9
@@ -43,6 +47,12 @@ WINDOW_SIGMAS = 4.0
 STEP, GUARD, VALUE_BITS = 1 / 512, 512, 11
 #: Vectors that a line holds on average, about, before rotations are added.
 LINE_FILL = 16
+#: Earlier families whose codes an entry carries.
+EARLIER = 2
+#: Vectors behind a part of a vector's partners: more are counted part by part.
+PART_VECTORS = 1 << 22
+#: Collisions counted in one go, about.
+AT_ONCE = 2_000_000
 
 
 @lru_cache(maxsize=8)
@@ -133,106 +143,223 @@ def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _on_lines(n: int, cosine: float):
-    """A mapInArrow function: (node, mult, e) to a row for each line a vector takes part in."""
+    """A mapInArrow function: (node, e) to an entry for each line a vector takes part in, with its codes of this family and EARLIER ones before."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
-                node, mult = batch.column("node").to_numpy(), batch.column("mult").to_numpy()
+                node = batch.column("node").to_numpy()
                 for rows, raw in _vectors(pa.concat_arrays([batch.column("e")])):
                     dim, space = raw.shape[1], max(raw.shape[1], LEAST_DIM)
                     arity = _arity(n, space)
-                    families = calibrate(space, cosine, arity)
                     x = np.pad(raw.astype(np.float64), ((0, 0), (0, space - dim)))
                     x /= np.abs(x).max(axis=1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    codes = np.concatenate([_coded(*_taken(x, r)) for r in _rotations(space, families, arity)], axis=1)
-                    small = arity * (2 * space - 1).bit_length() + VALUE_BITS <= 32
-                    codes_data = np.ascontiguousarray(codes.astype("<u4" if small else "<u8"))
-                    codes_col = pa.array([c.tobytes() for c in codes_data], pa.binary())
-                    raw_col = pa.array([v.tobytes() for v in np.ascontiguousarray(raw)], pa.binary())
-                    for k in range(codes.shape[1]):
-                        family = k // LINES
-                        key = _keys(dim, family, codes[:, k] >> VALUE_BITS)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(key), pa.array(np.full(len(rows), dim, dtype=np.int32)), pa.array(node[rows]), pa.array(mult[rows]), codes_col, raw_col], names=["key", "dim", "node", "mult", "codes", "vec"]
-                        )
+                    known: list[np.ndarray] = []
+                    for family, r in enumerate(_rotations(space, calibrate(space, cosine, arity), arity)):
+                        known = [*known, _coded(*_taken(x, r))][-1 - EARLIER :]
+                        carried = np.ascontiguousarray(np.concatenate(known, axis=1).astype("<i8" if _is_wide(space, arity) else "<u4"))
+                        packed = pa.array([c.tobytes() for c in carried], pa.binary())
+                        for line in known[-1].T:
+                            yield pa.RecordBatch.from_arrays([pa.array(_keys(dim, family, line >> VALUE_BITS)), pa.array(line & ((1 << VALUE_BITS) - 1)), pa.array(node[rows]), pa.array(np.full(len(rows), space, dtype=np.int32)), packed], names=["key", "value", "node", "dim", "codes"])
 
     return emit
 
 
-def _matrix(column: pa.ChunkedArray, dtype: np.dtype) -> np.ndarray:
-    values = column.to_pylist()
-    return np.frombuffer(b"".join(values), dtype=dtype).reshape(len(values), -1)
+def _is_wide(space: int, arity: int) -> bool:
+    """Whether codes need over 32 bits."""
+    return arity * (2 * space - 1).bit_length() + VALUE_BITS > 32
 
 
-def _verified(n: int, cosine: float, vec_type: str):
-    """A mapInArrow function: links of nodes as partial counts (node, null, n) and stars (u, v, 0)."""
+def _met(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """Which of the codes of two vectors in one family lie in each other's windows: [pair, line of a, line of b]."""
+    return np.abs(a[:, :, None] - b[:, None, :]) <= width
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _collisions(n: int, cosine: float, parts: int):
+    """A mapInArrow function: sorted lines to lists (u, part, at, family, partners): the higher nodes that node u meets there. ``at`` names the place, a block of a line."""
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, first, count in whole_groups(batches, "key"):
-            if not count.any():
-                continue
             dims = table.column("dim").to_numpy()
-            ok = count > 0
-            for dim in np.unique(dims[ok]):
-                yield from _one_dim(table, first, np.where(dims == dim, count, 0), int(dim))
-
-    def _one_dim(table: pa.Table, first: np.ndarray, count: np.ndarray, dim: int) -> Iterator[pa.RecordBatch]:
-        use = np.flatnonzero(count)
-        lo, hi = int(use[0]), int((first + count)[use].max())
-        table, first, count = table.slice(lo, hi - lo), first[lo:hi] - lo, count[lo:hi]
-        space = max(dim, LEAST_DIM)
-        arity = _arity(n, space)
-        families = calibrate(space, cosine, arity)
-        own = np.flatnonzero(table.column("dim").to_numpy() == dim)
-        place = np.zeros(len(table), dtype=np.int64)
-        place[own] = np.arange(len(own))
-        part = table.take(own)
-        small = arity * (2 * space - 1).bit_length() + VALUE_BITS <= 32
-        codes = _matrix(part.column("codes"), np.dtype("<u4" if small else "<u8")).astype(np.int64)
-        vec = _matrix(part.column("vec"), np.dtype(vec_type))
-        node, mult, key = (part.column(c).to_numpy() for c in ("node", "mult", "key"))
+            value, node, key = (table.column(c).to_numpy() for c in ("value", "node", "key"))
+            place = _place_names(key, table.column("_lo").to_numpy(), table.column("_hi").to_numpy())
+            codes = table.column("codes").combine_chunks() if len(table) else table.column("codes")
+            for dim in np.unique(dims):
+                own = dims == dim
+                width = window_of(int(dim), cosine)
+                lo, size = windows(first, np.where(own, count, 0), value, width)
+                if size.any():
+                    yield from _told(codes, lo, size, node, key, place, int(dim), width)
+
+    def _told(codes, lo, size, node, key, place, dim, width) -> Iterator[pa.RecordBatch]:
+        wide, found = np.dtype("<i8" if _is_wide(dim, _arity(n, dim)) else "<u4"), []
+        data, edge = _flat(codes, wide)
         family, line = _key_parts(key)
-        w = window_of(space, cosine)
-        links: dict[str, list[np.ndarray]] = {"a": [], "b": []}
-        for a, b in pairs(first, count):
-            a, b = place[a], place[b]
-            met = np.zeros(len(a), dtype=np.int16)
-            at = np.full(len(a), np.iinfo(np.int64).max)
-            for f in range(families):
-                here = np.zeros(len(a), dtype=bool)
-                for p in range(LINES):
-                    mine = codes[a, f * LINES + p]
-                    for q in range(LINES):
-                        close = np.abs(mine - codes[b, f * LINES + q]) <= w
-                        here |= close
-                        where = np.flatnonzero(close)
-                        at[where] = np.minimum(at[where], (f << 41) + (mine[where] >> VALUE_BITS))
-                met += here
-            keep = (met >= COUNT) & (at == (family[a] << 41) + line[a])
+        held = 0
+        for a, b in pairs(lo, size):
+            f = family[a]
+            keep = np.ones(len(a), dtype=bool)
+            for depth in np.unique(np.minimum(f, EARLIER)).tolist():
+                at = np.flatnonzero(np.minimum(f, EARLIER) == depth)
+                x, y = (data[edge[side[at]][:, None] + np.arange((depth + 1) * LINES)].astype(np.int64).reshape(len(at), depth + 1, LINES) for side in (a, b))
+                now = _met(x[:, depth], y[:, depth], width)
+                lowest = np.where(now, (x[:, depth] >> VALUE_BITS)[:, :, None], np.iinfo(np.int64).max).min(axis=(1, 2))
+                keep[at] = lowest == line[a[at]]  # once a family
+                if depth == EARLIER:
+                    before = np.all([_met(x[:, k], y[:, k], width).any(axis=(1, 2)) for k in range(EARLIER)], axis=0)
+                    keep[at[before]] = False
             a, b = a[keep], b[keep]
-            near = _cosines(vec, a, b) >= cosine
-            links["a"].append(a[near])
-            links["b"].append(b[near])
-        a, b = np.concatenate(links["a"]), np.concatenate(links["b"])
-        if len(a):
-            n_links = np.bincount(a, weights=mult[b], minlength=len(node)) + np.bincount(b, weights=mult[a], minlength=len(node))
-            some = np.flatnonzero(n_links)
-            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.nulls(len(some), pa.int64()), pa.array(n_links[some].astype(np.int64))], names=["u", "v", "n"])
-            u, v = star(node[a], node[b])
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.zeros(len(u), dtype=np.int64))], names=["u", "v", "n"])
+            found.append((np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), place[a], family[a]))
+            held += len(a)
+            if held > AT_ONCE:
+                yield _listed(found, parts)
+                found, held = [], 0
+        if held:
+            yield _listed(found, parts)
+
+    return sweep
+
+
+def _place_names(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A number for each block of each line."""
+    x = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lo.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + hi.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+    return ((x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)).astype(np.int64)
+
+
+def _flat(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a binary column without nulls as one array, and the edges between them."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1 + column.offset)[column.offset :].astype(np.int64)
+    raw = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if column.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
+    return np.ascontiguousarray(raw).view(dtype), (offsets - offsets[0]) // dtype.itemsize
+
+
+def _binary(values: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """A binary column whose entries are the stretches of ``values`` between the edges."""
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _listed(found: list[tuple], parts: int) -> pa.RecordBatch:
+    u, v, place, family = (np.concatenate(x) for x in zip(*found))
+    part = ((v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+    by = np.lexsort((v, place, part, u))
+    u, v, place, family, part = u[by], v[by], place[by], family[by], part[by]
+    new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (place[1:] != place[:-1]) | (part[1:] != part[:-1])]))
+    columns = [pa.array(u[new]), pa.array(part[new]), pa.array(place[new]), pa.array(family[new].astype(np.int64)), _binary(v.astype("<i8"), np.append(new, len(v)))]
+    return pa.RecordBatch.from_arrays(columns, names=["u", "part", "at", "family", "partners"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Collisions sorted by (u, part) to what is verified: lists (at, u, partners) of pairs that met in COUNT families, at the place of their
+    first meeting, and the nodes that a place needs (at, u, null)."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        u, at, family = (batch.column(c).to_numpy() for c in ("u", "at", "family"))
+        v, edge = _flat(batch.column("partners"), np.dtype("<i8"))
+        lo = 0
+        while lo < len(u):
+            hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + AT_ONCE, "right")) - 1)
+            n = np.diff(edge[lo : hi + 1])
+            held.append((np.repeat(u[lo:hi], n), v[edge[lo] : edge[hi]], np.repeat(family[lo:hi], n), np.repeat(at[lo:hi], n)))
+            size += int(n.sum())
+            lo = hi
+            if size > AT_ONCE:  # all but the last node, which may go on
+                whole = [np.concatenate(x) for x in zip(*held)]
+                cut = int(np.searchsorted(whole[0], whole[0][-1], "left"))
+                if cut and (np.diff(whole[0]) >= 0).all():
+                    yield from _passed(*(x[:cut] for x in whole))
+                    whole = [x[cut:] for x in whole]
+                held, size = [tuple(whole)], len(whole[0])
+    if held:
+        yield from _passed(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _passed(u: np.ndarray, v: np.ndarray, family: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    by = np.lexsort((at, family, v, u))
+    u, v, family, at = u[by], v[by], family[by], at[by]
+    new = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
+    start = np.flatnonzero(new)
+    again = np.concatenate([[False], ~new[1:] & (family[1:] == family[:-1])])
+    met = np.add.reduceat((~again).astype(np.int64), start)
+    start = start[met >= COUNT]
+    if not len(start):
+        return
+    u, v, at = u[start], v[start], at[start]
+    by = np.lexsort((v, u, at))
+    u, v, at = u[by], v[by], at[by]
+    new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (at[1:] != at[:-1])]))
+    yield pa.RecordBatch.from_arrays([pa.array(at[new]), pa.array(u[new]), _binary(v.astype("<i8"), np.append(new, len(v)))], names=["at", "u", "partners"])
+    need = np.unique(np.stack([np.concatenate([at, at]), np.concatenate([u, v])], axis=1), axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(need[:, 0]), pa.array(need[:, 1]), pa.nulls(len(need), pa.binary())], names=["at", "u", "partners"])
+
+
+def _verified(cosine: float):
+    """A mapInArrow function: places with their vectors first and then their lists, to links of nodes as partial counts (node, null, n) and stars (u, v, 0)."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, mults, vectors, lists = None, [], [], [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if lists:
+                yield from _links(np.array(nodes), np.array(mults), vectors, lists, cosine)
+
+        for batch in batches:
+            for at, u, mult, e, partners in zip(*(batch.column(c).to_pylist() if c != "e" else _rows_of(batch.column("e")) for c in ("at", "u", "mult", "e", "partners"))):
+                if at != now:
+                    yield from done()
+                    now, nodes, mults, vectors, lists = at, [], [], [], []
+                if partners is None:
+                    nodes.append(u)
+                    mults.append(mult)
+                    vectors.append(e)
+                else:
+                    lists.append((u, np.frombuffer(partners, dtype="<i8")))
+        yield from done()
 
     return check
 
 
+def _rows_of(column: pa.Array) -> list[np.ndarray | None]:
+    """Each list as an array, null as None."""
+    flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b] if ok else None for a, b, ok in zip(offsets, offsets[1:], column.is_valid().to_pylist())]
+
+
+def _links(nodes: np.ndarray, mults: np.ndarray, vectors: list, lists: list[tuple[int, np.ndarray]], cosine: float) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(nodes)
+    nodes, mults = nodes[order], mults[order]
+    length = np.array([len(vectors[i]) for i in order])
+    matrix = np.zeros((len(nodes), length.max()), dtype=vectors[0].dtype)
+    for row, i in enumerate(order):
+        matrix[row, : length[row]] = vectors[i]
+    us, vs = [], []
+    for lo in range(0, len(lists), 1000):
+        some = lists[lo : lo + 1000]
+        a = np.searchsorted(nodes, np.repeat([u for u, _ in some], [len(v) for _, v in some]))
+        b = np.searchsorted(nodes, np.concatenate([v for _, v in some]))
+        near = (_cosines(matrix, a, b) >= cosine) & (length[a] == length[b])
+        us.append(a[near])
+        vs.append(b[near])
+    a, b = np.concatenate(us), np.concatenate(vs)
+    if len(a):
+        n_links = np.bincount(a, weights=mults[b], minlength=len(nodes)) + np.bincount(b, weights=mults[a], minlength=len(nodes))
+        some = np.flatnonzero(n_links)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.nulls(len(some), pa.int64()), pa.array(n_links[some].astype(np.int64))], names=["u", "v", "n"])
+        u, v = star(nodes[a], nodes[b])
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.zeros(len(u), dtype=np.int64))], names=["u", "v", "n"])
+
+
 def _cosines(vec: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of pairs of rows, in double precision."""
+    """Cosines of pairs of rows, in double precision; rows are scaled by powers of two, so that no product overflows."""
+    vec = vec.astype(np.float64)
+    vec = np.ldexp(vec, -np.frexp(np.abs(vec).max(axis=1, keepdims=True))[1])
+    norm = np.sqrt(np.einsum("ij,ij->i", vec, vec))
     out = np.empty(len(a))
     for lo in range(0, len(a), 100_000):
-        x, y = vec[a[lo : lo + 100_000]].astype(np.float64), vec[b[lo : lo + 100_000]].astype(np.float64)
-        out[lo : lo + 100_000] = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
+        x, y = a[lo : lo + 100_000], b[lo : lo + 100_000]
+        out[lo : lo + 100_000] = np.einsum("ij,ij->i", vec[x], vec[y]) / (norm[x] * norm[y])
     return out
 
 
@@ -244,7 +371,6 @@ def embedding_groups(vectors: DataFrame, cosine: float = COSINE, id_col: str = "
     id but not the vector are vectors of their own. Other columns are ignored; an empty table gives no row.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("d"), F.col(vector_col).alias("e"))
-    wide = rows.schema["e"].dataType.elementType.typeName() == "double"
     good = F.coalesce(
         F.col("d").isNotNull() & F.forall("e", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("e", lambda x: x != 0), F.lit(False)
     )
@@ -252,13 +378,20 @@ def embedding_groups(vectors: DataFrame, cosine: float = COSINE, id_col: str = "
     classes = rows.where("good").groupBy("e").agg(F.min("d").alias("low"), F.count("*").alias("mult"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     n = classes.count()
-    lines = classes.select("node", "mult", "e").mapInArrow(_on_lines(n, cosine), "key long, dim int, node long, mult long, codes binary, vec binary")
-    found = materialize(meet(lines, "key", "node").mapInArrow(_verified(n, cosine, "<f8" if wide else "<f4"), "u long, v long, n long"), "found")
+    lines = materialize(classes.select("node", "e").mapInArrow(_on_lines(n, cosine), "key long, value long, node long, dim int, codes binary"), "lines")
+    told = meet(lines, "key", "node", "value").mapInArrow(_collisions(n, cosine, 1 + n // PART_VECTORS), "u long, part int, at long, family long, partners binary")
+    passed = materialize(told.repartition("u", "part").sortWithinPartitions("u", "part").mapInArrow(_counted, "at long, u long, partners binary"), "passed")
+    release(lines)
+    needed = passed.where(F.col("partners").isNull()).select("at", "u").distinct()
+    sent = needed.join(classes.select(F.col("node").alias("u"), "mult", "e"), "u").select("at", "u", "mult", "e", F.lit(None).cast("binary").alias("partners"))
+    lists = passed.where(F.col("partners").isNotNull()).select("at", "u", F.lit(None).cast("long").alias("mult"), F.lit(None).cast(rows.schema["e"].dataType).alias("e"), "partners")
+    met = sent.unionByName(lists).repartition("at").sortWithinPartitions("at", F.col("partners").isNotNull())
+    found = materialize(met.mapInArrow(_verified(cosine), "u long, v long, n long"), "found")
     counts = found.where(F.col("v").isNull()).groupBy("u").agg(F.sum("n").alias("n"))
     parts = connected_components(found.where(F.col("v").isNotNull()).select("u", "v"))
     named = classes.join(parts, classes.node == parts.node, "left").select(classes.node, "e", "low", "mult", F.coalesce(parts.component, classes.node).alias("label"))
-    lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    done = named.join(lowest, "label").join(counts, named.node == counts.u, "left").select("e", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
-    linked = rows.where("good").join(done, "e").select("d", "n_links", "component_id")
+    lowest = named.groupBy("label").agg(F.min("low").alias("component_id"), F.count("*").alias("_n"))
+    done = join_hot(named, lowest, "label", "_n").join(counts, F.col("node") == counts.u, "left").select("e", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id", F.col("mult").alias("_n"))
+    linked = join_hot(rows.where("good"), materialize(done, "done"), "e", "_n").select("d", "n_links", "component_id")
     alone = rows.where(~F.col("good")).select("d", F.lit(0).cast("long").alias("n_links"), F.col("d").alias("component_id"))
     return linked.union(alone).select(F.col("d").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("d") == F.col("component_id"), F.lit(False)).alias("kept"))
