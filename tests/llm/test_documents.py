@@ -344,7 +344,7 @@ def test_license_scan(spark):
     assert len({e[1] for e in expected}) == len(TEMPLATES)
     assert by_id(scan_licenses(docs(spark, data)), "doc_id", "license", "n_windows", "containment", "start_word") == order(expected)
     assert scan_licenses(docs(spark, [])).collect() == [] and scan_licenses(docs(spark), {}).collect() == []
-    assert all(bands_for(s) < 64 for s in range(1, 200))
+    assert all(bands_for(s) < 128 for s in range(1, 200))
 
 
 def test_token_counts(spark, byte_ids):

@@ -1,12 +1,13 @@
 """License notices in texts, retrieved by MinHash bands over overlapping windows.
 
 Texts and templates are five-word shingles. For a template of s shingles a text is cut into windows of s + t shingles,
-t = s // 2 (at least 1) apart, so that every occurrence lies whole in some window. A window that holds
-SIMILARITY of a template's shingles has a Jaccard similarity of at least SIMILARITY * s / (s + t + (1 - SIMILARITY) * s) with it;
-with bands of one row, BANDS of them collide with a probability of at least 1 - MISS for that. Windows whose signature
-collides with a template's in a band are candidates, and the share of the template's shingles they hold is then
-counted exactly, on the words. A window without any shingle of a template cannot collide with it, as equal minima are one
-and the same shingle; such windows get no signature.
+t = s // 2 (at least 1) apart, so that every occurrence lies whole in some window; a window that holds SIMILARITY of the template's shingles matches.
+
+Such windows are retrieved by bands. Templates of g + 1 to 2g shingles, for every power of two g, share retrieval windows of 4g shingles, g apart, in which each of
+their own windows lies whole. A matching window's retrieval window has a Jaccard similarity with the template of at least
+SIMILARITY * s / (4g + (1 - SIMILARITY) * s); with bands of one row, as many as :func:`bands_for` gives collide with a probability of at least 1 - MISS for that.
+Every window of every text gets its minimum in each band, computed from the halves that smaller windows have in common, and
+looks it up among the templates'. For the templates that collide, the share of their shingles is counted exactly, on the words, in their own windows there.
 """
 
 from __future__ import annotations
@@ -112,18 +113,76 @@ def _templates() -> dict[str, str]:
 TEMPLATES = _templates()
 
 
+def level_of(s: int) -> int:
+    """The power of two g such that a template of s shingles is retrieved by windows of 4g."""
+    return 1 if s <= 2 else 1 << (s - 1).bit_length() - 1
+
+
 def bands_for(s: int, similarity: float = SIMILARITY, miss: float = MISS) -> int:
     """Bands of one row that a template of s shingles needs."""
-    step = max(1, s // 2)
-    jaccard = similarity * s / (s + step + (1 - similarity) * s)
+    shared = ceil(similarity * s - 1e-9)
+    jaccard = shared / (4 * level_of(s) + s - shared)
     return ceil(log(miss) / log(1 - jaccard))
 
 
-def _permuted(h: np.ndarray, bands: int) -> np.ndarray:
-    """[band, shingle]: each band's hash of each shingle."""
-    k = np.arange(1, bands + 1, dtype=np.uint64)[:, None]
-    x = (h[None, :] ^ (k * np.uint64(0x9E3779B97F4A7C15))) * (k * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1))
-    return x ^ (x >> np.uint64(32))
+def _factor(band: int) -> int:
+    """The odd factor by which a band permutes 32-bit hashes."""
+    return (2 * band + 1) * 0x9E3779B1 % (1 << 32) | 1
+
+
+class Bands:
+    """The templates' minima by level and band, to be looked up by those of texts."""
+
+    BITS = 22
+
+    def __init__(self, templates: list[Template]):
+        self.levels = sorted({t.level for t in templates})
+        self.bands = max((t.bands for t in templates), default=0)
+        self.known = np.zeros(1 << self.BITS, dtype=bool)
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for i, t in enumerate(templates):
+            h = _short(t.hashes)
+            for band in range(t.bands):
+                least = int(h[np.argmin(h * np.uint32(_factor(band)))])
+                found.setdefault((t.level, band), []).append((least, i))
+                self.known[least >> (32 - self.BITS)] = True
+        self.minima = {k: tuple(np.array(x) for x in zip(*sorted(v))) for k, v in found.items()}
+
+    def search(self, h: np.ndarray) -> np.ndarray:
+        """Rows (template, first shingle of a retrieval window) that collide in a band, each once, for the 32-bit hashes of a text's shingles."""
+        out = [np.zeros((0, 2), dtype=np.int64)]
+        if not len(h) or not self.levels:
+            return out[0]
+        size = -(-len(h) // self.levels[-1]) * self.levels[-1] + 4
+        padded = np.empty(size, dtype=np.uint32)
+        for band in range(self.bands):
+            factor = _factor(band)
+            padded[: len(h)] = h * np.uint32(factor)
+            padded[len(h) :] = 0xFFFFFFFF
+            two = np.minimum(padded[:-1], padded[1:])
+            least, g = np.minimum(two[:-2], two[2:])[: len(h)], 1
+            back = np.uint32(pow(factor, -1, 1 << 32))
+            while True:
+                if (g, band) in self.minima:
+                    own = least * back  # the hash behind the minimum
+                    at = np.flatnonzero(self.known[own >> np.uint32(32 - self.BITS)])
+                    if len(at):
+                        value, template = self.minima[g, band]
+                        lo, hi = np.searchsorted(value, own[at], "left"), np.searchsorted(value, own[at], "right")
+                        n = hi - lo
+                        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        out.append(np.stack([template[which], np.repeat(at, n) * g], axis=1))
+                if g == self.levels[-1]:
+                    break
+                half = least[::2]
+                least = half.copy()
+                least[:-2] = np.minimum(half[:-2], half[2:])
+                g *= 2
+        return np.unique(np.concatenate(out), axis=0)
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
 def shingles(words: list[bytes]) -> list[tuple[bytes, ...]]:
@@ -138,8 +197,8 @@ class Template:
     hashes: np.ndarray
     step: int
     size: int
+    level: int
     bands: int
-    signature: np.ndarray
 
 
 def _hash_words(words: list[bytes]) -> np.ndarray:
@@ -166,39 +225,23 @@ def prepare(templates: dict[str, str]) -> list[Template]:
         own = frozenset(shingles(words))
         h = np.unique(_hash_shingles(_hash_words(words)))
         step = max(1, len(own) // 2)
-        bands = bands_for(len(own))
-        made.append(Template(name, own, h, step, len(own) + step, bands, _permuted(h, bands).min(axis=1)))
+        made.append(Template(name, own, h, step, len(own) + step, level_of(len(own)), bands_for(len(own))))
     return made
 
 
-def _holders(templates: list[Template]) -> dict[int, list[int]]:
-    """Numbers of the templates that hold each shingle."""
-    out: dict[int, list[int]] = {}
-    for i, t in enumerate(templates):
-        for x in t.hashes.tolist():
-            out.setdefault(x, []).append(i)
-    return out
-
-
-def _matches(words: list[bytes], h: np.ndarray, hit: np.ndarray, templates: list[Template], holders: dict[int, list[int]]) -> list[tuple[str, int, float, int]]:
-    """(template, matching windows, largest share, first word of the first window with it) for one text; ``hit``: places of shingles of any template."""
+def _matches(words: list[bytes], n: int, found: np.ndarray, templates: list[Template]) -> list[tuple[str, int, float, int]]:
+    """(template, matching windows, largest share, first word of the first window with it) for one text of n shingles; ``found``: rows
+    (template, first shingle, last shingle) of what was retrieved in it."""
     out = []
-    places_of: dict[int, list[int]] = {}
-    for place, x in zip(hit.tolist(), h[hit].tolist()):
-        for i in holders[x]:
-            places_of.setdefault(i, []).append(place)
-    for i in sorted(places_of):
-        t, places = templates[i], np.array(places_of[i])
-        last = max(0, ceil((len(h) - t.size) / t.step))
-        lo = np.maximum(0, -(-(places - t.size + 1) // t.step))
-        windows = np.unique(np.concatenate([np.arange(a, min(b, last) + 1) for a, b in zip(lo, places // t.step)]))
+    for i in np.unique(found[:, 0]).tolist():
+        t = templates[i]
+        last = max(0, ceil((n - t.size) / t.step))
+        lo = np.clip((found[found[:, 0] == i, 1] - t.size) // t.step, 0, last)
+        hi = np.clip(found[found[:, 0] == i, 2] // t.step, 0, last)
+        windows = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi)]))
         count, best, first = 0, 0.0, 0
-        for w in windows.tolist():
-            start = w * t.step
-            signature = _permuted(h[start : start + t.size], t.bands).min(axis=1)
-            if not (signature == t.signature).any():
-                continue
-            own = {tuple(words[i : i + SHINGLE_WORDS]) for i in range(start, min(start + t.size, len(h)))}
+        for start in (windows * t.step).tolist():
+            own = {tuple(words[k : k + SHINGLE_WORDS]) for k in range(start, min(start + t.size, n))}
             share = len(own & t.shingles) / len(t.shingles)
             if share >= SIMILARITY:
                 count += 1
@@ -221,24 +264,28 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = prepare(chosen)
-        holders = _holders(ready)
-        every = np.unique(np.concatenate([t.hashes for t in ready])) if ready else np.zeros(0, dtype=np.uint64)
+        bands, level = Bands(ready), np.array([t.level for t in ready], dtype=np.int64)
         for batch in batches:
             for piece in slices(batch, "t"):
                 texts = [words_of(t) for t in texts_of(piece, "t")]
                 number: dict[bytes, int] = {}
                 flat = np.fromiter((number.setdefault(w, len(number)) for words in texts for w in words), dtype=np.int64)
                 word_hash = _hash_words(list(number))[flat] if len(flat) else np.zeros(0, dtype=np.uint64)
-                out, at = [], 0
-                h_all = _hash_shingles(word_hash)
-                hits = np.flatnonzero(np.isin(h_all, every))
-                for doc_id, words in zip(piece.column(0).to_pylist(), texts):
-                    n = len(words) - SHINGLE_WORDS + 1
-                    if n > 0:
-                        mine = hits[np.searchsorted(hits, at) : np.searchsorted(hits, at + n)] - at
-                        if len(mine):
-                            out += [(doc_id, *m) for m in _matches(words, h_all[at : at + n], mine, ready, holders)]
-                    at += len(words)
+                found = bands.search(_short(_hash_shingles(word_hash)))
+                ends = np.cumsum([len(words) for words in texts])
+                starts = ends - [len(words) for words in texts]
+                lo, hi = found[:, 1], found[:, 1] + 4 * level[found[:, 0]] - 1
+                out, ids = [], piece.column(0).to_pylist()
+                if len(found):  # a retrieval window may reach over several texts
+                    first, after = np.searchsorted(ends, lo, "right"), np.searchsorted(starts, hi, "right")
+                    many = np.maximum(after - first, 0)
+                    row = np.repeat(np.arange(len(found)), many)
+                    text = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    inside = np.stack([found[row, 0], np.maximum(lo[row] - starts[text], 0), hi[row] - starts[text]], axis=1)
+                    for i in np.unique(text).tolist():
+                        n = len(texts[i]) - SHINGLE_WORDS + 1
+                        if n > 0:
+                            out += [(ids[i], *m) for m in _matches(texts[i], n, inside[text == i], ready)]
                 names, types = ["doc_id", "license", "n_windows", "containment", "start_word"], [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, types)], names=names)
 
