@@ -133,7 +133,9 @@ def _factor(band: int) -> int:
 class Bands:
     """The templates' minima by level and band, to be looked up by those of texts."""
 
-    BITS = 22
+    BITS = 20
+    #: Shingles handled in one go, and the level up to which they are.
+    CHUNK, NEAR = 1 << 15, 64
 
     def __init__(self, templates: list[Template]):
         self.levels = sorted({t.level for t in templates})
@@ -153,33 +155,47 @@ class Bands:
         out = [np.zeros((0, 2), dtype=np.int64)]
         if not len(h) or not self.levels:
             return out[0]
-        size = -(-len(h) // self.levels[-1]) * self.levels[-1] + 4
-        padded = np.empty(size, dtype=np.uint32)
-        for band in range(self.bands):
-            factor = _factor(band)
-            padded[: len(h)] = h * np.uint32(factor)
-            padded[len(h) :] = 0xFFFFFFFF
-            two = np.minimum(padded[:-1], padded[1:])
-            least, g = np.minimum(two[:-2], two[2:])[: len(h)], 1
-            back = np.uint32(pow(factor, -1, 1 << 32))
-            while True:
-                if (g, band) in self.minima:
-                    own = least * back  # the hash behind the minimum
-                    at = np.flatnonzero(self.known[own >> np.uint32(32 - self.BITS)])
-                    if len(at):
-                        value, template = self.minima[g, band]
-                        lo, hi = np.searchsorted(value, own[at], "left"), np.searchsorted(value, own[at], "right")
-                        n = hi - lo
-                        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        out.append(np.stack([template[which], np.repeat(at, n) * g], axis=1))
-                if g == self.levels[-1]:
-                    break
-                half = least[::2]
-                least = half.copy()
-                least[:-2] = np.minimum(half[:-2], half[2:])
-                g *= 2
+        top = self.levels[-1]
+        low = min(top, self.NEAR)
+        coarse: list[list[np.ndarray]] = [[] for _ in range(self.bands)]
+        for start in range(0, len(h), self.CHUNK):  # small windows stay in the processor's cache
+            part = h[start : start + self.CHUNK + 4 * low]
+            n = -(-min(self.CHUNK, len(h) - start) // low) * low
+            padded = np.full(n + 4 * low + 4, 0xFFFFFFFF, dtype=np.uint32)
+            for band in range(self.bands):
+                np.multiply(part, np.uint32(_factor(band)), out=padded[: len(part)])
+                two = np.minimum(padded[:-1], padded[1:])
+                coarse[band].append(self._climb(np.minimum(two[:-2], two[2:]), 1, low, band, start, n, out)[: n // low])
+        if top > low:
+            for band in range(self.bands):
+                self._climb(_wider(np.concatenate(coarse[band])), 2 * low, top, band, 0, len(h) + top, out)
         return np.unique(np.concatenate(out), axis=0)
 
+    def _climb(self, least: np.ndarray, g: int, top: int, band: int, start: int, n: int, out: list) -> np.ndarray:
+        """Look up the minima of windows of 4g shingles that begin at ``start`` + 0, g, 2g and so on, then those of twice the size, up to g = ``top``, which are returned."""
+        factor = np.uint32(pow(_factor(band), -1, 1 << 32))
+        while True:
+            if (g, band) in self.minima:
+                own = least[: -(-n // g)] * factor  # the hashes behind the minima
+                at = np.flatnonzero(self.known[own >> np.uint32(32 - self.BITS)])
+                if len(at):
+                    value, template = self.minima[g, band]
+                    lo, hi = np.searchsorted(value, own[at], "left"), np.searchsorted(value, own[at], "right")
+                    many = hi - lo
+                    which = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    out.append(np.stack([template[which], start + np.repeat(at, many) * g], axis=1))
+            if g == top:
+                return least
+            least, g = _wider(least), 2 * g
+
+
+def _wider(least: np.ndarray) -> np.ndarray:
+    """Minima of windows twice as large and as far apart."""
+    half = least[::2]
+    out = half.copy()
+    out[:-2] = np.minimum(half[:-2], half[2:])
+    return out
+
 
 def _short(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32)
