@@ -256,11 +256,16 @@ def test_filters_and_warnings(spark, bins, pixels):
         BL.balance(pixels, bins, cis_only=True, trans_only=True)
 
 
-def test_large_form_agrees(bins, pixels):
-    weights, stats = BL.balance_large(pixels, bins, checkpointed, tol=1e-3)
-    small = BL.balance(pixels, bins, min_nnz=0, mad_max=0, tol=1e-3)
-    large = np.array([r.weight for r in weights.orderBy("bin_id").collect()])
-    assert stats["converged"] and np.allclose(large, small.weights, equal_nan=True)
+@pytest.mark.parametrize("mode", ["all", "cis", "trans"])
+def test_large_form_agrees(spark, bins, pixels, mode):
+    bad = spark.createDataFrame([("a", 0, 15)], "chrom string, start long, end long")
+    for options in ({"min_nnz": 0, "mad_max": 0}, {"min_nnz": 3, "min_count": 10, "mad_max": 2, "blacklist": bad}):
+        options = {"tol": 1e-3, "cis_only": mode == "cis", "trans_only": mode == "trans", **options}
+        weights, stats = BL.balance_large(pixels, bins, checkpointed, **options)
+        small = BL.balance(pixels, bins, **options)
+        large = np.array([r.weight for r in weights.orderBy("bin_id").collect()])
+        assert stats["converged"] == small.stats["converged"] and np.allclose(large, small.weights, equal_nan=True)
+        assert np.allclose(stats["scale"], small.stats["scale"], equal_nan=True)
 
 
 def test_pipes(pixels):
@@ -288,6 +293,26 @@ def test_any_input_and_orientations(spark):
         I.one_orientation(pairs.unionByName(spark.createDataFrame([("b", "a")], pairs.schema)))
 
 
+def test_many_sequences_are_told_by_joins(spark, bins, pixels, monkeypatch):
+    from weftmap.operators import reduce as R
+
+    few = [rows(f) for f in (Q.cis(pixels, bins), Q.trans(pixels, bins), R.coarsen_pixels(pixels, bins, 2), R.coarse_id(bins, 3))]
+    for module in (Q, R):
+        monkeypatch.setattr(module, "MOST_PIECES", 1)
+    assert [rows(f) for f in (Q.cis(pixels, bins), Q.trans(pixels, bins), R.coarsen_pixels(pixels, bins, 2), R.coarse_id(bins, 3))] == few
+
+
+def test_runs_meet_at_the_edges_of_ranges(spark):
+    values = [(i, None if i % 9 == 0 else i // 40 % 3) for i in range(300)] + [(i, 5) for i in range(300, 900)]
+    runs, want = B.run_lengths(spark.createDataFrame(values, "o long, v long").repartition(7), "v", "o"), []
+    for i, v in values:
+        if want and want[-1][2] == v:
+            want[-1][1] += 1
+        else:
+            want.append([i, 1, v])
+    assert sorted((r.start, r.length, r.value) for r in runs.collect()) == [tuple(w) for w in want]
+
+
 def test_check_bins(bins, variable):
     assert B.check_bins(bins, GENOME) is bins and B.check_bins(variable, GENOME) is variable
     shorter = Genome.of({"a": 95, "b": 50, "c": 7})

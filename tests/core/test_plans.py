@@ -46,13 +46,15 @@ def test_small_parsers():
 
 def test_sequences_and_predecessors():
     assert preferred_sequence(1000, 50_000, "nice") == [1000, 2000, 5000, 10_000, 20_000, 50_000]
-    assert preferred_sequence(2000, 20_000, "nice") == [2000, 5000, 10_000, 20_000]
+    assert preferred_sequence(1, 100) == [1, 2, 5, 10, 20, 50, 100] and preferred_sequence(5, 100) == [5, 10, 25, 50, 100]
+    assert preferred_sequence(2000, 20_000, "nice") == [2000, 4000, 10_000, 20_000]
     assert preferred_sequence(3, 50, "binary") == [3, 6, 12, 24, 48]
     assert preferred_sequence(10, 5) == []
     with pytest.raises(ValueError):
         preferred_sequence(1, 9, "other")
     assert parse_resolutions("B", 1000, 5000) == [1000, 2000, 4000]
-    assert parse_resolutions("500,2000N", 1000, 10_000) == [500, 2000, 5000, 10_000]
+    assert parse_resolutions("500,2000N", 1000, 10_000) == [500, 2000, 4000, 10_000]
+    assert parse_resolutions("4DN", 1000, 60_000) == [1000, 2000, 5000, 10_000, 25_000, 50_000]
     assert parse_resolutions("4000B", 1000, 9000) == [4000, 8000]
     assert predecessors([2], [4, 6, 12]) == [(2, None, 1), (4, 2, 2), (6, 2, 3), (12, 6, 2)]
     assert predecessors([2, 4], [8]) == [(2, None, 1), (4, None, 1), (8, 4, 2)]

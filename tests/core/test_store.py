@@ -226,3 +226,67 @@ def test_streams(spark, pairs, pixels, tmp_path):
     q = S.fold_batches(S.stream_pairs(spark, str(source)), GENOME, 5, f"{tmp_path}/out", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(S.folded(spark, f"{tmp_path}/out")) == rows(pixels)
+
+
+def test_streams_refuse_positions_outside(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.txt").write_text("a\t5\ta\t7\na\t150\tb\t1\n")
+    for k, outside in enumerate(("drop", "raise")):
+        q = S.fold_batches(S.stream_pairs(spark, str(source)), GENOME, 5, f"{tmp_path}/out{k}", f"{tmp_path}/cp{k}", outside=outside).trigger(availableNow=True).start()
+        if outside == "raise":
+            with pytest.raises(StreamingQueryException):
+                q.awaitTermination()
+        else:
+            q.awaitTermination()
+            assert S.folded(spark, f"{tmp_path}/out{k}").collect()[0]["count"] == 1
+
+
+def test_sources_survive(spark, bins, pixels, tmp_path):
+    at = f"file://{tmp_path}/m"
+    m = C.create(at, bins, pixels, genome=GENOME)
+    want = sorted(tuple(r) for r in m.pixels_frame.collect())
+    again = C.create(at, m.bins_frame, m.pixels_frame, genome=m.genome)
+    assert sorted(tuple(r) for r in again.pixels_frame.collect()) == want
+    with pytest.raises(I.InvalidPairs):  # a refused matrix changes nothing
+        C.create(at, again.bins_frame, again.pixels_frame.union(again.pixels_frame), genome=m.genome)
+    assert sorted(tuple(r) for r in C.ContactMatrix(spark, at).pixels_frame.collect()) == want
+    box = f"file://{tmp_path}/box"
+    C.copy(spark, at, f"{box}::/fine")
+    with pytest.raises(ValueError, match="source"):
+        C.coarsen(spark, f"{box}::/fine", f"{box}::/coarse", 2)
+    C.coarsen(spark, f"{box}::/fine", f"{box}::/coarse", 2, mode="a")
+    assert C.list_matrices(spark, box) == ["/coarse", "/fine"]
+    assert sorted(tuple(r) for r in C.ContactMatrix(spark, f"{box}::/fine").pixels_frame.collect()) == want
+    C.merge(spark, f"{box}::/twice", [f"{box}::/fine", at], mode="a")
+    assert C.ContactMatrix(spark, f"{box}::/twice").info["sum"] == 2 * m.info["sum"] and len(C.list_matrices(spark, box)) == 3
+    C.zoomify(spark, [f"{box}::/fine"], box, [m.binsize * 2])
+    assert C.list_matrices(spark, box) == [f"/resolutions/{m.binsize}", f"/resolutions/{m.binsize * 2}"]
+    assert [p.name for p in tmp_path.iterdir() if "." in p.name] == []
+
+
+def test_cells_keep_their_names(spark, bins, pixels, tmp_path):
+    named = pixels.select(F.lit("01").alias("cell"), "*").unionByName(pixels.limit(3).select(F.lit("1").alias("cell"), "*"))
+    C.create_cells(f"file://{tmp_path}/cells", bins, named, genome=GENOME)
+    assert C.list_cells(spark, f"file://{tmp_path}/cells") == ["01", "1"]
+    assert C.read_cell(spark, f"file://{tmp_path}/cells", "01")[1].count() == pixels.count() and C.read_cell(spark, f"file://{tmp_path}/cells", "1")[1].count() == 3
+
+
+def test_reductions_by_command(spark, bins, pixels, tmp_path):
+    at, out = f"file://{tmp_path}/m", f"file://{tmp_path}/many"
+    C.create(at, bins, pixels.withColumn("score", F.col("count") * 1.5), genome=GENOME)
+    assert cli.main(["coarsen", at, "-k", "2", "-o", f"file://{tmp_path}/c", "--field", "count:dtype=float", "--field", "score:agg=max"], spark) == 0
+    assert C.ContactMatrix(spark, f"file://{tmp_path}/c").pixels().dtypes["count"] == "double"
+    size = C.ContactMatrix(spark, at).binsize
+    assert cli.main(["zoomify", at, "-r", f"{2 * size}", "-o", out, "--base-uri", f"file://{tmp_path}/c", "--balance-args", "--min-nnz 0 --mad-max 0 --max-iters 3 --name w"], spark) == 0
+    assert all("w" in C.ContactMatrix(spark, f"{out}::{g}").bins_frame.columns for g in C.list_matrices(spark, out))
+    assert cli.main(["zoomify", at, "--legacy", "-o", f"{out}2"], spark) == 0 and "/0" in C.list_matrices(spark, f"{out}2")
+    assert cli.main(["merge", f"{out}::/sum", at, at, "-a"], spark) == 0 and "/sum" in C.list_matrices(spark, out)
+
+
+def test_names_of_the_package():
+    import weftmap
+
+    assert all(callable(getattr(weftmap, name)) for name in weftmap.__all__)

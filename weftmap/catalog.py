@@ -15,10 +15,15 @@ from .operators import balance as BL
 from .operators import ingest as I
 from .operators import query as Q
 from .operators import reduce as R
+from .operators.pipe import split
 from .plans.genome import Genome, small_table
+from .plans.regions import natural_sorted, parse_number
+from .plans.resolutions import parse_resolutions, preferred_sequence, quad_tile_depth
 from .sources import collection as C
 from .sources import text as T
+from .sources.files import Files
 from .sources.scratch import checkpointed, scratch_path
+from .streaming import ingest as S
 
 BINSIZE, NCHROMS = 7, 5
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +73,10 @@ def fixed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.binnify(spark, genome(spark, sf_dir), BINSIZE)
 
 
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels(spark, sf_dir).select("bin1_id", "bin2_id", "count")
+
+
 def variable_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Widths 3, 11 and 5 in turn."""
     g = genome(spark, sf_dir)
@@ -345,20 +354,6 @@ def scale_log2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.scaled(pixels(spark, sf_dir).select("bin1_id", "bin2_id", "count"), scale="log2").withColumn("count", F.round("count", 6))
 
 
-@_query(_PRE + 'select a.chrom chrom1, cast(a.start+1 as bigint) start1, cast(a."end" as bigint) end1, cast(bin1_id+1 as bigint) bin1_id, cast(bin2_id+1 as bigint) bin2_id, cast("count" as bigint) as "count" from px join bins a on a.bin_id=bin1_id where bin1_id<30 and bin2_id<30')
-def dump_one_based(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Q.box(pixels(spark, sf_dir).select("bin1_id", "bin2_id", "count"), (0, 30, 0, 30))
-    left = Q.annotate(rows.withColumnRenamed("bin2_id", "_b"), fixed_bins(spark, sf_dir)).withColumnRenamed("_b", "bin2_id")
-    return Q.one_based(left, ids=True, starts=True)
-
-
-@_query(_PRE + 'select (select count(distinct chrom_id) from bins) nchroms, (select count(*) from bins) nbins, count(*) nnz, cast(sum("count") as bigint) as "sum" from px')
-def collection_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = fixed_bins(spark, sf_dir).agg(F.count_distinct("chrom_id").alias("nchroms"), F.count("*").alias("nbins"))
-    totals = pixels(spark, sf_dir).agg(F.count("*").alias("nnz"), F.sum("count").alias("sum"))
-    return bins.crossJoin(totals)  # one row each
-
-
 # --- marginals and balancing
 
 
@@ -380,12 +375,9 @@ md as (select median(ln(r)) md from r where r>0), dv as (select median(abs(ln(r)
 select cast(bin_id as bigint) bin_id from r, md, dv where r<exp(md-5*dv)"""
 )
 def mad_max_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = fixed_bins(spark, sf_dir)
-    marg = bins.join(BL.marginals(Q.off_diagonal(pixels(spark, sf_dir), 2)), "bin_id", "left").select("bin_id", "chrom_id", F.coalesce("total", F.lit(0)).alias("m"))
-    middle = marg.where("m > 0").groupBy("chrom_id").agg(F.median("m").alias("md"))
-    relative = checkpointed(marg.join(middle, "chrom_id", "left").select("bin_id", (F.col("m") / F.col("md")).alias("r")))  # a row a bin, used three times
-    center, spread = B.median_and_mad(relative.where("r > 0").select(F.log("r").alias("l")), "l")
-    return relative.where(F.col("r") < F.exp(F.lit(center - 5 * spread))).select("bin_id")
+    """The bins that the balancing operator masks for their marginals alone, before any iteration."""
+    found = BL.balance(_counts(spark, sf_dir), fixed_bins(spark, sf_dir), min_nnz=0, rescale=False, max_iters=0)
+    return found.table(spark).where(F.isnan("weight")).select("bin_id")
 
 
 def _balance_sql(kind: str, iterations: int) -> str:
@@ -400,13 +392,23 @@ b{i + 1} as materialized (select bin_id, chrom_id, bias/coalesce(nullif(coalesce
     return sql + f" select cast(bin_id as bigint) bin_id, round(bias,6) bias from b{iterations}"
 
 
+_UNFILTERED = {"min_nnz": 0, "mad_max": 0, "rescale": False, "tol": 0.0, "max_iters": 5}
+
+
 def _balanced(name: str, kind: str) -> None:
+    options = {**_UNFILTERED, "cis_only": kind == "cis", "trans_only": kind == "trans"}
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = pixels(spark, sf_dir).select("bin1_id", "bin2_id", "count")
-        return BL.balance_steps(rows, fixed_bins(spark, sf_dir), 5, kind=kind).withColumn("bias", F.round("bias", 6))
+        found = BL.balance(_counts(spark, sf_dir), fixed_bins(spark, sf_dir), **options)
+        return found.table(spark).select("bin_id", F.round("weight", 6).alias("bias"))
 
-    run.__name__ = f"balance_{name}_k5"
+    def table(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found, _ = BL.balance_large(_counts(spark, sf_dir), fixed_bins(spark, sf_dir), **options)
+        return found.select("bin_id", F.round("weight", 6).alias("bias"))
+
+    run.__name__, table.__name__ = f"balance_{name}_k5", f"balance_table_{name}_k5"
     _query(_balance_sql(kind, 5))(run)
+    _query(_balance_sql(kind, 5))(table)
 
 
 for _name, _kind in {"genomewide": "all", "cis": "cis", "trans": "trans"}.items():
@@ -490,17 +492,6 @@ def merge_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merge_pixels(_halves(spark, sf_dir), ["score"], {"score": "mean"}).withColumn("score", F.round("score", 6))
 
 
-@_query(_PRE + 'select cell, cast(least(r1,r2) as bigint) bin1_id, cast(greatest(r1,r2) as bigint) bin2_id, count(*) as "count" from rec group by 1,2,3')
-def scool_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sanitized(spark, sf_dir).groupBy("cell", "bin1_id", "bin2_id").agg(F.count("*").alias("count"))
-
-
-@_query(_PRE + "select cast(bin_id as bigint) bin_id, case chrom when 'chr0' then 'one' when 'chr4' then 'five' else chrom end chrom from bins")
-def rename_chroms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.create_map(*(F.lit(x) for x in ("chr0", "one", "chr4", "five")))
-    return fixed_bins(spark, sf_dir).select("bin_id", F.coalesce(names.getItem(F.col("chrom")), F.col("chrom")).alias("chrom"))
-
-
 @_query(_PRE + """, f as (select bin1_id, bin2_id, "count" from px union all select bin2_id, bin1_id, "count" from px where bin1_id<>bin2_id),
 x as (select min(bin_id) lo, max(bin_id) hi from bins where chrom='chr1' and "end">0 and start<30)
 select a.chrom chrom1, cast(a.start as bigint) start1, cast(a."end" as bigint) end1, b.chrom chrom2, cast(b.start as bigint) start2, cast(b."end" as bigint) end2, cast("count" as bigint) as "count" from f, x join bins a on a.bin_id=bin1_id join bins b on b.bin_id=bin2_id where bin1_id between lo and hi and bin2_id between lo and hi""".replace("from f, x join", "from x, f join"))
@@ -515,9 +506,25 @@ def contact_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- stored and read back
 
 
+_KEPT: dict[tuple[str, str], str] = {}
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> C.ContactMatrix:
-    rows = pixels(spark, sf_dir).select("bin1_id", "bin2_id", "count")
-    return C.create(scratch_path(spark, "matrix"), fixed_bins(spark, sf_dir), rows, genome=genome(spark, sf_dir))
+    """The counts as a stored matrix, written once a session; queries that change one copy it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT or not C.is_matrix(spark, _KEPT[key]):
+        _KEPT[key] = C.create(scratch_path(spark, "matrix"), fixed_bins(spark, sf_dir), _counts(spark, sf_dir), genome=genome(spark, sf_dir)).uri
+    return C.ContactMatrix(spark, _KEPT[key])
+
+
+def _copied(spark: SparkSession, sf_dir: str) -> C.ContactMatrix:
+    path = scratch_path(spark, "copy")
+    C.copy(spark, _stored(spark, sf_dir).uri, path)
+    return C.ContactMatrix(spark, path)
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitized(spark, sf_dir).groupBy("cell", "bin1_id", "bin2_id").agg(F.count("*").alias("count"))
 
 
 @_query(_PRE + f"""select {_PX} from px where bin1_id in (select bin_id from bins where chrom='chr1' and "end">3 and start<25) and bin2_id in (select bin_id from bins where chrom='chr2')""")
@@ -545,7 +552,7 @@ def stored_zoomify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One cell of several written over the same bins."""
     path = scratch_path(spark, "cells")
-    C.create_cells(path, fixed_bins(spark, sf_dir), scool_cells(spark, sf_dir), genome=genome(spark, sf_dir))
+    C.create_cells(path, fixed_bins(spark, sf_dir), _cells(spark, sf_dir), genome=genome(spark, sf_dir))
     return C.read_cell(spark, path, "R")[1]
 
 
@@ -566,6 +573,319 @@ def text_bg2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.pixels_from_bg2(T.read_bg2(spark, path), genome(spark, sf_dir), binsize=BINSIZE)
 
 
+@_query(_PRE + 'select cell, cast(least(r1,r2) as bigint) bin1_id, cast(greatest(r1,r2) as bigint) bin2_id, count(*) as "count" from rec group by 1,2,3')
+def scool_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells of a store, each listed and read by name."""
+    path = scratch_path(spark, "cells")
+    C.create_cells(path, fixed_bins(spark, sf_dir), _cells(spark, sf_dir), genome=genome(spark, sf_dir))
+    parts = [C.read_cell(spark, path, c)[1].select(F.lit(c).alias("cell"), "bin1_id", "bin2_id", "count") for c in C.list_cells(spark, path)]
+    return _united(parts)
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@_query(_PRE + "select cast(bin_id as bigint) bin_id, case chrom when 'chr0' then 'one' when 'chr4' then 'five' else chrom end chrom from bins")
+def rename_chroms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _copied(spark, sf_dir)
+    m.rename_chroms({"chr0": "one", "chr4": "five"})
+    return m.bins()[["bin_id", "chrom"]][:]
+
+
+@_query(_PRE + 'select a.chrom chrom1, cast(a.start+1 as bigint) start1, cast(a."end" as bigint) end1, b.chrom chrom2, cast(b.start+1 as bigint) start2, cast(b."end" as bigint) end2, cast("count" as bigint) as "count" from px join bins a on a.bin_id=bin1_id join bins b on b.bin_id=bin2_id where a.chrom=\'chr0\' and b.chrom=\'chr0\'')
+def dump_one_based(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).dump(region="chr0", join=True, one_based_starts=True)
+
+
+@_query(_PRE + 'select (select count(distinct chrom_id) from bins) nchroms, (select count(*) from bins) nbins, count(*) nnz, cast(sum("count") as bigint) as "sum" from px')
+def collection_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info = _stored(spark, sf_dir).info
+    return small_table(spark, [tuple(info[k] for k in ("nchroms", "nbins", "nnz", "sum"))], "nchroms long, nbins long, nnz long, sum long")
+
+
+@_query(_PRE + "select c chrom_id, 'chr'||c as name, cast(len as bigint) length from g, range(5) a(c)")
+def stored_chroms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).chroms()[:]
+
+
+@_query(_PRE + """select cast(bin_id as bigint) bin_id, cast(chrom_id as int) chrom_id, chrom, cast(start as bigint) start, cast("end" as bigint) as "end" from bins where chrom='chr2' and "end">3 and start<25""")
+def stored_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).bins().fetch("chr2:3-25")
+
+
+@_query(_PRE + """select a.chrom chrom1, cast(a.start as bigint) start1, cast(a."end" as bigint) end1, b.chrom chrom2, cast(b.start as bigint) start2, cast(b."end" as bigint) end2, cast(bin1_id as bigint) bin1_id, cast(bin2_id as bigint) bin2_id, cast("count" as bigint) as "count" from px join bins a on a.bin_id=bin1_id join bins b on b.bin_id=bin2_id where a.chrom='chr1'""")
+def stored_pixels_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).pixels(join=True).fetch("chr1")
+
+
+@_query(_PRE + "select chrom, cast(start as bigint) start from bins where bin_id between 5 and 19")
+def stored_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).bins()[["chrom", "start"]][5:20]
+
+
+@_query("select * from (values ('bins','bin_id','bigint'),('bins','chrom','string'),('bins','chrom_id','int'),('bins','end','bigint'),('bins','start','bigint'),('chroms','chrom_id','int'),('chroms','length','bigint'),('chroms','name','string'),('pixels','bin1_id','bigint'),('pixels','bin2_id','bigint'),('pixels','count','bigint')) t(tab, col, kind)")
+def stored_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _stored(spark, sf_dir)
+    return small_table(spark, [(t, c, k) for t in ("chroms", "bins", "pixels") for c, k in getattr(m, t)().dtypes.items()], "tab string, col string, kind string")
+
+
+@_query(_PRE + "select 'chr'||c as region, cast(c*nb+2 as bigint) as \"offset\", cast(c*nb+2 as bigint) lo, cast(c*nb+5 as bigint) hi from k, range(5) a(c)")
+def stored_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _stored(spark, sf_dir)
+    return small_table(spark, [(c, m.offset((c, 15, 30)), *m.extent((c, 15, 30))) for c in m.chromnames], "region string, offset long, lo long, hi long")
+
+
+@_query(_PRE + 'select cast(bin1_id as bigint) bin1_id, cast(bin2_id as bigint) bin2_id, cast("count" as double) as "count", cast(score as float) score from px')
+def create_with_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns written in other types than they have, and read back."""
+    path = scratch_path(spark, "typed")
+    return C.create(path, fixed_bins(spark, sf_dir), pixels(spark, sf_dir), dtypes={"count": "double", "score": "float"}).pixels_frame
+
+
+@_query(_PRE + f"select {_PX} from px")
+def create_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in no order, in which pixels occur several times, summed while they are written."""
+    parts = [p.select("bin1_id", "bin2_id", "count") for p in _halves(spark, sf_dir)]
+    return C.create(scratch_path(spark, "unordered"), fixed_bins(spark, sf_dir), I.pixels_from_any(spark, parts), duplicates=False).pixels_frame
+
+
+@_query(_PRE + f"select {_PX} from px where bin1_id<>bin2_id")
+def create_over_itself(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix written over the one it is read from."""
+    m = _copied(spark, sf_dir)
+    return C.create(m.uri, m.bins_frame, Q.off_diagonal(m.pixels_frame, 1), genome=m.genome).pixels_frame
+
+
+@_query(_PRE + """select 'at' as k, cast(sum("count") as bigint) s, count(*) n from px union all select 'coarse', (select cast(sum("count") as bigint) from px), (select count(*) from (select distinct (bin1_id//nb)*((nb+1)//2)+(bin1_id%nb)//2, (bin2_id//nb)*((nb+1)//2)+(bin2_id%nb)//2 from px, k))""")
+def append_to_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coarser matrix put beside its source in one container; both are there afterwards."""
+    path = scratch_path(spark, "container")
+    C.copy(spark, _stored(spark, sf_dir).uri, f"{path}::/at")
+    C.coarsen(spark, f"{path}::/at", f"{path}::/coarse", 2, mode="a")
+    return small_table(spark, [(g.strip("/"), i["sum"], i["nnz"]) for g in C.list_matrices(spark, path) for i in [C.ContactMatrix(spark, f"{path}::{g}").info]], "k string, s long, n long")
+
+
+@_query(_PRE + """select cast(bin_id as bigint) bin_id, cast(bin_id%3 as bigint) part, case when bin_id between 10 and 19 then -1.0 else bin_id/2.0 end::double as half from bins""")
+def append_and_put_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns added, rows of one overwritten from a place on, another deleted."""
+    m = _copied(spark, sf_dir)
+    m.append("bins", m.bins_frame.select("bin_id", (F.col("bin_id") % 3).alias("part"), (F.col("bin_id") / 2).alias("half"), F.lit(1).alias("gone")))
+    m.put("bins", small_table(spark, [(i, -1.0) for i in range(10)], "row long, half double"), 10)
+    m.delete_columns("bins", ["gone"])
+    return m.bins_frame.drop("chrom_id", "chrom", "start", "end")
+
+
+@_query(" union all ".join(f"select {r} as resolution, '/resolutions/{r}' as name" for r in (7, 14, 28)))
+def list_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of a container in natural order."""
+    path = scratch_path(spark, "pyramid")
+    groups = C.zoomify(spark, [_stored(spark, sf_dir).uri], path, [14, 28])
+    return small_table(spark, [(C.ContactMatrix(spark, f"{path}::{g}").binsize, g) for g in groups], "resolution int, name string")
+
+
+# --- text and other inputs
+
+
+@_query(_PRE + f"select {_PX} from px")
+def text_coo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples with one-based ids, half of them turned over, written as text and loaded again."""
+    path = scratch_path(spark, "coo")
+    rows = _counts(spark, sf_dir).select((F.col("bin1_id") + 1).alias("a"), (F.col("bin2_id") + 1).alias("b"), "count")
+    odd = F.col("a") % 2 == 1
+    rows.select(F.when(odd, F.col("b")).otherwise(F.col("a")), F.when(odd, F.col("a")).otherwise(F.col("b")), "count").write.options(sep="\t").csv(path)
+    return I.sanitize_pixels(T.read_coo(spark, path), one_based=True)
+
+
+def _sizes_file(spark: SparkSession, sf_dir: str) -> str:
+    path = f"{scratch_path(spark, 'sizes')}.txt"
+    Files(spark).write(path, "".join(f"{n}\t{x}\n" for n, x in [*genome(spark, sf_dir).sizes, ("other_1", 5)]))
+    return path
+
+
+@_query(_PRE + "select cast(row_number() over (order by c desc)-1 as int) chrom_id, 'chr'||c as name, cast(len as bigint) length from g, (values (2),(1)) a(c)")
+def text_chromsizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes read from a file, names that match a pattern only, in the order of the patterns."""
+    return T.read_chromsizes(spark, _sizes_file(spark, sf_dir), [r"2$", r"^chr1$"]).chroms(spark)
+
+
+@_query(_PRE + 'select cast(bin_id as bigint) bin_id, cast(chrom_id as int) chrom_id, chrom, cast(start as bigint) start, cast("end" as bigint) as "end" from bins union all select (select count(*) from bins), 5, \'other_1\', 0, 5')
+def bins_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins given as a sizes file and a width."""
+    return T.parse_bins(spark, f"{_sizes_file(spark, sf_dir)}:{BINSIZE}")[1]
+
+
+@_query(_PRE + _VAR + 'select cast(bin_id as bigint) bin_id, cast(chrom_id as int) chrom_id, chrom, cast(start as bigint) start, cast("end" as bigint) as "end" from vb')
+def bins_argument_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins given as a BED file."""
+    path = scratch_path(spark, "bed")
+    variable_bins(spark, sf_dir).orderBy("bin_id").coalesce(1).select("chrom", "start", "end").write.options(sep="\t").csv(path)
+    return T.parse_bins(spark, path)[1]
+
+
+@_query(_PRE + """select cast(bin_id as bigint) bin_id from bins where exists (select 1 from (values ('chr1',20,40),('chr3',0,7),('chr4',33,34)) b(c,s,e) where c=chrom and "end">s and start<e)""")
+def text_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins that overlap intervals of a BED file with a header."""
+    path = f"{scratch_path(spark, 'blacklist')}.bed"
+    Files(spark).write(path, "track name=bad\n" + "".join(f"{r.chrom}\t{r.start}\t{r.end}\textra\n" for r in blacklist(spark).collect()))
+    return B.overlapping(fixed_bins(spark, sf_dir), T.read_bed(spark, path)).select("bin_id")
+
+
+@_query(_PRE + f"select {_PX} from px")
+def hic_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs as parallel columns of sequence numbers and positions."""
+    upper = I.swap_where(records(spark, sf_dir), (F.col("chrom1") > F.col("chrom2")) | ((F.col("chrom1") == F.col("chrom2")) & (F.col("pos1") > F.col("pos2"))), [("chrom1", "chrom2"), ("pos1", "pos2")])
+    rows = upper.select(F.col("chrom1").alias("chrms1"), F.col("pos1").alias("cuts1"), F.col("chrom2").alias("chrms2"), F.col("pos2").alias("cuts2"))
+    return I.pixels_from_pairs(T.read_hic_arrays(rows, genome(spark, sf_dir)), genome(spark, sf_dir), binsize=BINSIZE, decode_chroms=False)
+
+
+_SEQ = "q as (select p_partkey%5 c, string_agg(substr('GATC', 1+((p_partkey//5)%4+(p_size//17))%4, 1), '' order by p_partkey) s from part group by 1)"
+
+
+@_query(f"""with {_SEQ}, e as (select c, 0 e, len(s) n from q union all select c, i+1, len(s) from q, range(1, 1000000) r(i) where i<=len(s) and substr(s,i,4)='GATC' and i+1<=len(s) union all select c, len(s), len(s) from q),
+f as (select c, e as start, lead(e) over (partition by c order by e) as stop from e)
+select cast(row_number() over (order by c, start, stop)-1 as bigint) bin_id, cast(c as int) chrom_id, 'chr'||c as chrom, cast(start as bigint) start, cast(stop as bigint) as "end" from f where stop is not null""")
+def fasta_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences written as FASTA, read and cut."""
+    letter = F.substring(F.lit("GATC"), (1 + (F.floor(F.col("p_partkey") / 5) % 4 + F.floor(F.col("p_size") / 17)) % 4).cast("int"), F.lit(1))
+    letters = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % NCHROMS).alias("c"), F.struct("p_partkey", letter.alias("x")).alias("x"))
+    record = F.concat(F.lit(">chr"), "c", F.lit(" made up\n"), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["x"]), ""))
+    path = scratch_path(spark, "fasta")
+    letters.groupBy("c").agg(F.collect_list("x").alias("l")).select("c", F.explode("l").alias("x")).groupBy("c").agg(record.alias("value")).select("value").write.text(path)
+    return B.restriction_bins(T.read_fasta(spark, path), genome(spark, sf_dir), "DpnII")
+
+
+# --- checks and filters of records and pixels
+
+
+@_query(_PRE + "select count(*) n, cast(sum(p1+p2) as bigint) s from pairs where c1 not in (3,4) and c2 not in (3,4)")
+def unknown_chroms_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of sequences that the genome does not have are left out."""
+    fewer = Genome(genome(spark, sf_dir).sizes[:3])
+    rows = I.sanitize_records(records(spark, sf_dir), fewer, binsize=BINSIZE, decode_chroms=False, triangle=None)
+    return rows.agg(F.count("*").alias("n"), F.sum(F.col("pos1") + F.col("pos2")).alias("s"))
+
+
+@_query(_PRE + f"select {_PX} from px where bin1_id<>bin2_id")
+def pixels_lower_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of pixels and their mirror images the lower ones are left out."""
+    upper = Q.off_diagonal(_counts(spark, sf_dir), 1)
+    lower = upper.select(F.col("bin2_id").alias("bin1_id"), F.col("bin1_id").alias("bin2_id"), "count")
+    return I.sanitize_pixels(upper.unionByName(lower), triangle="drop")
+
+
+@_query("select true same, false cut, false shorter, false fewer")
+def same_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins, variable = fixed_bins(spark, sf_dir), variable_bins(spark, sf_dir)
+    other = variable.withColumn("end", F.when(F.col("bin_id") == 3, F.col("end") - 1).otherwise(F.col("end")))
+    return small_table(spark, [(R.same_bins(variable, variable_bins(spark, sf_dir)), R.same_bins(bins, variable), R.same_bins(variable, other), R.same_bins(bins, bins.where("chrom_id < 4")))], "same boolean, cut boolean, shorter boolean, fewer boolean")
+
+
+_BY = "l_orderkey, score, cell, r1, r2"
+
+
+@_query(_PRE + f"""select cast(least(r1,r2) as bigint) bin1_id, cast(greatest(r1,r2) as bigint) bin2_id, round(stddev_samp(score),6) std, round(var_samp(score),6) var, round(ln(product(score)),6) logprod, first(score order by {_BY}) first_score, last(score order by {_BY}) last_score from rec group by 1,2""")
+def aggregate_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread, product, first and last of each pixel's records."""
+    rows = sanitized(spark, sf_dir, triangle=None).withColumnsRenamed({"bin1_id": "r1", "bin2_id": "r2"}).withColumns({"bin1_id": F.least("r1", "r2"), "bin2_id": F.greatest("r1", "r2")})
+    rows = rows.withColumns({c: F.col("score") for c in ("std", "var", "logprod", "first_score", "last_score")})
+    how = {"std": "std", "var": "var", "logprod": "prod", "first_score": "first", "last_score": "last"}
+    out = I.aggregate_records(rows, how, count=False, order=_BY.split(", "))
+    return out.withColumns({"std": F.round("std", 6), "var": F.round("var", 6), "logprod": F.round(F.log("logprod"), 6)})
+
+
+@_query(_PRE + 'select cast(sum("count") as bigint) total, count(*) n from px')
+def chunk_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks' sums folded to one."""
+    total, n = split(_counts(spark, sf_dir)).pipe(lambda chunk: (int(chunk["count"].sum()), len(chunk))).reduce(lambda a, b: (a[0] + b[0], a[1] + b[1]), (0, 0))
+    return small_table(spark, [(total, n)], "total long, n long")
+
+
+@_query(_PRE + "select cast(bin1_id as bigint) bin1_id, cast(bin2_id as bigint) bin2_id, cast(max(score)-min(score) as double) score from (select least(r1,r2) bin1_id, greatest(r1,r2) bin2_id, score from rec) group by 1,2")
+def aggregate_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of one's own as aggregate."""
+    return I.aggregate_records(sanitized(spark, sf_dir), {"score": lambda c: F.max(c) - F.min(c)}, count=False)
+
+
+# --- plans and streams
+
+
+@_query("with s(style, start, stop) as (values ('nice',5,100),('nice',2,3000),('nice',1000,50000),('binary',3,50)) select style, start, cast(start*m*b as bigint) as value from s, (values (1),(2),(5)) x(m), (select cast(case when style='nice' then pow(10,i) else pow(2,i) end as bigint) b, style st from (values ('nice'),('binary')) y(style), range(12) z(i)) p where st=style and (style='nice' or m=1) and start*m*b<=stop")
+def preferred_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = [("nice", 5, 100), ("nice", 2, 3000), ("nice", 1000, 50_000), ("binary", 3, 50)]
+    return small_table(spark, [(style, a, v) for style, a, b in cases for v in preferred_sequence(a, b, style)], "style string, start int, value long")
+
+
+@_query("select unnest([1000,2000,5000,10000,25000,50000,100000,250000]) as value")
+def standard_sequence_4dn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return small_table(spark, [(v,) for v in parse_resolutions("4DN", 1000, 300_000)], "value int")
+
+
+@_query(_PRE + "select cast(greatest(0, ceil(log2(ceil(len*5/(4*7.0))))) as int) depth from g")
+def tile_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return small_table(spark, [(quad_tile_depth(genome(spark, sf_dir).total, BINSIZE, tile=4),)], "depth int")
+
+
+@_query(" union all ".join(f"select {d} as up, * from ({_PRE} select cast((bin1_id//nb)*((nb+{k - 1})//{k})+(bin1_id%nb)//{k} as bigint) bin1_id, cast((bin2_id//nb)*((nb+{k - 1})//{k})+(bin2_id%nb)//{k} as bigint) bin2_id, cast(sum(\"count\") as bigint) as \"count\" from px, k group by 1,2)" for d, k in ((0, 1), (1, 2), (2, 4))))
+def legacy_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deepest three levels of the factor-2 pyramid, counted from the base upwards."""
+    levels = R.zoom_levels(fixed_bins(spark, sf_dir), _counts(spark, sf_dir), keep=lambda _, level: (level[0], checkpointed(level[1])), tile=2)
+    deepest = max(levels)
+    return _united([levels[deepest - up][1].select(F.lit(up).alias("up"), "bin1_id", "bin2_id", "count") for up in range(3)])
+
+
+@_query(_PRE + _VAR + "select round(avg(\"end\"-start),6) mean from vb")
+def mean_bin_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return small_table(spark, [(round(B.mean_width(variable_bins(spark, sf_dir)), 6),)], "mean double")
+
+
+@_query(_PRE + """, m as (select sum("count") m from (select unnest([bin1_id,bin2_id]) b, "count" from px where abs(bin1_id-bin2_id)>=2) group by b)
+select round(avg(m),6) scale, round(var_pop(m),4) variance from m where m<>0""")
+def balance_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and variance of the nonzero marginals, as the first iteration sees them."""
+    found = BL.balance(_counts(spark, sf_dir), fixed_bins(spark, sf_dir), **{**_UNFILTERED, "max_iters": 1})
+    return small_table(spark, [(round(found.stats["scale"], 6), round(found.stats["var"], 4))], "scale double, variance double")
+
+
+@_query(_PRE + f"select {_PX} from px")
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that arrive as files, folded batch by batch."""
+    path, sizes = scratch_path(spark, "stream"), genome(spark, sf_dir)
+    named = records(spark, sf_dir).select(*(c for k in "12" for c in (F.concat(F.lit("chr"), F.col(f"chrom{k}")), F.col(f"pos{k}"))))
+    named.repartition(3).write.options(sep="\t").csv(f"{path}/in")
+    S.fold_batches(S.stream_pairs(spark, f"{path}/in"), sizes, BINSIZE, f"{path}/out", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return S.folded(spark, f"{path}/out").select("bin1_id", "bin2_id", "count")
+
+
+@_query("select * from (values ('1,000',1000),('10M',10000000),('1.5kb',1500),('2g',2000000000)) t(said, number)")
+def humanised_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return small_table(spark, [(t, parse_number(t)) for t in ("1,000", "10M", "1.5kb", "2g")], "said string, number long")
+
+
+@_query("select * from (values ('chr2',0),('chr10',1),('chr10_alt',2),('chrX',3)) t(name, place)")
+def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return small_table(spark, [(n, i) for i, n in enumerate(natural_sorted(["chrX", "chr10", "chr2", "chr10_alt"]))], "name string, place int")
+
+
+@_query(_PRE + 'select cast(bin1_id as bigint) "row", cast(bin2_id-10 as bigint) col, cast("count" as bigint) as "value" from px where bin1_id<10 and bin2_id between 10 and 39')
+def box_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box as arrays relative to it."""
+    bounds = (0, 10, 10, 40)
+    r, c, v = Q.to_arrays(Q.box(_counts(spark, sf_dir), bounds), bounds)
+    return small_table(spark, list(zip(r.tolist(), c.tolist(), v.tolist())), "row long, col long, value long")
+
+
+@_query(_PRE + """, s as (select chrom_id, case when bin_id%7<3 then 1 else 0 end v, bin_id from bins), c as (select *, case when v=lag(v) over (order by bin_id) then 0 else 1 end n from s), r as (select *, sum(n) over (order by bin_id) run from c)
+select cast(min(bin_id) as bigint) start, count(*) length, max(v) as "value" from r group by run""")
+def run_lengths_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs over all bins, found range by range."""
+    rows = fixed_bins(spark, sf_dir).select("bin_id", F.when(F.col("bin_id") % 7 < 3, 1).otherwise(0).alias("v"))
+    return B.run_lengths(rows, "v", "bin_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import argparse
 import json
+import shlex
 import sys
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from .sources import collection as C
 from .sources import text as T
 from .sources.files import Files
 
+#: Bins on a side of the tile that the coarsest resolution fits in.
+TILE = 256
 #: What the input's copies are, and what is done with the lower triangle then.
 COPIES = {"unique": "reflect", "duplex": "drop"}
 
@@ -37,6 +41,25 @@ def _fields(specs: Sequence[str], default: str | None) -> tuple[dict, dict, dict
     return columns, how, kinds
 
 
+def _values(specs: Sequence[str] | None) -> dict:
+    """Columns, their types and aggregates, for reductions; ``count`` without specifications."""
+    columns, dtypes, how = [], {}, {}
+    for name, number, dtype, agg in map(T.parse_field, specs or ["count"]):
+        if number:
+            raise ValueError(f"{name}: a stored column has no column number")
+        columns.append(name)
+        if dtype:
+            dtypes[name] = T.sql_type(dtype)
+        if agg:
+            how[name] = agg
+    return {"columns": columns, "dtypes": dtypes, "how": how}
+
+
+def _storage(text: str | None) -> dict[str, str] | None:
+    """``key=value`` pairs, comma-separated."""
+    return dict(pair.split("=", 1) for pair in text.split(",")) if text else None
+
+
 def _write_rows(rows: DataFrame, out: str | None, header: bool, na: str = "", float_format: str = "%g") -> None:
     """To a path as tab-separated files, or to standard output row by row."""
     if out:
@@ -58,7 +81,7 @@ def cload(spark: SparkSession, a) -> None:
     pairs = T.read_pairs(spark, a.input, a.chrom1, a.pos1, a.chrom2, a.pos2, columns, a.comment_char)
     triangle = None if a.no_symmetric_upper else COPIES[a.input_copy_status]
     pixels = I.pixels_from_pairs(pairs, genome, how, binsize=size, bins=bins, one_based=not a.zero_based, triangle=triangle)
-    C.create(a.output, bins, pixels, genome=genome, dtypes=kinds, symmetric=not a.no_symmetric_upper, assembly=a.assembly, metadata=_metadata(spark, a.metadata), mode="a" if a.append else "w", upper=False)
+    C.create(a.output, bins, pixels, genome=genome, dtypes=kinds, symmetric=not a.no_symmetric_upper, assembly=a.assembly, metadata=_metadata(spark, a.metadata), mode="a" if a.append else "w", upper=False, storage=_storage(a.storage_options))
 
 
 def load(spark: SparkSession, a) -> None:
@@ -74,7 +97,7 @@ def load(spark: SparkSession, a) -> None:
         rows = T.read_bg2(spark, a.input, {"count": (7, "double"), **columns}, a.comment_char)
         pixels = I.pixels_from_bg2(rows, genome, binsize=size, bins=bins, one_based=a.one_based, triangle=triangle)
     values = [c for c in pixels.columns if c not in ("bin1_id", "bin2_id")]
-    C.create(a.output, bins, pixels, genome=genome, columns=values, dtypes={"count": "bigint", **kinds}, symmetric=not a.no_symmetric_upper, assembly=a.assembly, metadata=_metadata(spark, a.metadata), mode="a" if a.append else "w", duplicates=False)
+    C.create(a.output, bins, pixels, genome=genome, columns=values, dtypes={"count": "bigint", **kinds}, symmetric=not a.no_symmetric_upper, assembly=a.assembly, metadata=_metadata(spark, a.metadata), mode="a" if a.append else "w", duplicates=False, storage=_storage(a.storage_options))
 
 
 def makebins(spark: SparkSession, a) -> None:
@@ -120,16 +143,31 @@ def balance(spark: SparkSession, a) -> int | None:
 
 def zoomify(spark: SparkSession, a) -> None:
     m = C.ContactMatrix(spark, a.uri)
+    if a.legacy:
+        C.zoom_levels(spark, a.uri, a.out or f"{a.uri.split('::')[0].rstrip('/')}.multi", **_values(a.field))
+        return
     base = m.binsize or 1
-    mean = m.binsize or m.bins_frame.agg(F.avg(F.col("end") - F.col("start"))).first()[0]
-    stop = max(base, int(m.genome.total / 256 * base / mean))
+    mean = 1 if m.binsize else B.mean_width(m.bins_frame)
+    stop = ceil(m.genome.total / mean / TILE)
     out = a.out or f"{a.uri.split('::')[0].rstrip('/')}.multi"
-    groups = C.zoomify(spark, [a.uri], out, parse_resolutions(a.resolutions, base, stop), a.field or ["count"])
-    if a.balance:
+    resolutions = parse_resolutions(a.resolutions, base, stop)
+    if stop < base and any(t.strip()[-1:] in "bBnN" for t in a.resolutions.split(",")):
+        print("the map fits one tile already: name resolutions to coarsen it more", file=sys.stderr)
+    groups = C.zoomify(spark, [a.uri, *a.base_uri], out, [r for r in resolutions if r >= base], **_values(a.field))
+    if a.balance or a.balance_args:
         for g in groups:
-            level = C.ContactMatrix(spark, f"{out}::{g}")
-            if "weight" not in level.bins_frame.columns:
-                level.store_balance(BL.balance(level.pixels_frame, level.bins_frame))
+            uri = f"{out}::{g}"
+            options = parser().parse_args(["balance", *shlex.split(a.balance_args or ""), uri])
+            if options.name not in C.ContactMatrix(spark, uri).bins_frame.columns:
+                balance(spark, options)
+
+
+def merge(spark: SparkSession, a) -> None:
+    C.merge(spark, a.output, a.inputs, mode="a" if a.append else "w", **_values(a.field))
+
+
+def coarsen(spark: SparkSession, a) -> None:
+    C.coarsen(spark, a.uri, a.out, a.factor, mode="a" if a.append else "w", **_values(a.field))
 
 
 def info(spark: SparkSession, a) -> int | None:
@@ -155,7 +193,9 @@ def dump(spark: SparkSession, a) -> None:
 
 def csort(spark: SparkSession, a) -> None:
     genome = T.read_chromsizes(spark, a.chromsizes, all_names=True)
-    pairs = T.read_pairs(spark, a.pairs, a.chrom1, a.pos1, a.chrom2, a.pos2, comment=a.comment_char)
+    pairs = T.read_pairs(spark, a.pairs, a.chrom1, a.pos1, a.chrom2, a.pos2, comment=a.comment_char, sep=a.sep.replace("\\t", "\t"))
+    if not a.zero_based:  # the order is the same; positions are refused by their base
+        pairs = pairs.where((F.col("pos1") > 0) & (F.col("pos2") > 0))
     _write_rows(I.sort_pairs(pairs, genome, by="blocks" if a.index == "pairix" else "positions", flip_only=a.flip_only), a.out, False)
 
 
@@ -197,6 +237,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--assembly")
         c.add_argument("--metadata")
         c.add_argument("-a", "--append", action="store_true")
+        c.add_argument("--storage-options")
 
     c = command("cload", cload, "bins", "input", "output")
     text_input(c)
@@ -213,10 +254,11 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("-o", "--out")
         c.add_argument("-H", "--header", action="store_true")
         c.add_argument("-i", "--rel-ids", type=int, choices=(0, 1))
-    c = command("merge", lambda s, a: C.merge(s, a.output, a.inputs, a.field or ["count"]) and None, "output")
+    c = command("merge", merge, "output")
     c.add_argument("inputs", nargs="+")
     c.add_argument("--field", action="append")
-    c = command("coarsen", lambda s, a: C.coarsen(s, a.uri, a.out, a.factor, a.field or ["count"], mode="a" if a.append else "w") and None, "uri")
+    c.add_argument("-a", "--append", action="store_true")
+    c = command("coarsen", coarsen, "uri")
     c.add_argument("-k", "--factor", type=int, default=2)
     c.add_argument("-o", "--out", required=True)
     c.add_argument("--field", action="append")
@@ -224,7 +266,10 @@ def parser() -> argparse.ArgumentParser:
     c = command("zoomify", zoomify, "uri")
     c.add_argument("-r", "--resolutions", default="B")
     c.add_argument("-o", "--out")
+    c.add_argument("--base-uri", action="append", default=[])
     c.add_argument("--balance", action="store_true")
+    c.add_argument("--balance-args")
+    c.add_argument("--legacy", action="store_true")
     c.add_argument("--field", action="append")
     c = command("balance", balance, "uri")
     for flag in ("--cis-only", "--trans-only", "--force", "--check", "--stdout"):
@@ -248,6 +293,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument(f"-{side[0]}{side[-1]}", f"--{side}", type=int, default=i)
     c.add_argument("-i", "--index", choices=("tabix", "pairix"), default="pairix")
     c.add_argument("--flip-only", action="store_true")
+    c.add_argument("-0", "--zero-based", action="store_true")
+    c.add_argument("--sep", default="\\t")
     c.add_argument("--comment-char", default="#")
     c.add_argument("-o", "--out")
     c = command("show", show, "uri", "range")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.genome import BINS, Genome, small_table
+from ..sources.scratch import checkpointed
 
 #: Recognition sites (IUPAC codes) and the cut's place in them.
 ENZYMES = {
@@ -15,6 +17,8 @@ ENZYMES = {
     "EcoRV": ("GATATC", 3), "HaeIII": ("GGCC", 2), "HindIII": ("AAGCTT", 1), "HinfI": ("GANTC", 1), "KpnI": ("GGTACC", 5), "MboI": ("GATC", 0), "MseI": ("TTAA", 1), "NcoI": ("CCATGG", 1), "NlaIII": ("CATG", 4),
     "NotI": ("GCGGCCGC", 2), "PstI": ("CTGCAG", 5), "Sau3AI": ("GATC", 0), "TaqI": ("TCGA", 1), "XbaI": ("TCTAGA", 1), "XhoI": ("CTCGAG", 1),
 }
+#: Sequences up to this number are told from bin ids by comparisons in the plan, more by a join with the bin table.
+MOST_PIECES = 128
 _CODES = {"N": "[ACGTN]", "R": "[AG]", "Y": "[CT]", "W": "[AT]", "S": "[CG]", "K": "[GT]", "M": "[AC]"}
 
 
@@ -101,6 +105,11 @@ def binsize_of(bins: DataFrame) -> int | None:
     return int(widths[0]) if len(widths) == 1 else None
 
 
+def mean_width(bins: DataFrame) -> float:
+    """The mean width of the bins, as of restriction fragments."""
+    return bins.agg(F.avg(F.col("end") - F.col("start"))).first()[0]
+
+
 def chrom_offsets(bins: DataFrame) -> DataFrame:
     """(chrom_id, chrom, offset, n_bins)."""
     return bins.groupBy("chrom_id", "chrom").agg(F.min("bin_id").alias("offset"), F.count("*").alias("n_bins"))
@@ -124,13 +133,40 @@ def bin1_offsets(pixels: DataFrame, bins: DataFrame) -> DataFrame:
 
 
 def run_lengths(rows: DataFrame, value: str, order: str, within: str | None = None) -> DataFrame:
-    """Runs of equal values in an order: (within,) first position, length, value. Without ``within`` the rows pass through one task."""
-    keys = [within] if within else []
-    marked = rows.select(*keys, F.col(order).alias("_o"), F.col(value).alias("_v"))
-    w = Window.partitionBy(*keys).orderBy("_o") if keys else Window.orderBy("_o")
+    """Runs of equal values in an order: (within,) first position, length, value. Without ``within`` runs are found inside ranges of
+    the order, a task each, and those that meet at the edges, a row or so a range, are joined afterwards."""
+    marked = rows.select(*([within] if within else []), F.col(order).alias("_o"), F.col(value).alias("_v"))
+    if within:
+        return _runs(marked, [within]).drop("_run")
+    dealt = checkpointed(marked.repartitionByRange("_o").withColumn("_p", F.spark_partition_id()))  # a range's number stays its own
+    inside = _runs(dealt, ["_p"]).drop("_run")
+    edge = Window.orderBy("start")
+    last = Window.partitionBy("_p")
+    outer = inside.withColumn("_edge", (F.col("start") == F.min("start").over(last)) | (F.col("start") == F.max("start").over(last)))
+    at_edges = outer.where("_edge").withColumn("_new", (~F.col("value").eqNullSafe(F.lag("value").over(edge)) | F.lag("start").over(edge).isNull() | (F.lag("_p").over(edge) == F.col("_p"))).cast("int"))
+    joined = at_edges.withColumn("_run", F.sum("_new").over(edge)).groupBy("_run").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.min_by("value", "start").alias("value"))
+    return outer.where(~F.col("_edge")).select("start", "length", "value").union(joined.select("start", "length", "value"))
+
+
+def _runs(marked: DataFrame, keys: list[str]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("_o")
     change = (~F.col("_v").eqNullSafe(F.lag("_v").over(w)) | F.lag("_o").over(w).isNull()).cast("int")
     runs = marked.withColumn("_c", change).withColumn("_run", F.sum("_c").over(w))
-    return runs.groupBy(*keys, "_run").agg(F.min("_o").alias("start"), F.count("*").alias("length"), F.first("_v").alias("value")).drop("_run")
+    return runs.groupBy(*keys, "_run").agg(F.min("_o").alias("start"), F.count("*").alias("length"), F.first("_v").alias("value"))
+
+
+def piecewise(column: Column, pieces: Sequence[tuple[int, Column]]) -> Column:
+    """The piece whose first value is the last one not above the column, by halving; pieces are sorted by their first value."""
+    if len(pieces) == 1:
+        return pieces[0][1]
+    half = len(pieces) // 2
+    return F.when(column < pieces[half][0], piecewise(column, pieces[:half])).otherwise(piecewise(column, pieces[half:]))
+
+
+def sequence_starts(bins: DataFrame) -> list[tuple[int, int, int]]:
+    """(first bin, chrom_id, number of bins) of every sequence, in order."""
+    rows = bins.groupBy("chrom_id").agg(F.min("bin_id").alias("first"), F.count("*").alias("n")).collect()  # a row a sequence
+    return sorted((r["first"], r["chrom_id"], r["n"]) for r in rows)
 
 
 def overlapping(bins: DataFrame, intervals: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 The pixels stay distributed. Each iteration is one job that sums every bin's products of value and both biases; the
 biases, a number a bin, live on the driver and are broadcast while there are at most ``BROADCAST_BINS`` of them. Beyond that
-:func:`balance_large` keeps the bias as a table, joined to both sides of the pixels, and the driver sees two numbers an iteration.
+:func:`balance_large` keeps the bias as a table, joined to both sides of the pixels, and the driver sees two numbers a sequence in an iteration.
+In cis all sequences are corrected in the same jobs, each until it has converged itself.
 """
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bins import overlapping
-from ..plans.genome import PIXEL_KEYS
+from ..functions.bins import median_and_mad, overlapping, sequence_starts
+from ..plans.genome import PIXEL_KEYS, small_table
 from ..sources.scratch import checkpointed
-from .query import off_diagonal
+from .query import cis, off_diagonal, trans
 
-#: 8 bytes each: 64 MB at most are broadcast.
-BROADCAST_BINS = 8_000_000
+#: 8 bytes each: 32 MB at most are broadcast, and 64 MB gathered in an iteration.
+BROADCAST_BINS = 4_000_000
 
 
 class ConvergenceWarning(UserWarning):
@@ -89,26 +90,32 @@ def mad_mask(marg: np.ndarray, chrom_of: np.ndarray, mad_max: float) -> np.ndarr
         return relative < cutoff
 
 
-def _iterate(pixels: DataFrame, bias: np.ndarray, own: np.ndarray, weight: np.ndarray | None, tol: float, max_iters: int, rescale: bool) -> tuple[float, float]:
-    """Correct ``bias[own]`` in place until the marginals' variance is below the tolerance; the scale and the last variance."""
-    n, scale, var = len(bias), float("nan"), 0.0
+def _iterate(pixels: DataFrame, bias: np.ndarray, group: np.ndarray, weight: np.ndarray | None, tol: float, max_iters: int, rescale: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Correct ``bias`` in place, every group of bins until its own marginals' variance is below the tolerance; the scales and last variances by group."""
+    n, groups = len(bias), int(group.max(initial=-1)) + 1
+    scale, var, going = np.full(groups, np.nan), np.zeros(groups), np.ones(groups, dtype=bool)
     for _ in range(max_iters):
-        marg = _sums(pixels, n, bias if weight is None else bias * weight)[own]
-        nonzero = marg[marg != 0]
-        if not len(nonzero):
-            bias[own] = np.nan
-            return float("nan"), 0.0
-        scale, var = float(nonzero.mean()), float(nonzero.var())
-        step = marg / scale
-        step[step == 0] = 1
-        bias[own] /= step
-        if var < tol:
+        factor = np.nan_to_num(bias if weight is None else bias * weight)
+        marg = _sums(pixels, n, factor)
+        some = marg != 0
+        count = np.bincount(group[some], minlength=groups)
+        empty = going & (count == 0)
+        bias[empty[group]] = np.nan
+        scale[empty], var[empty] = np.nan, 0.0
+        going &= count > 0
+        mean = np.bincount(group[some], marg[some], groups) / np.maximum(count, 1)
+        spread = np.bincount(group[some], (marg[some] - mean[group[some]]) ** 2, groups) / np.maximum(count, 1)
+        scale[going], var[going] = mean[going], spread[going]
+        own = going[group] & some
+        bias[own] /= marg[own] / mean[group[own]]
+        going &= var >= tol
+        if not going.any():
             break
     else:
         warnings.warn("balancing did not converge", ConvergenceWarning, stacklevel=3)
-    mine = bias[own]
-    mine[mine == 0] = np.nan
-    bias[own] = mine / scale**0.5 if rescale else mine
+    bias[bias == 0] = np.nan
+    if rescale:
+        bias /= np.sqrt(scale)[group]
     return scale, var
 
 
@@ -143,15 +150,9 @@ def balance(
     edges = np.flatnonzero(np.diff(chrom_of)) + 1
     bounds = list(zip([0, *edges], [*edges, n]))
     rows = off_diagonal(pixels, ignore_diags) if ignore_diags else pixels
-
-    def with_chroms(rows: DataFrame) -> DataFrame:
-        for k in ("1", "2"):
-            rows = rows.join(bins.select(F.col("bin_id").alias(f"bin{k}_id"), F.col("chrom_id").alias(f"_c{k}")), f"bin{k}_id")
-        return rows
-
     if cis_only:
-        rows = with_chroms(rows).where(F.col("_c1") == F.col("_c2"))
-    rows = rows.select(*PIXEL_KEYS, F.col(value).cast("double").alias("_v"), *(["_c1"] if cis_only else [])).persist()
+        rows = cis(rows, bins)
+    rows = rows.select(*PIXEL_KEYS, F.col(value).cast("double").alias("_v")).persist()
     try:
         bias = np.ones(n) if x0 is None else np.nan_to_num(np.array(x0, dtype=float), nan=0.0)
         if min_nnz > 0:
@@ -165,75 +166,107 @@ def balance(
         if blacklist is not None:
             bad = [r["bin_id"] for r in overlapping(bins, blacklist).select("bin_id").collect()]
             bias[bad] = 0
+        weight, between, group = None, rows, np.zeros(n, dtype=np.int64)
         if cis_only:
-            scales, variances = [], []
-            for (lo, hi), c in zip(bounds, chrom_of[[lo for lo, _ in bounds]]):
-                s, v = _iterate(rows.where(F.col("_c1") == int(c)), bias, np.arange(lo, hi), None, tol, max_iters, rescale)
-                scales.append(s)
-                variances.append(v)
-            scale, var = np.array(scales), np.array(variances)
-            converged = bool((var < tol).all())
+            group = np.repeat(np.arange(len(bounds)), [hi - lo for lo, hi in bounds])
         elif trans_only:
             share = np.array([hi - lo for lo, hi in bounds]) / n
             weight = np.repeat(1 / (1 - share), [hi - lo for lo, hi in bounds]) if len(bounds) > 1 else np.ones(n)
-            between = with_chroms(rows).where(F.col("_c1") != F.col("_c2")).select(*PIXEL_KEYS, "_v").persist()
-            scale, var = _iterate(between, bias, np.arange(n), weight, tol, max_iters, rescale)
-            between.unpersist()
-            converged = bool(var < tol)
-        else:
-            scale, var = _iterate(rows, bias, np.arange(n), None, tol, max_iters, rescale)
-            converged = bool(var < tol)
+            between = trans(rows, bins).select(*PIXEL_KEYS, "_v")
+        scale, var = _iterate(between, bias, group, weight, tol, max_iters, rescale)
+        converged = bool((var < tol).all())
+        if not cis_only:
+            scale, var = (float(scale[0]), float(var[0])) if n else (float("nan"), 0.0)
     finally:
         rows.unpersist()
     stats = {"tol": tol, "min_nnz": min_nnz, "min_count": min_count, "mad_max": mad_max, "cis_only": cis_only, "ignore_diags": ignore_diags, "scale": scale, "converged": converged, "var": var, "divisive_weights": False}
     return Balance(bias, stats)
 
 
-def balance_steps(pixels: DataFrame, bins: DataFrame, iterations: int, *, kind: str = "all", ignore_diags: int = 2, value: str = "count") -> DataFrame:
-    """(bin_id, bias) after a number of unfiltered iterations, wholly as joins and aggregates: the form for bins too many to broadcast.
+def balance_large(
+    pixels: DataFrame,
+    bins: DataFrame,
+    store: Callable[[DataFrame], DataFrame] = checkpointed,
+    *,
+    cis_only: bool = False,
+    trans_only: bool = False,
+    ignore_diags: int = 2,
+    mad_max: float = 5,
+    min_nnz: int = 10,
+    min_count: float = 0,
+    blacklist: DataFrame | None = None,
+    rescale: bool = True,
+    x0: DataFrame | None = None,
+    tol: float = 1e-5,
+    max_iters: int = 200,
+    value: str = "count",
+) -> tuple[DataFrame, dict]:
+    """:func:`balance` wholly as joins and aggregates, for bins too many to broadcast: (bin_id, weight), and how it came about.
 
-    ``kind``: ``all``, ``cis`` (each sequence apart) or ``trans``. The pixels, and each iteration's marginals and biases, are
-    checkpointed, so that plans do not grow.
+    ``store(df)`` saves a table and returns it read back, to cut the lineage; ``x0`` is a table (bin_id, weight). The driver sees a row a sequence.
     """
-    spread = bins.select("bin_id", "chrom_id")
-    rows = pixels.where(F.abs(F.col("bin1_id") - F.col("bin2_id")) >= ignore_diags).select(*PIXEL_KEYS, F.col(value).alias("v"))
-    side = {k: spread.select(F.col("bin_id").alias(f"bin{k}_id"), F.col("chrom_id").alias(f"c{k}")) for k in "12"}
-    rows = rows.join(side["1"], "bin1_id").join(side["2"], "bin2_id")
-    if kind != "all":
-        rows = rows.where((F.col("c1") == F.col("c2")) if kind == "cis" else (F.col("c1") != F.col("c2")))
-    rows = checkpointed(rows.select(*PIXEL_KEYS, "v"))
-    group = ["chrom_id"] if kind == "cis" else []
-    if kind == "trans":
-        total = bins.count()
+    if cis_only and trans_only:
+        raise ValueError("cis_only and trans_only exclude each other")
+    rows = off_diagonal(pixels, ignore_diags) if ignore_diags else pixels
+    if cis_only:
+        rows = cis(rows, bins)
+    rows = store(rows.select(*PIXEL_KEYS, F.col(value).cast("double").alias("v")))
+    starts = sequence_starts(bins)
+    total = sum(n for *_, n in starts)
+    share = F.lit(1.0)
+    if trans_only and len(starts) > 1:
         shares = bins.groupBy("chrom_id").agg((1 / (1 - F.count("*") / F.lit(total))).alias("cw"))
-        now = spread.join(shares, "chrom_id").withColumn("bias", F.lit(1.0))
+        spread, share = bins.join(shares, "chrom_id"), F.col("cw")
     else:
-        now = spread.withColumn("bias", F.lit(1.0)).withColumn("cw", F.lit(1.0))
-    for _ in range(iterations):
-        w = now.select("bin_id", (F.col("bias") * F.col("cw")).alias("w"))
-        product = rows.join(w.select(F.col("bin_id").alias("bin1_id"), F.col("w").alias("w1")), "bin1_id").join(w.select(F.col("bin_id").alias("bin2_id"), F.col("w").alias("w2")), "bin2_id")
-        ends = product.select(F.explode(F.array(*PIXEL_KEYS)).alias("bin_id"), (F.col("v") * F.col("w1") * F.col("w2")).alias("m"))
-        marg = checkpointed(now.join(ends.groupBy("bin_id").agg(F.sum("m").alias("m")), "bin_id", "left").withColumn("m", F.coalesce("m", F.lit(0.0))))
-        mean = marg.where("m <> 0").groupBy(*group).agg(F.avg("m").alias("mu"))
-        joined = marg.join(mean, group) if group else marg.crossJoin(mean)  # one row
-        now = checkpointed(joined.select("bin_id", "chrom_id", (F.col("bias") / F.coalesce(F.nullif(F.col("m") / F.col("mu"), F.lit(0.0)), F.lit(1.0))).alias("bias"), "cw"))
-    return now.select("bin_id", "bias")
-
-
-def balance_large(pixels: DataFrame, bins: DataFrame, store, *, ignore_diags: int = 2, tol: float = 1e-5, max_iters: int = 200, value: str = "count") -> tuple[DataFrame, dict]:
-    """Genome-wide balancing with the bias as a table. ``store(df)`` writes a table and returns it read back, to cut the lineage."""
-    rows = store(off_diagonal(pixels, ignore_diags).select(*PIXEL_KEYS, F.col(value).cast("double").alias("v")))
-    now, scale, var = store(bins.select("bin_id", F.lit(1.0).alias("bias"))), float("nan"), 0.0
+        spread = bins
+    now = spread.select("bin_id", "chrom_id", (F.col("chrom_id") if cis_only else F.lit(0)).alias("g"), share.alias("cw"), F.lit(1.0).alias("bias"))
+    if x0 is not None:
+        given = x0.select("bin_id", F.coalesce(F.nanvl("weight", F.lit(0.0)), F.lit(0.0)).alias("_x"))
+        now = now.join(given, "bin_id", "left").withColumn("bias", F.coalesce("_x", F.lit(0.0))).drop("_x")
+    now = store(_masked(now, rows, bins, mad_max, min_nnz, min_count, blacklist))
+    between = store(trans(rows, bins).select(*PIXEL_KEYS, "v")) if trans_only else rows
+    scale: dict[int, float] = {}
+    var: dict[int, float] = {}
+    going = {c for _, c, _ in starts} if cis_only else {0} if starts else set()
     for _ in range(max_iters):
-        product = rows.join(now.select(F.col("bin_id").alias("bin1_id"), F.col("bias").alias("w1")), "bin1_id").join(now.select(F.col("bin_id").alias("bin2_id"), F.col("bias").alias("w2")), "bin2_id")
+        w = now.select("bin_id", (F.col("bias") * F.col("cw")).alias("w"))
+        product = between.join(w.select(F.col("bin_id").alias("bin1_id"), F.col("w").alias("w1")), "bin1_id").join(w.select(F.col("bin_id").alias("bin2_id"), F.col("w").alias("w2")), "bin2_id")
         ends = product.select(F.explode(F.array(*PIXEL_KEYS)).alias("bin_id"), (F.col("v") * F.col("w1") * F.col("w2")).alias("m"))
-        marg = store(ends.groupBy("bin_id").agg(F.sum("m").alias("m")))
-        scale, var = marg.where("m <> 0").agg(F.avg("m"), F.var_pop("m")).first()
-        if scale is None:
-            return now.withColumn("bias", F.lit(float("nan"))), {"scale": float("nan"), "var": 0.0, "converged": True}
-        step = F.when(F.coalesce("m", F.lit(0.0)) == 0, 1.0).otherwise(F.col("m") / scale)
-        now = store(now.join(marg, "bin_id", "left").select("bin_id", (F.col("bias") / step).alias("bias")))
-        if var < tol:
+        marg = store(now.join(ends.groupBy("bin_id").agg(F.sum("m").alias("m")), "bin_id", "left").withColumn("m", F.coalesce("m", F.lit(0.0))))
+        found = {r["g"]: r for r in marg.where("m <> 0").groupBy("g").agg(F.avg("m").alias("mu"), F.var_pop("m").alias("var")).collect()}  # a row a sequence
+        for g in going:
+            scale[g], var[g] = (found[g]["mu"], found[g]["var"]) if g in found else (float("nan"), 0.0)
+        means = small_table(bins.sparkSession, [(g, scale[g]) for g in sorted(going)], "g int, _mu double")
+        step = F.when(F.col("_mu").isNull() | (F.col("m") == 0) & ~F.isnan("_mu"), 1.0).when(F.isnan("_mu"), F.lit(float("inf"))).otherwise(F.col("m") / F.col("_mu"))
+        now = store(marg.join(means, "g", "left").select("bin_id", "chrom_id", "g", "cw", (F.col("bias") / step).alias("bias")))
+        going = {g for g in going if var[g] >= tol}
+        if not going:
             break
-    weights = now.select("bin_id", F.when(F.col("bias") == 0, float("nan")).otherwise(F.col("bias") / scale**0.5).alias("weight"))
-    return weights, {"scale": scale, "var": var, "converged": var < tol}
+    else:
+        warnings.warn("balancing did not converge", ConvergenceWarning, stacklevel=2)
+    scales = small_table(bins.sparkSession, [(g, scale[g] ** 0.5 if rescale else 1.0) for g in sorted(scale)], "g int, _s double")
+    weight = F.when(F.col("bias") == 0, float("nan")).otherwise(F.col("bias") / F.coalesce("_s", F.lit(1.0)))
+    ordered = [scale[g] for g in sorted(scale)], [var[g] for g in sorted(var)]
+    stats = {"scale": ordered[0] if cis_only else next(iter(ordered[0]), float("nan")), "var": ordered[1] if cis_only else next(iter(ordered[1]), 0.0), "converged": all(v < tol for v in var.values())}
+    return now.join(scales, "g", "left").select("bin_id", weight.alias("weight")), stats
+
+
+def _masked(now: DataFrame, rows: DataFrame, bins: DataFrame, mad_max: float, min_nnz: int, min_count: float, blacklist: DataFrame | None) -> DataFrame:
+    """``now`` with the bias of bins that a filter refuses set to 0."""
+    bad = F.lit(False)
+    if min_nnz > 0 or min_count or mad_max > 0:
+        sums = marginals(rows, "v").select("bin_id", "total", "nnz")
+        now = now.join(sums, "bin_id", "left").withColumns({"total": F.coalesce("total", F.lit(0.0)), "nnz": F.coalesce("nnz", F.lit(0))})
+        if min_nnz > 0:
+            bad = bad | (F.col("nnz") < min_nnz)
+        if min_count:
+            bad = bad | (F.col("total") < min_count)
+        if mad_max > 0:
+            middles = now.where("total > 0").groupBy("chrom_id").agg(F.median("total").alias("_md"))
+            now = checkpointed(now.join(middles, "chrom_id", "left").withColumn("_r", F.col("total") / F.col("_md")).drop("_md"))  # a row a bin, used twice more
+            center, spread = median_and_mad(now.where("_r > 0").select(F.log("_r").alias("l")), "l")
+            bad = bad | (F.col("_r") < float(np.exp(center - mad_max * spread)))
+    if blacklist is not None:
+        struck = overlapping(bins, blacklist).select("bin_id", F.lit(True).alias("_struck"))
+        now, bad = now.join(struck, "bin_id", "left"), bad | F.col("_struck").isNotNull()
+    return now.select("bin_id", "chrom_id", "g", "cw", F.when(F.coalesce(bad, F.lit(False)), 0.0).otherwise(F.col("bias")).alias("bias"))

@@ -64,19 +64,13 @@ def _no_rows(rows: DataFrame, bad: Column, what: str) -> None:
         raise InvalidPairs(f"{what}, for example {[r.asDict() for r in found]}")
 
 
-def _checked(rows: DataFrame, bad: Column, what: str, eager: bool) -> DataFrame:
-    """Refuse bad rows now, or when they are computed."""
+def _checked(rows: DataFrame, bad: Column, what: str, eager: bool, column: str) -> DataFrame:
+    """Refuse bad rows now, or when they are computed: with ``column``, which the results must depend on, or the check would be pruned."""
     if eager:
         _no_rows(rows, bad, what)
         return rows
-    first = rows.columns[0]
-    return rows.withColumn(first, F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(what))).otherwise(F.col(first)))
-
-
-def assign_fixed(rows: DataFrame, genome: Genome, binsize: int, chrom_id: str, pos: str, out: str) -> DataFrame:
-    """``out``: the fixed bin of a position; arithmetic on the sequence's first bin, a table of the genome's size."""
-    first = small_table(rows.sparkSession, list(enumerate(genome.fixed_offsets(binsize)[:-1])), "_ci int, _first long")
-    return rows.join(first, rows[chrom_id] == first["_ci"]).withColumn(out, F.col("_first") + F.floor(F.col(pos) / binsize)).drop("_ci", "_first")
+    kind = rows.schema[column].dataType
+    return rows.withColumn(column, F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(what)).cast(kind)).otherwise(F.col(column)))
 
 
 def assign_variable(rows: DataFrame, bins: DataFrame, chrom_id: str, pos: str, out: str, width: int | None = None) -> DataFrame:
@@ -122,32 +116,33 @@ def sanitize_records(
     s1, s2 = suffixes
     c1, c2, a1, a2 = chrom + s1, chrom + s2, anchor + s1, anchor + s2
     rows = records
-    known = small_table(spark, [(n, i, x) for i, (n, x) in enumerate(genome.sizes)], "_name string, _id int, _len long")
+    first = genome.fixed_offsets(binsize) if binsize else [0] * len(genome.sizes)
+    known = small_table(spark, [(n, i, x, first[i]) for i, (n, x) in enumerate(genome.sizes)], "_name string, _id int, _len long, _first long")
     for c, side in ((c1, "1"), (c2, "2")):
-        k = known.select(F.col("_name").alias(f"_name{side}"), F.col("_id").alias(f"_id{side}"), F.col("_len").alias(f"_len{side}"))
+        k = known.select(F.col("_name").alias(f"_name{side}"), F.col("_id").alias(f"_id{side}"), F.col("_len").alias(f"_len{side}"), F.col("_first").alias(f"_first{side}"))
         rows = rows.join(k, rows[c] == (k[f"_name{side}"] if decode_chroms else k[f"_id{side}"])).drop(f"_name{side}")
     if one_based:
         rows = rows.withColumns({a: F.col(a) - 1 for a in (a1, a2)})
     if validate:
         for a, side in ((a1, "1"), (a2, "2")):
             over = F.col(a) >= F.col(f"_len{side}") if strict else F.col(a) > F.col(f"_len{side}")
-            rows = _checked(rows, (F.col(a) < 0) | over, f"{a} lies outside its sequence", eager)
+            rows = _checked(rows, (F.col(a) < 0) | over, f"{a} lies outside its sequence", eager, a)
     lower = (F.col("_id1") > F.col("_id2")) | ((F.col("_id1") == F.col("_id2")) & (F.col(a1) > F.col(a2)))
     if triangle == "reflect":
-        both = [(c1, c2), (a1, a2), ("_id1", "_id2"), ("_len1", "_len2"), *((f + s1, f + s2) for f in sided)]
+        both = [(c1, c2), (a1, a2), ("_id1", "_id2"), ("_len1", "_len2"), ("_first1", "_first2"), *((f + s1, f + s2) for f in sided)]
         rows = swap_where(rows, lower, both)
     elif triangle == "drop":
         rows = rows.where(~lower)
     elif triangle == "raise":
-        rows = _checked(rows, lower, "a record lies in the lower triangle", eager)
+        rows = _checked(rows, lower, "a record lies in the lower triangle", eager, a1)
     elif triangle is not None:
         raise ValueError(f"unknown triangle action: {triangle}")
     for a, side in ((a1, "1"), (a2, "2")):
         if binsize:
-            rows = assign_fixed(rows, genome, binsize, f"_id{side}", a, f"bin{side}_id")
+            rows = rows.withColumn(f"bin{side}_id", F.col(f"_first{side}") + F.expr(f"cast(`{a}` as bigint) div {binsize}"))
         else:
             rows = assign_variable(rows, bins, f"_id{side}", a, f"bin{side}_id")
-    return rows.drop("_id1", "_id2", "_len1", "_len2")
+    return rows.drop("_id1", "_id2", "_len1", "_len2", "_first1", "_first2")
 
 
 def sanitize_pixels(pixels: DataFrame, *, one_based: bool = False, triangle: str | None = "reflect", sided: Sequence[str] = (), suffixes: tuple[str, str] = ("1", "2"), eager: bool = False) -> DataFrame:
@@ -160,7 +155,7 @@ def sanitize_pixels(pixels: DataFrame, *, one_based: bool = False, triangle: str
     if triangle == "drop":
         return rows.where(~lower)
     if triangle == "raise":
-        return _checked(rows, lower, "a pixel lies in the lower triangle", eager)
+        return _checked(rows, lower, "a pixel lies in the lower triangle", eager, b1)
     if triangle is not None:
         raise ValueError(f"unknown triangle action: {triangle}")
     return rows

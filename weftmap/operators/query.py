@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bins import MOST_PIECES, piecewise, sequence_starts
 from ..plans.genome import PIXEL_KEYS
 
 Box = tuple[int, int, int, int]
@@ -65,7 +66,12 @@ def trans(pixels: DataFrame, bins: DataFrame) -> DataFrame:
 
 
 def _with_chroms(pixels: DataFrame, bins: DataFrame) -> DataFrame:
-    for k in ("1", "2"):
+    """Pixels with the sequences' numbers ``_c1`` and ``_c2``: comparisons with their first bins, or joins if there are many."""
+    starts = sequence_starts(bins)
+    if 0 < len(starts) <= MOST_PIECES:
+        pieces = [(first, F.lit(c)) for first, c, _ in starts]
+        return pixels.withColumns({f"_c{k}": piecewise(F.col(f"bin{k}_id"), pieces) for k in "12"})
+    for k in "12":
         pixels = pixels.join(bins.select(F.col("bin_id").alias(f"_b{k}"), F.col("chrom_id").alias(f"_c{k}")), F.col(f"bin{k}_id") == F.col(f"_b{k}")).drop(f"_b{k}")
     return pixels
 

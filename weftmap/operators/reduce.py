@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bins import binsize_of, chromsizes_of
+from ..functions.bins import MOST_PIECES, binsize_of, chromsizes_of, piecewise, sequence_starts
 from ..plans.genome import PIXEL_KEYS, small_table
 from ..plans.resolutions import predecessors, quad_tile_depth
 from .ingest import aggregate
@@ -51,15 +51,27 @@ def merge_pixels(tables: Sequence[DataFrame], columns: Sequence[str] = ("count",
     return every.groupBy(*PIXEL_KEYS).agg(*(aggregate(how.get(c, "sum"), c, types[c]).alias(c) for c in columns))
 
 
+def _coarse_pieces(bins: DataFrame, factor: int) -> list[tuple[int, int]]:
+    """(first bin, first coarser bin) of every sequence: each one's bins go in groups of ``factor``."""
+    first, out = 0, []
+    for old, _, n in sequence_starts(bins):
+        out.append((old, first))
+        first += -(-n // factor)
+    return out
+
+
+def _coarser(column: str, pieces: list[tuple[int, int]], factor: int) -> Column:
+    return piecewise(F.col(column), [(old, F.expr(f"{new}L + (`{column}` - {old}L) div {factor}")) for old, new in pieces])
+
+
 def coarse_id(bins: DataFrame, factor: int) -> DataFrame:
     """(bin_id, new_id): each sequence's bins in groups of ``factor``."""
-    per = bins.groupBy("chrom_id").agg(F.min("bin_id").alias("_first"), F.count("*").alias("_n")).collect()  # a row a sequence
-    first, rows = 0, []
-    for r in sorted(per, key=lambda r: r["_first"]):
-        rows.append((r["chrom_id"], r["_first"], first))
-        first += -(-r["_n"] // factor)
-    offsets = small_table(bins.sparkSession, rows, "chrom_id int, _old long, _new long")
-    return bins.join(offsets, "chrom_id").select("bin_id", (F.col("_new") + F.floor((F.col("bin_id") - F.col("_old")) / factor)).alias("new_id"))
+    pieces = _coarse_pieces(bins, factor)
+    if 0 < len(pieces) <= MOST_PIECES:
+        return bins.select("bin_id", _coarser("bin_id", pieces, factor).alias("new_id"))
+    chroms = [c for _, c, _ in sequence_starts(bins)]
+    offsets = small_table(bins.sparkSession, [(c, *p) for c, p in zip(chroms, pieces)], "chrom_id int, _old long, _new long")
+    return bins.join(offsets, "chrom_id").select("bin_id", (F.col("_new") + F.expr(f"(bin_id - _old) div {factor}")).alias("new_id"))
 
 
 def coarsen_bins(bins: DataFrame, factor: int) -> DataFrame:
@@ -71,14 +83,16 @@ def coarsen_bins(bins: DataFrame, factor: int) -> DataFrame:
 def coarsen_pixels(pixels: DataFrame, bins: DataFrame, factor: int, columns: Sequence[str] = ("count",), how: Mapping[str, object] | None = None) -> DataFrame:
     """Pixels of the coarser bins, values aggregated (summed by default).
 
-    With fixed bins in one contiguous enumeration the new ids follow from the old by a join with the bin table on each
-    side; the bin table is small beside the pixels, and Spark checks its size before broadcasting it.
+    The new ids follow from the old by arithmetic on the sequences' first bins, or by joins with the bin table if there are many sequences.
     """
     how = dict(how or {})
-    ids = coarse_id(bins, factor)
-    rows = pixels.select(*PIXEL_KEYS, *columns)
-    for k in PIXEL_KEYS:
-        rows = rows.join(ids.select(F.col("bin_id").alias(k), F.col("new_id").alias(f"_{k}")), k)
+    pieces, rows = _coarse_pieces(bins, factor), pixels.select(*PIXEL_KEYS, *columns)
+    if 0 < len(pieces) <= MOST_PIECES:
+        rows = rows.withColumns({f"_{k}": _coarser(k, pieces, factor) for k in PIXEL_KEYS})
+    else:
+        ids = coarse_id(bins, factor)
+        for k in PIXEL_KEYS:
+            rows = rows.join(ids.select(F.col("bin_id").alias(k), F.col("new_id").alias(f"_{k}")), k)
     types = {f.name: f.dataType for f in rows.schema}
     keys = [F.col(f"_{k}").alias(k) for k in PIXEL_KEYS]
     return rows.groupBy(*keys).agg(*(aggregate(how.get(c, "sum"), c, types[c]).alias(c) for c in columns))
@@ -102,14 +116,14 @@ def zoomify(bases: Mapping[int, Level], targets: Sequence[int], columns: Sequenc
     return made
 
 
-def zoom_levels(bins: DataFrame, pixels: DataFrame, columns: Sequence[str] = ("count",), keep=lambda level, tables: tables) -> dict[int, Level]:
-    """The factor-2 pyramid: the base is the deepest level, level 0 fits one tile."""
+def zoom_levels(bins: DataFrame, pixels: DataFrame, columns: Sequence[str] = ("count",), keep=lambda level, tables: tables, tile: int = 256, how: Mapping[str, object] | None = None) -> dict[int, Level]:
+    """The factor-2 pyramid: the base is the deepest level, level 0 fits one tile of ``tile`` bins."""
     size = binsize_of(bins)
     if size is None:
         raise ValueError("the pyramid needs fixed bins")
-    depth = quad_tile_depth(chromsizes_of(bins).total, size)
+    depth = quad_tile_depth(chromsizes_of(bins).total, size, tile)
     out = {depth: keep(depth, (bins, pixels))}
     for level in range(depth - 1, -1, -1):
         bins, pixels = out[level + 1]
-        out[level] = keep(level, (coarsen_bins(bins, 2), coarsen_pixels(pixels, bins, 2, columns)))
+        out[level] = keep(level, (coarsen_bins(bins, 2), coarsen_pixels(pixels, bins, 2, columns, how)))
     return out

@@ -14,32 +14,29 @@ def partition(start: int, stop: int, step: int) -> list[tuple[int, int]]:
 
 
 def preferred_sequence(start: int, stop: int, style: str = "nice") -> list[int]:
-    """Resolutions from ``start`` to at most ``stop``: doubling (``binary``), or 1-2-5-10 steps (``nice``)."""
-    if start > stop:
-        return []
-    if style == "binary":
-        factors = iter(lambda: 2, None)
-    elif style == "nice":
-        lead = str(start).rstrip("0")
-        cycle = {"1": [2.0, 2.5, 2.0], "2": [2.5, 2.0, 2.0], "5": [2.0, 2.0, 2.5]}.get(lead, [2.0, 2.5, 2.0])
-        factors = (cycle[i % 3] for i in range(10**6))
-    else:
+    """Resolutions from ``start`` to at most ``stop``: doubling (``binary``), or times 2, 5 and 10, then the same from ten times on (``nice``);
+    a start with the leading digit 5 goes on by 10 and 25, ones with 2 by 4 and 10: 5, 10, 25, 50 and 2, 4, 10, 20."""
+    if style not in ("binary", "nice"):
         raise ValueError(f"unknown style: {style}")
-    out = [start]
-    for f in factors:
-        following = int(out[-1] * f)
-        if following > stop:
-            return out
-        out.append(following)
+    out, base = [], start
+    while base <= stop:
+        multiples = (1,) if style == "binary" else (1, 2, 5)
+        out += [base * m for m in multiples if base * m <= stop]
+        base *= 2 if style == "binary" else 10
     return out
 
 
+def standard_sequence(stop: int) -> list[int]:
+    """The usual resolutions of public contact maps: 1000, 2000, and from 5000 to ``stop``."""
+    return [1000, 2000, *preferred_sequence(5000, stop)]
+
+
 def parse_resolutions(spec: str, base: int, stop: int) -> list[int]:
     """``1000,2000``, ``B``/``N`` (sequences from the base), ``1000N``/``4000B`` (sequences from there), or ``4DN``."""
     out: list[int] = []
     for token in (t.strip() for t in spec.split(",") if t.strip()):
         if token.upper() == "4DN":
-            out += [1000, 2000, 5000, 10000, 25000, 50000, 100000, 250000, 500000, 1000000, 2500000, 5000000, 10000000]
+            out += standard_sequence(stop)
         elif token[-1] in "bBnN":
             first = int(token[:-1]) if token[:-1] else base
             out += preferred_sequence(first, stop, "binary" if token[-1] in "bB" else "nice")

@@ -79,46 +79,93 @@ def create(
     storage: Mapping[str, str] | None = None,
 ) -> ContactMatrix:
     """Write a matrix. ``columns`` (by default all values) are stored, in ``dtypes`` where given. With mode ``w`` the whole path is replaced, with
-    ``a`` only the group. Pixels are checked first: ids in bounds, above the diagonal if ``symmetric``, none twice."""
+    ``a`` only the group. Pixels are checked: ids in bounds, above the diagonal if ``symmetric``, none twice.
+
+    Everything is written beside the target first, and checked there; what the target held is replaced only then. So a matrix may be written over
+    itself, and a refused one changes nothing. A path that holds the sources of the new matrix in another group is not replaced, but refused.
+    """
     spark, options = bins.sparkSession, _options(storage)
     if missing := {"bin_id", "chrom_id", "chrom", "start", "end"} - set(bins.columns):
         raise ValueError(f"bin table without {sorted(missing)}")
     columns = [c for c in pixels.columns if c not in PIXEL_KEYS] if columns is None else list(columns)
     if missing := [c for c in (*PIXEL_KEYS, *columns) if c not in pixels.columns]:
         raise ValueError(f"pixels without {missing}")
+    if mode not in ("w", "a"):
+        raise ValueError(f"unknown mode: {mode}")
     genome = genome or B.chromsizes_of(bins)
     kinds = {c: (dtypes or {}).get(c) for c in columns}
     stored = pixels.select(*(F.col(k).cast("long").alias(k) for k in PIXEL_KEYS), *(F.col(c).cast(t).alias(c) if t else F.col(c) for c, t in kinds.items()))
-    if bounds or duplicates or (symmetric and upper):
-        validate_pixels(stored, bins.count(), bounds=bounds, upper=symmetric and upper, duplicates=duplicates)
     if not duplicates:
         stored = stored.groupBy(*PIXEL_KEYS).agg(*(F.sum(c).alias(c) for c in columns))
-    folder, files = _folder(uri), Files(spark)
-    if mode == "w" and files.exists(parse_uri(uri)[0]) and folder != parse_uri(uri)[0].rstrip("/"):
-        files.delete(parse_uri(uri)[0])
-    for name in ("info.json", "chroms", "bins", "pixels"):
-        files.delete(f"{folder}/{name}")
-    _write(genome.chroms(spark).coalesce(1), f"{folder}/chroms", options)
-    _write(bins.repartitionByRange("bin_id").sortWithinPartitions("bin_id"), f"{folder}/bins", options)
-    _write(_sorted_pixels(stored), f"{folder}/pixels", options)
-    saved = spark.read.parquet(f"{folder}/bins"), spark.read.parquet(f"{folder}/pixels")
-    files.write(f"{folder}/info.json", json.dumps(_info(genome, *saved, symmetric, assembly, metadata), indent=1))
+    files = Files(spark)
+    _spare_sources(files, uri, mode, bins, pixels)
+    passing = f"{parse_uri(uri)[0].rstrip('/')}.{uuid.uuid4().hex}"
+    try:
+        # The input is computed once; checks and the sampling of ranges read what was written.
+        stored.write.options(**options).parquet(f"{passing}/raw")
+        raw = spark.read.parquet(f"{passing}/raw")
+        _write(bins.repartitionByRange("bin_id").sortWithinPartitions("bin_id"), f"{passing}/bins", options)
+        saved = spark.read.parquet(f"{passing}/bins")
+        if bounds or duplicates or (symmetric and upper):
+            validate_pixels(raw, saved.count(), bounds=bounds, upper=symmetric and upper, duplicates=duplicates)
+        _write(genome.chroms(spark).coalesce(1), f"{passing}/chroms", options)
+        _write(_sorted_pixels(raw), f"{passing}/pixels", options)
+        info = json.dumps(_info(genome, saved, spark.read.parquet(f"{passing}/pixels"), symmetric, assembly, metadata), indent=1)
+        files.delete(f"{passing}/raw")
+        _publish(files, passing, uri, mode, info)
+    finally:
+        files.delete(passing)
     return ContactMatrix(spark, uri)
 
 
+def _spare_sources(files: Files, uri: str, mode: str, *inputs: DataFrame) -> None:
+    """Refuse to replace a path if an input lies in it outside the target's own tables."""
+    path, folder = parse_uri(uri)[0], _folder(uri)
+    if not files.exists(path):
+        return
+    own = [f"{files.qualified(folder)}/{t}/" for t in ("chroms", "bins", "pixels")]
+    lost = [f"{files.qualified(path)}/"] if mode == "w" else []
+    for name in (x for frame in inputs for x in frame.inputFiles()):
+        name = files.qualified(name)
+        if any(name.startswith(p) for p in lost) and not any(name.startswith(p) for p in own):
+            raise ValueError(f"{path} holds a source of {uri}; mode 'a' keeps it")
+
+
+def _publish(files: Files, passing: str, uri: str, mode: str, info: str) -> None:
+    """Put the tables at ``passing`` in the target's place, its info last."""
+    path, folder = parse_uri(uri)[0].rstrip("/"), _folder(uri)
+    if mode == "w" and folder != path:
+        files.delete(path)
+    for name in ("link.json", "info.json", "chroms", "bins", "pixels"):
+        files.delete(f"{folder}/{name}")
+    for name in ("chroms", "bins", "pixels"):
+        files.rename(f"{passing}/{name}", f"{folder}/{name}")
+    files.write(f"{folder}/info.json", info)
+
+
 def create_cells(uri: str, bins: DataFrame, pixels: DataFrame, *, cell: str = "cell", genome: Genome | None = None, cell_bins: DataFrame | None = None, assembly: str | None = None, metadata=None, storage: Mapping[str, str] | None = None) -> None:
-    """Write one matrix a cell over shared bins: pixels have a column naming the cell, ``cell_bins`` may hold (cell, bin_id, extra columns)."""
+    """Write one matrix a cell over shared bins: pixels have a column naming the cell, ``cell_bins`` may hold (cell, bin_id, extra columns).
+
+    All cells' pixels are one table, sorted by cell, so that a cell is read by the statistics of files and row groups, however many cells there are.
+    The tables are written beside the target and then put in its place. The info names the cells, a string a cell.
+    """
     spark, options = bins.sparkSession, _options(storage)
     folder, files, genome = _folder(uri), Files(bins.sparkSession), genome or B.chromsizes_of(bins)
-    files.delete(folder)
-    _write(genome.chroms(spark).coalesce(1), f"{folder}/chroms", options)
-    _write(bins.repartitionByRange("bin_id").sortWithinPartitions("bin_id"), f"{folder}/bins", options)
-    pixels.repartitionByRange(cell, *PIXEL_KEYS).sortWithinPartitions(cell, *PIXEL_KEYS).write.options(**options).partitionBy(cell).parquet(f"{folder}/cells")
-    if cell_bins is not None:
-        cell_bins.write.options(**options).partitionBy(cell).parquet(f"{folder}/cell_bins")
-    names = [r[0] for r in pixels.select(cell).distinct().orderBy(cell).collect()]  # a row a cell
-    info = {"format": FORMAT_CELLS, "format-version": VERSION, "ncells": len(names), "cells": names, "cell-column": cell, "nchroms": len(genome.sizes), "nbins": bins.count(), "bin-size": B.binsize_of(bins), "genome-assembly": assembly or "unknown", "metadata": metadata}
-    files.write(f"{folder}/info.json", json.dumps(info, indent=1))
+    passing = f"{folder}.{uuid.uuid4().hex}"
+    try:
+        _write(genome.chroms(spark).coalesce(1), f"{passing}/chroms", options)
+        _write(bins.repartitionByRange("bin_id").sortWithinPartitions("bin_id"), f"{passing}/bins", options)
+        keys = (cell, *PIXEL_KEYS)
+        _write(pixels.repartitionByRange(*keys).sortWithinPartitions(*keys), f"{passing}/cells", options)
+        if cell_bins is not None:
+            _write(cell_bins.repartitionByRange(cell, "bin_id").sortWithinPartitions(cell, "bin_id"), f"{passing}/cell_bins", options)
+        names = [str(r[0]) for r in spark.read.parquet(f"{passing}/cells").select(cell).distinct().orderBy(cell).collect()]
+        info = {"format": FORMAT_CELLS, "format-version": VERSION, "ncells": len(names), "cells": names, "cell-column": cell, "nchroms": len(genome.sizes), "nbins": spark.read.parquet(f"{passing}/bins").count(), "bin-size": B.binsize_of(bins), "genome-assembly": assembly or "unknown", "metadata": metadata}
+        files.write(f"{passing}/info.json", json.dumps(info, indent=1))
+        files.delete(folder)
+        files.rename(passing, folder)
+    finally:
+        files.delete(passing)
 
 
 def read_cell(spark: SparkSession, uri: str, name: str) -> tuple[DataFrame, DataFrame]:
@@ -130,9 +177,9 @@ def read_cell(spark: SparkSession, uri: str, name: str) -> tuple[DataFrame, Data
     key = info["cell-column"]
     bins = spark.read.parquet(f"{folder}/bins")
     if files.exists(f"{folder}/cell_bins"):
-        own = spark.read.parquet(f"{folder}/cell_bins").where(F.col(key) == name).drop(key)
+        own = spark.read.parquet(f"{folder}/cell_bins").where(F.col(key).cast("string") == name).drop(key)
         bins = bins.join(own, "bin_id", "left")
-    return bins, spark.read.parquet(f"{folder}/cells").where(F.col(key) == name).drop(key)
+    return bins, spark.read.parquet(f"{folder}/cells").where(F.col(key).cast("string") == name).drop(key)
 
 
 def list_matrices(spark: SparkSession, path: str) -> list[str]:
@@ -239,6 +286,14 @@ class RangeSelector:
     def columns(self) -> list[str]:
         return list(self._columns or self.frame.columns)
 
+    @property
+    def dtypes(self) -> dict[str, str]:
+        kinds = dict(self.frame.dtypes)
+        return {c: kinds[c] for c in self.columns}
+
+    def keys(self) -> list[str]:
+        return self.columns
+
     def __len__(self) -> int:
         return self.n
 
@@ -406,6 +461,21 @@ class ContactMatrix:
             frame = frame.drop(*clash)
         self._replace(table, frame.join(data, keys, "left"))
 
+    def put(self, table: str, data: DataFrame, lo: int = 0) -> None:
+        """Overwrite columns of a numbered table (chroms or bins) from row ``lo`` on: ``data`` has ``row``, counted from 0, and the columns' values. Rows that it lacks stay."""
+        keys = {"chroms": "chrom_id", "bins": "bin_id"}
+        if table not in keys:
+            raise ValueError("pixels have no row numbers: write them anew")
+        frame, key = getattr(self, f"{table}_frame"), keys[table]
+        new = [c for c in data.columns if c != "row"]
+        if missing := [c for c in new if c not in frame.columns]:
+            raise ValueError(f"no columns {missing} to overwrite")
+        patch = data.select((F.col("row") + lo).alias("_row"), *(F.col(c).alias(f"_new_{c}") for c in new))
+        met = frame.join(patch, F.col(key) == F.col("_row"), "left")
+        kinds = dict(frame.dtypes)
+        pick = {c: F.when(F.col("_row").isNotNull(), F.col(f"_new_{c}").cast(kinds[c])).otherwise(F.col(c)) for c in new}
+        self._replace(table, met.select(*(pick[c].alias(c) if c in pick else F.col(c) for c in frame.columns)))
+
     def delete_columns(self, table: str, columns: Sequence[str]) -> None:
         self._replace(table, getattr(self, f"{table}_frame").drop(*columns))
 
@@ -450,8 +520,8 @@ class ContactMatrix:
         return out.select(*columns) if columns else out
 
 
-def merge(spark: SparkSession, target: str, sources: Sequence[str], columns: Sequence[str] = ("count",), how: Mapping[str, object] | None = None) -> ContactMatrix:
-    """Write the merger of several matrices of one kind over the same bins."""
+def merge(spark: SparkSession, target: str, sources: Sequence[str], columns: Sequence[str] = ("count",), how: Mapping[str, object] | None = None, dtypes: Mapping[str, str] | None = None, mode: str = "w") -> ContactMatrix:
+    """Write the merger of several matrices of one kind over the same bins; mode ``a`` keeps what else the target's path holds."""
     from ..operators.reduce import merge_pixels, same_bins
 
     parts = [ContactMatrix(spark, s) for s in sources]
@@ -460,29 +530,54 @@ def merge(spark: SparkSession, target: str, sources: Sequence[str], columns: Seq
     if not all(same_bins(parts[0].bins_frame, p.bins_frame) for p in parts[1:]):
         raise ValueError("the bins differ")
     bins = parts[0].bins_frame.select("bin_id", "chrom_id", "chrom", "start", "end")
-    return create(target, bins, merge_pixels([p.pixels_frame for p in parts], columns, how), genome=parts[0].genome, symmetric=parts[0].storage_mode == "symmetric-upper", assembly=parts[0].info["genome-assembly"])
+    return create(target, bins, merge_pixels([p.pixels_frame for p in parts], columns, how), genome=parts[0].genome, symmetric=parts[0].storage_mode == "symmetric-upper", assembly=parts[0].info["genome-assembly"], mode=mode, dtypes=dtypes)
 
 
-def coarsen(spark: SparkSession, source: str, target: str, factor: int, columns: Sequence[str] = ("count",), how: Mapping[str, object] | None = None, mode: str = "w") -> ContactMatrix:
+def coarsen(spark: SparkSession, source: str, target: str, factor: int, columns: Sequence[str] = ("count",), how: Mapping[str, object] | None = None, dtypes: Mapping[str, str] | None = None, mode: str = "w") -> ContactMatrix:
     """Write a matrix with bins of ``factor`` of the source's."""
     from ..operators.reduce import coarsen_bins, coarsen_pixels
 
     m = ContactMatrix(spark, source)
-    return create(target, coarsen_bins(m.bins_frame, factor), coarsen_pixels(m.pixels_frame, m.bins_frame, factor, columns, how), genome=m.genome, symmetric=m.storage_mode == "symmetric-upper", assembly=m.info["genome-assembly"], mode=mode)
+    return create(target, coarsen_bins(m.bins_frame, factor), coarsen_pixels(m.pixels_frame, m.bins_frame, factor, columns, how), genome=m.genome, symmetric=m.storage_mode == "symmetric-upper", assembly=m.info["genome-assembly"], mode=mode, dtypes=dtypes)
 
 
-def zoomify(spark: SparkSession, sources: Sequence[str], path: str, resolutions: Sequence[int], columns: Sequence[str] = ("count",), how: Mapping[str, object] | None = None) -> list[str]:
+def zoomify(spark: SparkSession, sources: Sequence[str], path: str, resolutions: Sequence[int], columns: Sequence[str] = ("count",), how: Mapping[str, object] | None = None, dtypes: Mapping[str, str] | None = None) -> list[str]:
     """Write a multi-resolution container: every base as it is, every other resolution from its largest smaller divisor, read back from disk."""
     from ..operators.reduce import zoomify as levels
 
     bases = {(m := ContactMatrix(spark, s)).binsize or 1: m for s in sources}
     first = next(iter(bases.values()))
-    Files(spark).delete(path)
+    files, passing = Files(spark), f"{path.rstrip('/')}.{uuid.uuid4().hex}"  # written beside, as the target may hold the sources
 
     def keep(resolution: int, level):
-        saved = create(f"{path}::/resolutions/{resolution}", level[0].select("bin_id", "chrom_id", "chrom", "start", "end"), level[1], columns=columns, genome=first.genome, symmetric=first.storage_mode == "symmetric-upper", assembly=first.info["genome-assembly"], mode="a", duplicates=True)
+        saved = create(f"{passing}::/resolutions/{resolution}", level[0].select("bin_id", "chrom_id", "chrom", "start", "end"), level[1], columns=columns, genome=first.genome, symmetric=first.storage_mode == "symmetric-upper", assembly=first.info["genome-assembly"], mode="a", dtypes=dtypes)
+        return saved.bins_frame, saved.pixels_frame
+
+    try:
+        levels({r: (m.bins_frame, m.pixels_frame) for r, m in bases.items()}, resolutions, columns, how, keep)
+        files.write(f"{passing}/info.json", json.dumps({"format": FORMAT_MANY, "format-version": VERSION}))
+        files.delete(path)
+        files.rename(passing, path.rstrip("/"))
+    finally:
+        files.delete(passing)
+    return list_matrices(spark, path)
+
+
+def zoom_levels(spark: SparkSession, source: str, path: str, columns: Sequence[str] = ("count",), how: Mapping[str, object] | None = None, dtypes: Mapping[str, str] | None = None) -> list[str]:
+    """Write the factor-2 pyramid, one group a level: the deepest is the source, level 0 fits one tile."""
+    from ..operators.reduce import zoom_levels as levels
+
+    m, files, passing = ContactMatrix(spark, source), Files(spark), f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+
+    def keep(level: int, tables):
+        saved = create(f"{passing}::/{level}", tables[0].select("bin_id", "chrom_id", "chrom", "start", "end"), tables[1], columns=columns, genome=m.genome, symmetric=m.storage_mode == "symmetric-upper", assembly=m.info["genome-assembly"], mode="a", dtypes=dtypes)
         return saved.bins_frame, saved.pixels_frame
 
-    levels({r: (m.bins_frame, m.pixels_frame) for r, m in bases.items()}, resolutions, columns, how, keep)
-    Files(spark).write(f"{path}/info.json", json.dumps({"format": FORMAT_MANY, "format-version": VERSION}))
+    try:
+        made = levels(m.bins_frame, m.pixels_frame, columns, keep=keep, how=how)
+        files.write(f"{passing}/info.json", json.dumps({"format": FORMAT_MANY, "format-version": VERSION, "max-zoom": max(made)}))
+        files.delete(path)
+        files.rename(passing, path.rstrip("/"))
+    finally:
+        files.delete(passing)
     return list_matrices(spark, path)

@@ -18,6 +18,11 @@ class Files:
         fs, p = self._at(path)
         return fs.exists(p)
 
+    def qualified(self, path: str) -> str:
+        """The path in full, with scheme and authority, as Spark names its input files."""
+        fs, p = self._at(path)
+        return str(fs.makeQualified(p).toUri().toString()).rstrip("/")
+
     def is_dir(self, path: str) -> bool:
         fs, p = self._at(path)
         return fs.exists(p) and fs.getFileStatus(p).isDirectory()

@@ -9,15 +9,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder. A local one serves only where driver and executors are one process, as in tests."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "weftmap-checkpoints")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path of its own in the cluster's checkpoint folder, or in a local one where there is none, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "weftmap-checkpoints")
-    return f"{folder.rstrip('/')}/weftmap/{label}-{uuid.uuid4().hex}"
+    """A path of its own in the cluster's checkpoint folder."""
+    return f"{_folder(spark)}/weftmap/{label}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame, computed and saved in the cluster's checkpoint folder; a local one is set only where there is none, as in tests."""
+    """The frame, computed and saved in the cluster's checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "weftmap-checkpoints"))
+        context.setCheckpointDir(_folder(df.sparkSession))
     return df.checkpoint()

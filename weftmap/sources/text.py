@@ -47,10 +47,10 @@ def read_columns(spark: SparkSession, path: str, columns: Mapping[str, tuple[int
     return lines.select(*(cells.getItem(n - 1).cast(t).alias(c) for c, (n, t) in columns.items()))
 
 
-def read_pairs(spark: SparkSession, path: str, c1: int = 1, p1: int = 2, c2: int = 3, p2: int = 4, fields: Mapping[str, tuple[int, str]] | None = None, comment: str = "#") -> DataFrame:
+def read_pairs(spark: SparkSession, path: str, c1: int = 1, p1: int = 2, c2: int = 3, p2: int = 4, fields: Mapping[str, tuple[int, str]] | None = None, comment: str = "#", sep: str = "\t") -> DataFrame:
     """chrom1, pos1, chrom2, pos2 and further fields, from any column order."""
     core = {"chrom1": (c1, "string"), "pos1": (p1, "bigint"), "chrom2": (c2, "string"), "pos2": (p2, "bigint")}
-    return read_columns(spark, path, {**core, **(fields or {})}, comment)
+    return read_columns(spark, path, {**core, **(fields or {})}, comment, sep)
 
 
 def read_coo(spark: SparkSession, path: str, fields: Mapping[str, tuple[int, str]] | None = None, comment: str = "#") -> DataFrame:
