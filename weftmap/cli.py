@@ -78,12 +78,19 @@ def _metadata(spark: SparkSession, path: str | None):
 def cload(spark: SparkSession, a) -> None:
     genome, bins, size = T.parse_bins(spark, a.bins)
     columns, how, kinds = _fields(a.field, "sum")
-    pairs = T.read_pairs(spark, a.input, a.chrom1, a.pos1, a.chrom2, a.pos2, columns, a.comment_char)
+    places = {"c1": a.chrom1, "p1": a.pos1, "c2": a.chrom2, "p2": a.pos2, "fields": columns, "comment": a.comment_char}
+    pairs = T.read_pairs(spark, a.input, **places) if a.index is None else T.read_indexed_pairs(spark, a.input, a.index, **places)
     triangle = None if a.no_symmetric_upper else COPIES[a.input_copy_status]
     pixels = I.pixels_from_pairs(pairs, genome, how, binsize=size, bins=bins, one_based=not a.zero_based, triangle=triangle)
     C.create(a.output, bins, pixels, genome=genome, dtypes=kinds, symmetric=not a.no_symmetric_upper, assembly=a.assembly, metadata=_metadata(spark, a.metadata), mode="a" if a.append else "w", upper=False, storage=_storage(a.storage_options))
 
 
+def import_(spark: SparkSession, a) -> None:
+    from .sources.hdf5 import import_matrix
+
+    import_matrix(spark, a.uri, a.output, "a" if a.append else "w")
+
+
 def load(spark: SparkSession, a) -> None:
     genome, bins, size = T.parse_bins(spark, a.bins)
     columns, _, kinds = _fields(a.field, None)
@@ -244,6 +251,9 @@ def parser() -> argparse.ArgumentParser:
     for i, side in enumerate(("chrom1", "pos1", "chrom2", "pos2"), 1):
         c.add_argument(f"-{side[0]}{side[-1]}", f"--{side}", type=int, default=i)
     c.add_argument("-0", "--zero-based", action="store_true")
+    c.add_argument("--index", choices=("tabix", "pairix"), help="the input is block-compressed: several tasks read it")
+    c = command("import", import_, "uri", "output")
+    c.add_argument("-a", "--append", action="store_true")
     c = command("load", load, "bins", "input", "output")
     text_input(c)
     c.add_argument("-f", "--format", choices=("coo", "bg2"), required=True)

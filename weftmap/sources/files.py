@@ -27,6 +27,10 @@ class Files:
         fs, p = self._at(path)
         return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
+    def size(self, path: str) -> int:
+        fs, p = self._at(path)
+        return fs.getFileStatus(p).getLen()
+
     def names(self, path: str) -> list[str]:
         fs, p = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bins import binnify, bins_from_edges
+from ..operators.ingest import one_orientation
 from ..plans.genome import Genome
 from ..plans.regions import natural_sorted, parse_number
+from .bgzf import read_bgzf
 
 #: Types that a field may be given, and what they are here.
 _TYPES = {
@@ -40,17 +42,27 @@ def parse_field(spec: str) -> tuple[str, int | None, str | None, str | None]:
     return name, int(number) if number else None, options.get("dtype"), options.get("agg")
 
 
-def read_columns(spark: SparkSession, path: str, columns: Mapping[str, tuple[int, str]], comment: str = "#", sep: str = "\t") -> DataFrame:
-    """Named 1-based columns of a delimited text, cast to Spark types; lines that begin with ``comment`` are skipped. Compressed files are read by extension."""
-    lines = spark.read.text(path).where(~F.col("value").startswith(comment) & (F.length("value") > 0))
+def read_columns(spark: SparkSession, path: str, columns: Mapping[str, tuple[int, str]], comment: str = "#", sep: str = "\t", blocks: bool = False) -> DataFrame:
+    """Named 1-based columns of a delimited text, cast to Spark types; lines that begin with ``comment`` are skipped. Compressed files are read
+    by extension, each by one task, or, with ``blocks``, as block-compressed ones by several."""
+    lines = (read_bgzf(spark, path) if blocks else spark.read.text(path)).where(~F.col("value").startswith(comment) & (F.length("value") > 0))
     cells = F.split("value", re.escape(sep), -1)
     return lines.select(*(cells.getItem(n - 1).cast(t).alias(c) for c, (n, t) in columns.items()))
 
 
-def read_pairs(spark: SparkSession, path: str, c1: int = 1, p1: int = 2, c2: int = 3, p2: int = 4, fields: Mapping[str, tuple[int, str]] | None = None, comment: str = "#", sep: str = "\t") -> DataFrame:
+def read_pairs(spark: SparkSession, path: str, c1: int = 1, p1: int = 2, c2: int = 3, p2: int = 4, fields: Mapping[str, tuple[int, str]] | None = None, comment: str = "#", sep: str = "\t", blocks: bool = False) -> DataFrame:
     """chrom1, pos1, chrom2, pos2 and further fields, from any column order."""
     core = {"chrom1": (c1, "string"), "pos1": (p1, "bigint"), "chrom2": (c2, "string"), "pos2": (p2, "bigint")}
-    return read_columns(spark, path, {**core, **(fields or {})}, comment, sep)
+    return read_columns(spark, path, {**core, **(fields or {})}, comment, sep, blocks)
+
+
+def read_indexed_pairs(spark: SparkSession, path: str, index: str = "pairix", **columns) -> DataFrame:
+    """Pairs of a block-compressed file that was sorted and indexed. Its index is not needed, as all blocks are read, several at a time; of a
+    ``pairix`` file two sequences may occur in one order only, which is checked."""
+    if index not in ("tabix", "pairix"):
+        raise ValueError(f"unknown index: {index}")
+    pairs = read_pairs(spark, path, blocks=True, **columns)
+    return one_orientation(pairs) if index == "pairix" else pairs
 
 
 def read_coo(spark: SparkSession, path: str, fields: Mapping[str, tuple[int, str]] | None = None, comment: str = "#") -> DataFrame:
