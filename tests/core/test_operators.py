@@ -272,6 +272,7 @@ def test_pipes(pixels):
     pipe = split(pixels.repartition(3))
     total = pipe.pipe(lambda chunk: chunk["count"].sum()).reduce(lambda a, b: a + b, 0)
     assert total == 400
+    assert pipe.pipe(lambda chunk: len(chunk)).reduce(lambda acc, n: acc + [n], [], merge=lambda a, b: [sum(a) + sum(b)]) == [pixels.count()]
     made = pipe.prepare(lambda chunk: chunk["count"] * 0 + 1).pipe(lambda chunk, state, k: state * k, 2).pipe(lambda chunk, state: int(state.sum()))
     assert sum(made.gather()) == 2 * pixels.count()
     assert pipe.steps == ()

@@ -290,3 +290,12 @@ def test_names_of_the_package():
     import weftmap
 
     assert all(callable(getattr(weftmap, name)) for name in weftmap.__all__)
+
+
+def test_boxes_in_chunks(stored):
+    selector = stored.matrix(balance=False)
+    chunks = selector.chunks((2, 13, 0, 20), 4)
+    assert len(chunks) == chunks.n_chunks == 3
+    assert sorted(r for c in chunks for r in rows(c)) == rows(selector.box((2, 13, 0, 20)))
+    with pytest.raises(IndexError):
+        chunks.get_chunk(3)

@@ -209,7 +209,7 @@ def csort(spark: SparkSession, a) -> None:
 def show(spark: SparkSession, a) -> int | None:
     m = C.ContactMatrix(spark, a.uri)
     rows, cols = m.extent(a.range), m.extent(a.range2 or a.range)
-    if (rows[1] - rows[0]) * (cols[1] - cols[0]) > Q.DENSE_CELLS:
+    if (rows[1] - rows[0]) * (cols[1] - cols[0]) > Q.SHOWN_CELLS:
         print("the region is too large to be shown", file=sys.stderr)
         return 1
     picked = m.matrix(balance=a.balanced).fetch(a.range, a.range2)

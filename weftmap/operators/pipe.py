@@ -43,25 +43,31 @@ class ChunkPipe:
         """The results, each a pandas frame of this schema, as one table."""
         return self.frame.mapInPandas(self._function(), schema)
 
-    def gather(self) -> list:
-        """The results of all chunks, of any kind, on the driver."""
-        import pandas as pd
+    def _pickled(self, results: Callable):
+        """Whatever ``results`` yields from all chunks' results of a task, on the driver, one after another."""
+        import pickle
 
         run = self._function()
 
         def packed(batches):
+            import pandas as pd
             from pyspark import cloudpickle
 
-            for x in run(batches):
+            for x in results(run(batches)):
                 yield pd.DataFrame({"x": [cloudpickle.dumps(x)]})
 
-        import pickle
+        return (pickle.loads(r["x"]) for r in self.frame.mapInPandas(packed, "x binary").toLocalIterator())
 
-        return [pickle.loads(r["x"]) for r in self.frame.mapInPandas(packed, "x binary").toLocalIterator()]
-
-    def reduce(self, op: Callable, init):
-        """The results folded by ``op``."""
-        return fold(op, self.gather(), init)
+    def gather(self) -> list:
+        """The results of all chunks, of any kind, on the driver."""
+        return list(self._pickled(lambda results: results))
+
+    def reduce(self, op: Callable, init, merge: Callable | None = None):
+        """The results folded by ``op`` from ``init`` on. With ``merge``, which joins two folded values, every task folds its own chunks first, and
+        the driver sees a value a task; without it results are folded on the driver as they come, and none is kept."""
+        if merge is None:
+            return fold(op, self._pickled(lambda results: results), init)
+        return fold(merge, self._pickled(lambda results: [fold(op, results, init)]), init)
 
 
 def split(frame: DataFrame) -> ChunkPipe:

@@ -14,6 +14,8 @@ Box = tuple[int, int, int, int]
 
 #: Cells that a dense result may have.
 DENSE_CELLS = 10**8
+#: Cells that are drawn.
+SHOWN_CELLS = 10**7
 #: Weights of these names divide.
 DIVISIVE = ("KR", "VC", "VC_SQRT")
 

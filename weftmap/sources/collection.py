@@ -21,6 +21,7 @@ from ..operators.balance import Balance
 from ..operators.ingest import validate_pixels
 from ..plans.genome import PIXEL_KEYS, Genome
 from ..plans.regions import Region, natural_sorted, parse_uri
+from ..plans.resolutions import partition
 from .files import Files
 
 FORMAT, FORMAT_MANY, FORMAT_CELLS, VERSION = "weftmap", "weftmap-multires", "weftmap-cells", 1
@@ -365,11 +366,37 @@ class MatrixSelector:
         bounds = [slice_bounds(a, n) for a in at] + [(0, n)] * (2 - len(at))
         return self.box((*bounds[0], *bounds[1]))
 
+    def chunks(self, bounds: Q.Box, rows: int) -> BoxChunks:
+        """A box in spans of at most ``rows`` rows."""
+        return BoxChunks(self, bounds, rows)
+
     def fetch(self, region: Region, region2: Region = None) -> DataFrame:
         rows = self.matrix.extent(region)
         return self.box((*rows, *(rows if region2 is None else self.matrix.extent(region2))))
 
 
+class BoxChunks:
+    """A box in spans of rows, to be fetched one by one: ``n_chunks``, ``get_chunk(i)``, iteration. Each is a frame; nothing is read before it is used."""
+
+    def __init__(self, selector: MatrixSelector, bounds: Q.Box, rows: int):
+        self.selector, self.bounds = selector, bounds
+        self.spans = partition(bounds[0], bounds[1], rows)
+
+    @property
+    def n_chunks(self) -> int:
+        return len(self.spans)
+
+    __len__ = n_chunks.fget
+
+    def get_chunk(self, i: int) -> DataFrame:
+        if not 0 <= i < len(self.spans):
+            raise IndexError(f"chunk {i} of {len(self.spans)}")
+        return self.selector.box((*self.spans[i], *self.bounds[2:]))
+
+    def __iter__(self):
+        return (self.get_chunk(i) for i in range(len(self.spans)))
+
+
 class ContactMatrix:
     """A handle on a stored matrix."""
 
