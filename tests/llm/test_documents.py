@@ -95,6 +95,27 @@ def test_simhash_keeps_one_of_each_group_and_all_columns(spark):
     assert sorted({r.doc_id for r in kept.collect() if r.doc_id is not None}) == sorted(set(groups.values()))
 
 
+def test_simhash_of_large_buckets(spark, monkeypatch):
+    from weftmap.llm import _pairs
+    from weftmap.llm.simhash_dedup import _fingerprints_of, simhash_groups
+
+    monkeypatch.setattr(_pairs, "CAP", 5)
+    base = [f"w{i % 53}x{i}" for i in range(300)]
+    texts = [" ".join(base[:k] + ["new"] + base[k:]) for k in range(0, 300, 4)] + [" ".join(f"other{j} {j * i}" for j in range(40)) for i in range(20)]
+    prints = [int(x) for x in _fingerprints_of(texts)]
+    label = list(range(len(texts)))
+    for _ in texts:
+        before = list(label)
+        for i, a in enumerate(prints):
+            for j, b in enumerate(prints):
+                if (a ^ b).bit_count() <= 3:
+                    label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    found = simhash_groups(docs(spark, [(i, t, *[None] * 8) for i, t in enumerate(texts)]))
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(label))
+
+
 def test_allocation_covers_the_radius():
     from weftmap.llm.simhash_dedup import RADIUS, SPLITS, allocate, distance_shares
 

@@ -1,4 +1,8 @@
-"""The registered queries of this subpackage, one per operator, over whole tables."""
+"""The registered queries of this subpackage, one per operator, over whole tables.
+
+Each hands its table to its operator with production parameters; what nulls, empty and long texts, ties, repeated rows, empty tables and further
+columns give is told by the operator's docstring and holds for the query.
+"""
 
 from __future__ import annotations
 
