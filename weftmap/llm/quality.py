@@ -141,8 +141,8 @@ def _fits(ids: np.ndarray) -> np.ndarray:
     return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63) == 0
 
 
-def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str = "doc_id", quality: str = "quality", toxic: str = "toxic", label_rows: int = LABEL_ROWS, keep_share: float | None = None, seed: int = 42) -> tuple[DataFrame, list[str], Column]:
-    """``docs`` stored with further columns (id, n-grams, weight, key of the draw, toxicity, label), their names, and the condition for being kept."""
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str = "doc_id", quality: str = "quality", toxic: str = "toxic", label_rows: int = LABEL_ROWS, keep_share: float | None = None, seed: int = 42, whole: bool = True) -> tuple[DataFrame, list[str], Column]:
+    """``docs`` stored with further columns (id, n-grams, weight, key of the draw, toxicity, label), or those alone without ``whole``; their names, and the condition for being kept."""
     ids, classes = _sample(labels, label_id, quality, toxic, label_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     names = [fresh_name(docs.columns, x) for x in ("doc", "n", "weight", "draw", "toxicity", "label")]
@@ -187,7 +187,9 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     said, telling = (-2 - words["at"].to_numpy()).astype(np.uint64), word_ratio(words["target"].to_numpy(), words["raw"].to_numpy(), int(docs_of["target"].sum()), int(docs_of["raw"].sum()))
     said, telling = said[telling > 0], telling[telling > 0]
 
-    columns = [*every.columns, *names[1:]]
+    kept_fields = every.schema.fields if whole else every.schema.fields[-1:]
+    columns = [*(f.name for f in kept_fields), *names[1:]]
+    carried = len(kept_fields)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,9 +207,9 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
                 noise = np.array([zlib.crc32(f"{seed}:{d}".encode(), zlib.crc32(t.encode())) for d, t in zip(doc.to_pylist(), texts)])
                 draw = weight - np.log(-np.log((noise + 0.5) / 2**32))
                 made = [pa.array(n.astype(np.int64)), pa.array(weight, mask=n == 0), pa.array(draw, mask=n == 0), pa.array(toxicity), pa.array(labelled(doc))]
-                yield pa.RecordBatch.from_arrays([*piece.columns, *made], names=columns)
+                yield pa.RecordBatch.from_arrays([*piece.columns[-carried:], *made], names=columns)
 
-    schema = T.StructType([*every.schema.fields, *(T.StructField(c, t) for c, t in zip(names[1:], (T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType(), T.ByteType())))])
+    schema = T.StructType([*kept_fields, *(T.StructField(c, t) for c, t in zip(names[1:], (T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType(), T.ByteType())))])
     scored = materialize(every.mapInArrow(score, schema), "scores")
     doc, n, weight, draw, toxicity, label = names
     known = scored.where((F.col(label) > 0) & F.col(weight).isNotNull()).groupBy(doc).agg(F.max(toxicity).alias("toxicity"), F.max(label).alias("label")).toPandas()  # label_rows at most
@@ -231,7 +233,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     once the labels show which words make them so. Options: label_id, quality, toxic (columns of ``labels``), label_rows, keep_share, seed.
     """
     only = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    scored, (doc, n, weight, *_), kept = _scored(only, labels, "id", "text", **options)
+    scored, (doc, n, weight, *_), kept = _scored(only, labels, "id", "text", whole=False, **options)
     return scored.select(F.col(doc).alias("doc_id"), F.col(n).alias("n_features"), F.col(weight).alias("score"), kept.alias("kept"))
 
 
