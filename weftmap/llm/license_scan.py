@@ -125,15 +125,16 @@ def bands_for(s: int, similarity: float = SIMILARITY, miss: float = MISS) -> int
     return ceil(log(miss) / log(1 - jaccard))
 
 
-def _factor(band: int) -> int:
-    """The odd factor by which a band permutes 32-bit hashes."""
-    return (2 * band + 1) * 0x9E3779B1 % (1 << 32) | 1
+def _twice_permuted(h: np.ndarray, band: int) -> np.ndarray:
+    """Twice a band's permutation of 31-bit hashes, which is a product with an odd number: the last bit is free."""
+    return h * np.uint32(((2 * band + 1) * 0x9E3779B1 | 1) * 2 % (1 << 32))
 
 
 class Bands:
-    """The templates' minima by level and band, to be looked up by those of texts."""
+    """The templates' minima by level and band, to be looked up by those of texts. A shingle that is a minimum of any template has the last bit of
+    its values set, so that a window's minimum tells whether there is anything to look up."""
 
-    BITS = 20
+    BITS = 24
     #: Shingles handled in one go, and the level up to which they are.
     CHUNK, NEAR = 1 << 15, 64
 
@@ -145,13 +146,14 @@ class Bands:
         for i, t in enumerate(templates):
             h = _short(t.hashes)
             for band in range(t.bands):
-                least = int(h[np.argmin(h * np.uint32(_factor(band)))])
-                found.setdefault((t.level, band), []).append((least, i))
-                self.known[least >> (32 - self.BITS)] = True
+                value = _twice_permuted(h, band)
+                at = int(np.argmin(value))
+                found.setdefault((t.level, band), []).append((int(value[at]) >> 1, i))
+                self.known[int(h[at]) >> (31 - self.BITS)] = True
         self.minima = {k: tuple(np.array(x) for x in zip(*sorted(v))) for k, v in found.items()}
 
     def search(self, h: np.ndarray) -> np.ndarray:
-        """Rows (template, first shingle of a retrieval window) that collide in a band, each once, for the 32-bit hashes of a text's shingles."""
+        """Rows (template, first shingle of a retrieval window) that collide in a band, each once, for the 31-bit hashes of a text's shingles."""
         out = [np.zeros((0, 2), dtype=np.int64)]
         if not len(h) or not self.levels:
             return out[0]
@@ -161,9 +163,10 @@ class Bands:
         for start in range(0, len(h), self.CHUNK):  # small windows stay in the processor's cache
             part = h[start : start + self.CHUNK + 4 * low]
             n = -(-min(self.CHUNK, len(h) - start) // low) * low
-            padded = np.full(n + 4 * low + 4, 0xFFFFFFFF, dtype=np.uint32)
+            padded = np.full(n + 4 * low + 4, 0xFFFFFFFE, dtype=np.uint32)
+            last = self.known[part >> np.uint32(31 - self.BITS)].astype(np.uint32)
             for band in range(self.bands):
-                np.multiply(part, np.uint32(_factor(band)), out=padded[: len(part)])
+                np.bitwise_or(_twice_permuted(part, band), last, out=padded[: len(part)])
                 two = np.minimum(padded[:-1], padded[1:])
                 coarse[band].append(self._climb(np.minimum(two[:-2], two[2:]), 1, low, band, start, n, out)[: n // low])
         if top > low:
@@ -173,14 +176,13 @@ class Bands:
 
     def _climb(self, least: np.ndarray, g: int, top: int, band: int, start: int, n: int, out: list) -> np.ndarray:
         """Look up the minima of windows of 4g shingles that begin at ``start`` + 0, g, 2g and so on, then those of twice the size, up to g = ``top``, which are returned."""
-        factor = np.uint32(pow(_factor(band), -1, 1 << 32))
         while True:
             if (g, band) in self.minima:
-                own = least[: -(-n // g)] * factor  # the hashes behind the minima
-                at = np.flatnonzero(self.known[own >> np.uint32(32 - self.BITS)])
+                own = least[: -(-n // g)]
+                at = np.flatnonzero(own & np.uint32(1))
                 if len(at):
                     value, template = self.minima[g, band]
-                    lo, hi = np.searchsorted(value, own[at], "left"), np.searchsorted(value, own[at], "right")
+                    lo, hi = np.searchsorted(value, own[at] >> 1, "left"), np.searchsorted(value, own[at] >> 1, "right")
                     many = hi - lo
                     which = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                     out.append(np.stack([template[which], start + np.repeat(at, many) * g], axis=1))
@@ -198,7 +200,7 @@ def _wider(least: np.ndarray) -> np.ndarray:
 
 
 def _short(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(32)).astype(np.uint32)
+    return (h >> np.uint64(33)).astype(np.uint32)
 
 
 def shingles(words: list[bytes]) -> list[tuple[bytes, ...]]:
