@@ -14,6 +14,7 @@ A document is scored by the rest of the corpus: its own occurrences are taken ou
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,9 @@ ORDER = 3
 #: Factor of each step back.
 BACKOFF = 0.4
 #: Bytes of text in a slice.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 3_000_000
 #: Tokens of the corpus to a bucket, about.
-BUCKET_TOKENS = 4_000_000
+BUCKET_TOKENS = 3_000_000
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -44,20 +45,61 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(expanded(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
 
 
-def _ngrams(ids: np.ndarray, lengths: np.ndarray, order: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(integers, places of the last token) of all n-grams inside documents, for n = 2 to ``order``. Shorter n-grams have the smaller integers."""
+@dataclass
+class Grams:
+    """The n-grams of one order in a slice: where each ends, its number among the distinct ones (which follow their tokens), its count in its own
+    document; the count of each distinct one in the slice, and the end of one occurrence."""
+
+    at: np.ndarray
+    which: np.ndarray
+    own: np.ndarray
+    total: np.ndarray
+    some: np.ndarray
+
+
+def _grams(ids: np.ndarray, lengths: np.ndarray, order: int, bits: int) -> list[Grams]:
+    """All n-grams inside documents, for n = 1 to ``order``, each by one sort of (number of the n-gram before, token, place)."""
     ends = np.cumsum(lengths)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(ids)) - np.repeat(ends - lengths, lengths)  # in the document
-    wide, key, out = ids.astype(np.uint64), ids.astype(np.uint64), []
-    for n in range(2, order + 1):
+    wide, before, width, out = ids.astype(np.uint64), np.zeros(len(ids), dtype=np.uint64), 0, []
+    for n in range(1, order + 1):
         at = np.flatnonzero(place >= n - 1)
-        longer = np.zeros(len(ids), dtype=np.uint64)
-        longer[at] = (key[at - 1] << np.uint64(bits)) | wide[at]
-        key = longer
-        out.append((key[at] | np.uint64((n - 2) << order * bits), at))
+        key = (before[at - 1] << np.uint64(bits)) | wide[at] if n > 1 else wide
+        room = max(1, len(at).bit_length())
+        if width + bits + room <= 64:
+            packed = np.sort((key << np.uint64(room)) | np.arange(len(at), dtype=np.uint64))
+            by, key = (packed & np.uint64((1 << room) - 1)).astype(np.int64), packed >> np.uint64(room)
+        else:
+            by = np.argsort(key, kind="stable")
+            key = key[by]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        start = np.flatnonzero(new)
+        of = owner[at[by]]
+        turn = new.copy()
+        turn[1:] |= of[1:] != of[:-1]  # places rise in equal n-grams, and documents with them
+        runs = np.diff(np.append(np.flatnonzero(turn), len(at)))
+        which, own = np.empty(len(at), dtype=np.int32), np.empty(len(at), dtype=np.int32)
+        which[by], own[by] = np.cumsum(new, dtype=np.int32) - 1, np.repeat(runs, runs)
+        out.append(Grams(at.astype(np.int32), which, own, np.diff(np.append(start, len(at))), at[by[start]]))
+        before = np.zeros(len(ids), dtype=np.uint64)
+        before[at] = which
+        width = max(1, len(start)).bit_length()
     return out
 
 
+def _keys(ids: np.ndarray, grams: list[Grams], order: int, bits: int) -> np.ndarray:
+    """The distinct n-grams of orders from 2 on as integers, in order; shorter ones have the smaller integers."""
+    wide, out = ids.astype(np.uint64), [np.zeros(0, dtype=np.uint64)]
+    for n, g in enumerate(grams[1:], 2):
+        key = np.zeros(len(g.some), dtype=np.uint64)
+        for k in range(n):
+            key = (key << np.uint64(bits)) | wide[g.some - n + 1 + k]
+        out.append(key | np.uint64((n - 2) << order * bits))
+    return np.concatenate(out)
+
+
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     h = key * np.uint64(0x9E3779B97F4A7C15)
     return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
@@ -73,18 +115,11 @@ def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _dealt(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of sorted keys by bucket and value, and the buckets' edges."""
     bucket = _bucket(distinct, buckets)
+    bucket = bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket  # sorted in linear time
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _elsewhere(key: np.ndarray, owner: np.ndarray, distinct: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """For each n-gram of a document, how often it occurs in the corpus outside the document."""
-    which = np.searchsorted(distinct, key)
-    pair, n = _counted(owner * len(distinct) + which)
-    own = n[np.searchsorted(pair, owner * len(distinct) + which)]
-    return total[which] - own
-
-
 def lm_scores(docs: DataFrame, tokenizer: str, order: int = ORDER, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, log_score (natural, summed over tokens), mean_log_score.
 
@@ -132,7 +167,8 @@ def lm_scores(docs: DataFrame, tokenizer: str, order: int = ORDER, backoff: floa
     schema = "slice long, doc_ids binary, nulls binary, lengths binary, ids binary, width int, n_tokens long, tokens array<long>, counts array<long>"
     sliced = materialize(rows.mapInArrow(encode, schema), "slices")
     corpus = sliced.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corpus // BUCKET_TOKENS))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, -(-corpus // BUCKET_TOKENS))  # tasks grow in number with the corpus, not in size
     counted = sliced.select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy("x.tokens").agg(F.sum("x.counts").alias("n")).collect()  # a row a vocabulary entry
     unigram = np.zeros(max((r[0] for r in counted), default=0) + 1, dtype=np.int64)
     for token, n in counted:
@@ -142,8 +178,9 @@ def lm_scores(docs: DataFrame, tokenizer: str, order: int = ORDER, backoff: floa
         forget_encoders()
         for batch in batches:
             for number, lengths, ids, width in zip(*(batch.column(c).to_pylist() for c in ("slice", "lengths", "ids", "width"))):
-                found = _ngrams(expanded(ids, f"<u{width}"), np.frombuffer(lengths, dtype="<i8"), order, bits)
-                distinct, count = _counted(np.concatenate([np.zeros(0, dtype=np.uint64), *(key for key, _ in found)]))
+                tokens = expanded(ids, f"<u{width}")
+                found = _grams(tokens, np.frombuffer(lengths, dtype="<i8"), order, bits)
+                distinct, count = _keys(tokens, found, order, bits), np.concatenate([np.zeros(0, dtype=np.int64), *(g.total for g in found[1:])])
                 by, edge = _dealt(distinct, buckets)
                 distinct, count = distinct[by], count[by]
                 some = np.flatnonzero(np.diff(edge))
@@ -197,28 +234,28 @@ def lm_scores(docs: DataFrame, tokenizer: str, order: int = ORDER, backoff: floa
 
     def _scores(ids: np.ndarray, lengths: np.ndarray, rest: np.ndarray) -> np.ndarray:
         """Scores of a slice's documents; ``rest``: counts of its n-grams in other slices, in the order in which they were dealt."""
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        context = _elsewhere(ids, owner, np.arange(len(unigram)), unigram)
+        owner, grams = np.repeat(np.arange(len(lengths)), lengths), _grams(ids, lengths, order, bits)
+        context = unigram[ids] - grams[0].own
         value = np.log(np.maximum(context, 1) / max(1, corpus))
-        found = _ngrams(ids, lengths, order, bits)
-        distinct, total = _counted(np.concatenate([np.zeros(0, dtype=np.uint64), *(key for key, _ in found)]))
-        by, _ = _dealt(distinct, buckets)
-        total[by] += rest
-        for key, at in found:
+        by, _ = _dealt(_keys(ids, grams, order, bits), buckets)
+        others = np.empty(len(by), dtype=np.int64)
+        others[by] = rest
+        for g in grams[1:]:
+            elsewhere, others = g.total + others[: len(g.total)], others[len(g.total) :]
             count = np.zeros(len(ids), dtype=np.int64)
-            count[at] = _elsewhere(key, owner[at], distinct, total)
-            seen = count[at] > 0
-            value[at[~seen]] += np.log(backoff)
-            value[at[seen]] = np.log(count[at[seen]] / context[at[seen] - 1])
+            count[g.at] = elsewhere[g.which] - g.own
+            seen = count[g.at] > 0
+            value[g.at[~seen]] += np.log(backoff)
+            value[g.at[seen]] = np.log(count[g.at[seen]] / context[g.at[seen] - 1])
             context = count
         return np.bincount(owner, weights=value, minlength=len(lengths))
 
     dealt = sliced.select("slice", "lengths", "ids", "width").mapInArrow(deal, "bucket long, slice long, keys binary, counts binary")
-    summed = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "slice long, bucket long, rest binary")
+    summed = dealt.repartition(max(least, -(-buckets // 2)), "bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "slice long, bucket long, rest binary")
     # A slice's lists come in the order of the buckets, its own row after them.
     back = summed.select("slice", "bucket", "rest", *(F.lit(None).cast(t).alias(c) for c, t in (("doc_ids", "binary"), ("nulls", "binary"), ("lengths", "binary"), ("ids", "binary"), ("width", "int"))))
     own = sliced.select("slice", F.lit(buckets).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("rest"), "doc_ids", "nulls", "lengths", "ids", "width")
-    met = back.union(own).repartition("slice").sortWithinPartitions("slice", "bucket")
+    met = back.union(own).repartition(max(least, -(-sliced.count() // 2)), "slice").sortWithinPartitions("slice", "bucket")
     scores = met.mapInArrow(score, "doc_id long, n_tokens long, log_score double")
     return scores.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))
 
