@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._batches import slices, texts_of
+from ._batches import gathered, slices, texts_of
 from ._rows import by_position, fresh_name
 from ._store import materialize
 
@@ -132,8 +132,9 @@ def _sample(labels: DataFrame, label_id: str, quality: str, toxic: str, rows: in
     insult = F.coalesce(F.col(toxic), F.lit(0)) != 0
     per_doc = known.groupBy(F.col(label_id).cast("long").alias("d")).agg(F.max(insult.cast("int")).alias("toxic"), F.min((F.col(quality) == 1).cast("int")).alias("good"))
     per_doc = per_doc.select("d", F.when(F.col("toxic") == 1, 3).when(F.col("good") == 1, 2).otherwise(1).alias("class"))
-    found = sorted((r["d"], r["class"]) for r in per_doc.orderBy(F.xxhash64("d"), "d").limit(rows).collect())
-    return np.array([d for d, _ in found], dtype=np.int64), np.array([c for _, c in found], dtype=np.int8)
+    found = gathered(per_doc.orderBy(F.xxhash64("d"), "d").limit(rows))
+    order = np.argsort(found["d"])
+    return found["d"][order], found["class"][order].astype(np.int8)
 
 
 def _fits(ids: np.ndarray) -> np.ndarray:
@@ -179,12 +180,14 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
             yield pa.RecordBatch.from_arrays([pa.array(-1 - word // 2), pa.array(np.where(odd, 0, n)), pa.array(np.where(odd, n, 0))], names=["at", "raw", "target"])
 
     total = rows.mapInArrow(count, "at long, raw long, target long").groupBy("at").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    total = total.where((F.col("at") >= -1) | (F.col("target") >= TOXIC_DOCS)).toPandas()  # a row a bucket, and those of words in toxic labelled documents
+    total = gathered(total.where((F.col("at") >= -1) | (F.col("target") >= TOXIC_DOCS)))  # a row a bucket, and those of words in toxic labelled documents
     raw, target = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
-    buckets, words, docs_of = total[total["at"] >= 0], total[total["at"] < -1].sort_values("at", ascending=False), total[total["at"] == -1]
-    raw[buckets["at"]], target[buckets["at"]] = buckets["raw"], buckets["target"]
+    at, order = total["at"], np.argsort(-total["at"])
+    raw[at[at >= 0]], target[at[at >= 0]] = total["raw"][at >= 0], total["target"][at >= 0]
     ratio = log_ratio(target, raw)
-    said, telling = (-2 - words["at"].to_numpy()).astype(np.uint64), word_ratio(words["target"].to_numpy(), words["raw"].to_numpy(), int(docs_of["target"].sum()), int(docs_of["raw"].sum()))
+    words, docs_of = order[at[order] < -1], at == -1
+    said = (-2 - at[words]).astype(np.uint64)
+    telling = word_ratio(total["target"][words], total["raw"][words], int(total["target"][docs_of].sum()), int(total["raw"][docs_of].sum()))
     said, telling = said[telling > 0], telling[telling > 0]
 
     kept_fields = every.schema.fields if whole else every.schema.fields[-1:]
@@ -212,9 +215,9 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     schema = T.StructType([*kept_fields, *(T.StructField(c, t) for c, t in zip(names[1:], (T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType(), T.ByteType())))])
     scored = materialize(every.mapInArrow(score, schema), "scores")
     doc, n, weight, draw, toxicity, label = names
-    known = scored.where((F.col(label) > 0) & F.col(weight).isNotNull()).groupBy(doc).agg(F.max(toxicity).alias("toxicity"), F.max(label).alias("label")).toPandas()  # label_rows at most
-    apart = known[~_fits(known[doc].to_numpy())]
-    most = -threshold(-apart["toxicity"][apart["label"] != 3].to_numpy(), -apart["toxicity"][apart["label"] == 3].to_numpy())
+    known = gathered(scored.where((F.col(label) > 0) & F.col(weight).isNotNull()).groupBy(doc).agg(F.max(toxicity).alias("toxicity"), F.max(label).alias("label")))  # label_rows at most
+    apart, insulting = ~_fits(known[doc]), known["label"] == 3
+    most = -threshold(-known["toxicity"][apart & ~insulting], -known["toxicity"][apart & insulting])
     if keep_share is None:
         good, bad = int((classes == 2).sum()), int((classes == 1).sum())
         keep_share = good / (good + bad) if good and bad else 1.0

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._batches import slices, texts_of
+from ._batches import gathered, slices, texts_of
 from ._pairs import meet, pairs, star, whole_groups
 from ._rows import by_position, fresh_name, join_hot, without_rows
 from ._store import materialize
@@ -204,7 +204,7 @@ def simhash_links(unique: DataFrame) -> DataFrame:
     for r in unique.select("fp").mapInArrow(_bit_counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # 4096 rows
         gram[r["at"]] = r["n"]
     order = correlated_order(gram.reshape(64, 64), n)
-    counts = unique.select("fp").mapInArrow(_chunk_counts(order), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # 2^18 rows at most
+    counts = gathered(unique.select("fp").mapInArrow(_chunk_counts(order), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")))  # 2^18 rows at most
     hist = np.zeros(CHUNKS << CHUNK_BITS)
     hist[counts["at"]] = counts["n"]
     split, thresholds = allocate([distance_shares(h) for h in hist.reshape(CHUNKS, -1)], n)
