@@ -64,19 +64,24 @@ def _coarser(column: str, pieces: list[tuple[int, int]], factor: int) -> Column:
     return piecewise(F.col(column), [(old, F.expr(f"{new}L + (`{column}` - {old}L) div {factor}")) for old, new in pieces])
 
 
-def coarse_id(bins: DataFrame, factor: int) -> DataFrame:
-    """(bin_id, new_id): each sequence's bins in groups of ``factor``."""
+def _with_coarse_id(bins: DataFrame, factor: int) -> DataFrame:
+    """``bins`` with ``new_id``. The table occurs once in the plan, so that levels made from each other grow it by a step each instead of doubling it."""
     pieces = _coarse_pieces(bins, factor)
     if 0 < len(pieces) <= MOST_PIECES:
-        return bins.select("bin_id", _coarser("bin_id", pieces, factor).alias("new_id"))
+        return bins.withColumn("new_id", _coarser("bin_id", pieces, factor))
     chroms = [c for _, c, _ in sequence_starts(bins)]
     offsets = small_table(bins.sparkSession, [(c, *p) for c, p in zip(chroms, pieces)], "chrom_id int, _old long, _new long")
-    return bins.join(offsets, "chrom_id").select("bin_id", (F.col("_new") + F.expr(f"(bin_id - _old) div {factor}")).alias("new_id"))
+    return bins.join(offsets, "chrom_id").withColumn("new_id", F.col("_new") + F.expr(f"(bin_id - _old) div {factor}"))
+
+
+def coarse_id(bins: DataFrame, factor: int) -> DataFrame:
+    """(bin_id, new_id): each sequence's bins in groups of ``factor``."""
+    return _with_coarse_id(bins, factor).select("bin_id", "new_id")
 
 
 def coarsen_bins(bins: DataFrame, factor: int) -> DataFrame:
     """Bins of ``factor`` consecutive ones, the last of a sequence of what is left."""
-    grouped = bins.join(coarse_id(bins, factor), "bin_id").groupBy("new_id", "chrom_id", "chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    grouped = _with_coarse_id(bins, factor).groupBy("new_id", "chrom_id", "chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return grouped.select(F.col("new_id").alias("bin_id"), "chrom_id", "chrom", "start", "end")
 
 
