@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.bins import MOST_PIECES, binsize_of, chromsizes_of, piecewise, sequence_starts
 from ..plans.genome import PIXEL_KEYS, small_table
 from ..plans.resolutions import predecessors, quad_tile_depth
+from ..sources.tasks import dealt
 from .ingest import aggregate
 
 #: Integer types in the order in which they widen.
@@ -48,7 +49,7 @@ def merge_pixels(tables: Sequence[DataFrame], columns: Sequence[str] = ("count",
     kinds = {c: common_type([dict(t.dtypes)[c] for t in tables]) for c in columns}
     every = reduce(DataFrame.unionByName, [t.select(*PIXEL_KEYS, *(F.col(c).cast(kinds[c]).alias(c) for c in columns)) for t in tables])
     types = {f.name: f.dataType for f in every.schema}
-    return every.groupBy(*PIXEL_KEYS).agg(*(aggregate(how.get(c, "sum"), c, types[c]).alias(c) for c in columns))
+    return dealt(every, *PIXEL_KEYS).groupBy(*PIXEL_KEYS).agg(*(aggregate(how.get(c, "sum"), c, types[c]).alias(c) for c in columns))
 
 
 def _coarse_pieces(bins: DataFrame, factor: int) -> list[tuple[int, int]]:
@@ -99,8 +100,8 @@ def coarsen_pixels(pixels: DataFrame, bins: DataFrame, factor: int, columns: Seq
         for k in PIXEL_KEYS:
             rows = rows.join(ids.select(F.col("bin_id").alias(k), F.col("new_id").alias(f"_{k}")), k)
     types = {f.name: f.dataType for f in rows.schema}
-    keys = [F.col(f"_{k}").alias(k) for k in PIXEL_KEYS]
-    return rows.groupBy(*keys).agg(*(aggregate(how.get(c, "sum"), c, types[c]).alias(c) for c in columns))
+    rows = dealt(rows.select(*(F.col(f"_{k}").alias(k) for k in PIXEL_KEYS), *columns), *PIXEL_KEYS)
+    return rows.groupBy(*PIXEL_KEYS).agg(*(aggregate(how.get(c, "sum"), c, types[c]).alias(c) for c in columns))
 
 
 Level = tuple[DataFrame, DataFrame]
