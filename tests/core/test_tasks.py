@@ -48,3 +48,95 @@ def test_tasks_follow_the_input(spark, monkeypatch, name):
 def test_small_frames_keep_the_session_settings(spark):
     assert tasks.tasks_for(spark.read.parquet(str(DATA / "lineitem.parquet"))) is None
     assert tasks.tasks_for(spark.range(10)) is None
+
+
+def pixels_of(spark, rows):
+    return spark.createDataFrame(rows, "bin1_id long, bin2_id long, count long")
+
+
+def test_sorted_files_are_checked_without_a_shuffle(spark, tmp_path):
+    from weftmap.operators.ingest import strictly_rising
+
+    rows = [(a, b, 1) for a in range(40) for b in range(a, 40)]
+    parts = {"rising": [rows[:500], rows[500:]], "swapped": [rows[500:], rows[:500]], "inside": [[*rows[:9], rows[8], *rows[9:]]], "between": [rows[:500], rows[499:]], "unsorted": [[*rows[100:], *rows[:101]]], "overlapping": [rows[::2], rows[1::2]]}
+    found = {}
+    for name, files in parts.items():
+        for part in files:
+            pixels_of(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        found[name] = strictly_rising(spark.read.parquet(str(tmp_path / name)))
+    pixels_of(spark, [(1, 2, 1), (None, 3, 1)]).coalesce(1).write.parquet(str(tmp_path / "null"))
+    found["null"] = strictly_rising(spark.read.parquet(str(tmp_path / "null")))
+    assert found == {"rising": True, "swapped": True, "inside": False, "between": False, "unsorted": False, "overlapping": False, "null": False}
+
+
+@pytest.fixture
+def plans(spark, monkeypatch):
+    """The shuffles of pixels by hash that a stored matrix needs are counted by the checks it runs."""
+    from weftmap.operators import ingest
+
+    asked = []
+    real = ingest.duplicate_pixels
+    monkeypatch.setattr(ingest, "duplicate_pixels", lambda p: asked.append(1) or real(p))
+    return asked
+
+
+def test_stored_pixels_are_sorted_in_ranges_and_refused_when_repeated(spark, tmp_path, monkeypatch, plans):
+    from weftmap.functions.bins import binnify
+    from weftmap.operators.ingest import InvalidPairs
+    from weftmap.plans.genome import Genome
+    from weftmap.sources import collection as C
+
+    genome = Genome.of({"a": 100, "b": 60})
+    bins, rows = binnify(spark, genome, 2), [(a, b, 1) for a in range(80) for b in range(a, 80, 2)]
+    monkeypatch.setattr(C, "SORTED_ROWS", len(rows) // 9)
+    m = C.create(str(tmp_path / "m"), bins, pixels_of(spark, rows[::-1]), genome=genome)
+    assert m.pixels_frame.count() == len(rows) and not plans  # no second shuffle of all pixels
+    assert len(list((tmp_path / "m/pixels").glob("part-*"))) >= 9
+    with pytest.raises(InvalidPairs, match="more than once"):
+        C.create(str(tmp_path / "n"), bins, pixels_of(spark, [*rows, rows[7]]), genome=genome)
+    with pytest.raises(InvalidPairs, match="out of bounds"):
+        C.create(str(tmp_path / "n"), bins, pixels_of(spark, [*rows, (5, 80, 1)]), genome=genome)
+    assert not (tmp_path / "n").exists()
+
+
+def test_base_of_a_pyramid_is_copied_and_still_checked(spark, tmp_path):
+    from weftmap.functions.bins import binnify
+    from weftmap.operators.ingest import InvalidPairs
+    from weftmap.plans.genome import Genome
+    from weftmap.sources import collection as C
+
+    genome = Genome.of({"a": 40, "b": 60})
+    rows = [(a, b, a + 1) for a in range(50) for b in range(a, 50, 3)]
+    m = C.create(str(tmp_path / "m"), binnify(spark, genome, 2), pixels_of(spark, rows), genome=genome)
+    assert C.zoomify(spark, [m.uri], str(tmp_path / "z"), [4]) == ["/resolutions/2", "/resolutions/4"]
+    names = lambda p: sorted(f.name for f in p.glob("part-*.parquet"))
+    assert names(tmp_path / "m/pixels") == names(tmp_path / "z/resolutions/2/pixels")
+    base = C.ContactMatrix(spark, f"{tmp_path}/z::/resolutions/2")
+    assert sorted(map(tuple, base.pixels_frame.collect())) == sorted(rows) and base.info["sum"] == sum(r[2] for r in rows)
+    loose = C.create(str(tmp_path / "l"), binnify(spark, genome, 2), pixels_of(spark, [*rows, (3, 99, 1)]), genome=genome, bounds=False)
+    with pytest.raises(InvalidPairs, match="out of bounds"):
+        C.zoomify(spark, [loose.uri], str(tmp_path / "y"), [4])
+
+
+def test_rows_count_where_bytes_are_few(spark, tmp_path, monkeypatch):
+    spark.range(2_000_000).selectExpr("id div 1000 as bin1_id").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(tasks, "_COUNTED", 1000)
+    monkeypatch.setattr(tasks, "TASK_ROWS", 100_000)
+    assert sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet")) < tasks.TASK_BYTES
+    assert tasks.tasks_for(t) == 20 and tasks.tasks_for(t.union(t)) == 40
+    assert tasks.dealt(t, "bin1_id").rdd.getNumPartitions() == 20
+
+
+def test_dump_is_in_order_from_many_tasks(spark, tmp_path, monkeypatch):
+    from weftmap.functions.bins import binnify
+    from weftmap.plans.genome import Genome
+    from weftmap.sources import collection as C
+
+    genome = Genome.of({"a": 100, "b": 60})
+    rows = [(a, b, 1) for a in range(80) for b in range(a, 80, 2)]
+    m = C.create(str(tmp_path / "m"), binnify(spark, genome, 2), pixels_of(spark, rows), genome=genome)
+    monkeypatch.setattr(tasks, "TASK_BYTES", 100)
+    found = m.dump(region="a", join=True)
+    assert found.rdd.getNumPartitions() > 9
+    assert [(r["start1"] // 2, r["start2"] // 2) for r in found.collect()] == [r[:2] for r in rows if r[1] < 50]
