@@ -140,3 +140,16 @@ def test_dump_is_in_order_from_many_tasks(spark, tmp_path, monkeypatch):
     found = m.dump(region="a", join=True)
     assert found.rdd.getNumPartitions() > 9
     assert [(r["start1"] // 2, r["start2"] // 2) for r in found.collect()] == [r[:2] for r in rows if r[1] < 50]
+
+
+def test_streamed_batches_follow_the_input(spark, monkeypatch):
+    from weftmap.streaming import ingest as S
+
+    size = (DATA / "lineitem.parquet").stat().st_size
+    monkeypatch.setattr(tasks, "TASK_BYTES", size // 10)
+    asked = []
+    real = S.dealt
+    monkeypatch.setattr(S, "dealt", lambda df, *keys: asked.append(tasks.tasks_for(df)) or real(df, *keys))
+    found = catalog.queries()["stream_counts"](spark, str(DATA))
+    equals_sql("stream_counts", found)
+    assert len(asked) == 2 and asked[0]  # a batch's text has a known size

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ingest import sanitize_records
 from ..plans.genome import PIXEL_KEYS, Genome, small_table
+from ..sources.tasks import dealt
 
 
 def stream_pairs(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
@@ -39,11 +40,11 @@ def fold_batches(pairs: DataFrame, genome: Genome, binsize: int, folder: str, ch
 
     def one(batch: DataFrame, number: int) -> None:
         rows = _placed(batch, genome, binsize, **options)
-        rows.groupBy(*PIXEL_KEYS).agg(F.count(F.lit(1)).alias("count")).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        dealt(rows, *PIXEL_KEYS).groupBy(*PIXEL_KEYS).agg(F.count(F.lit(1)).alias("count")).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return pairs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
 
 
 def folded(spark: SparkSession, folder: str) -> DataFrame:
     """The sum of all batches."""
-    return spark.read.parquet(folder).groupBy(*PIXEL_KEYS).agg(F.sum("count").alias("count"))
+    return dealt(spark.read.parquet(folder), *PIXEL_KEYS).groupBy(*PIXEL_KEYS).agg(F.sum("count").alias("count"))
