@@ -153,3 +153,21 @@ def test_streamed_batches_follow_the_input(spark, monkeypatch):
     found = catalog.queries()["stream_counts"](spark, str(DATA))
     equals_sql("stream_counts", found)
     assert len(asked) == 2 and asked[0]  # a batch's text has a known size
+
+
+def test_levels_of_a_pyramid_do_not_compute_the_bins_again(spark, monkeypatch):
+    from weftmap.functions.bins import binnify, sequence_starts
+    from weftmap.operators import reduce as R
+    from weftmap.plans.genome import Genome
+
+    bins = binnify(spark, Genome.of({"a": 90, "b": 34, "c": 7}), 2)
+    asked = []
+    monkeypatch.setattr(R, "sequence_starts", lambda b: asked.append(1) or sequence_starts(b))
+    levels = R.zoom_levels(bins, pixels_of(spark, [(a, b, 1) for a in range(66) for b in range(a, 66, 5)]), tile=2)
+    assert len(levels) > 4 and asked == [1]
+    assert R.coarser_starts(sequence_starts(bins), 4) == sequence_starts(R.coarsen_bins(R.coarsen_bins(bins, 2), 2))
+    for up in range(1, 4):
+        bins_up, pixels_up = levels[max(levels) - up]
+        ids = {r[0] for r in bins_up.select("bin_id").collect()}
+        assert ids == set(range(len(ids))) and {r[0] for r in pixels_up.select("bin1_id").collect()} <= ids
+        assert pixels_up.groupBy().sum("count").first()[0] == sum(len(range(a, 66, 5)) for a in range(66))

@@ -52,51 +52,61 @@ def merge_pixels(tables: Sequence[DataFrame], columns: Sequence[str] = ("count",
     return dealt(every, *PIXEL_KEYS).groupBy(*PIXEL_KEYS).agg(*(aggregate(how.get(c, "sum"), c, types[c]).alias(c) for c in columns))
 
 
-def _coarse_pieces(bins: DataFrame, factor: int) -> list[tuple[int, int]]:
-    """(first bin, first coarser bin) of every sequence: each one's bins go in groups of ``factor``."""
+Starts = list[tuple[int, int, int]]
+
+
+def coarser_starts(starts: Starts, factor: int) -> Starts:
+    """(first bin, chrom_id, number of bins) of every sequence when its bins go in groups of ``factor``: what the coarser bins have, without computing them."""
     first, out = 0, []
-    for old, _, n in sequence_starts(bins):
-        out.append((old, first))
-        first += -(-n // factor)
+    for _, chrom, n in starts:
+        out.append((first, chrom, -(-n // factor)))
+        first += out[-1][2]
     return out
 
 
+def _coarse_pieces(starts: Starts, factor: int) -> list[tuple[int, int]]:
+    """(first bin, first coarser bin) of every sequence."""
+    return [(old, new) for (old, *_), (new, *_) in zip(starts, coarser_starts(starts, factor))]
+
+
 def _coarser(column: str, pieces: list[tuple[int, int]], factor: int) -> Column:
     return piecewise(F.col(column), [(old, F.expr(f"{new}L + (`{column}` - {old}L) div {factor}")) for old, new in pieces])
 
 
-def _with_coarse_id(bins: DataFrame, factor: int) -> DataFrame:
+def _with_coarse_id(bins: DataFrame, factor: int, starts: Starts | None = None) -> DataFrame:
     """``bins`` with ``new_id``. The table occurs once in the plan, so that levels made from each other grow it by a step each instead of doubling it."""
-    pieces = _coarse_pieces(bins, factor)
+    starts = sequence_starts(bins) if starts is None else starts
+    pieces = _coarse_pieces(starts, factor)
     if 0 < len(pieces) <= MOST_PIECES:
         return bins.withColumn("new_id", _coarser("bin_id", pieces, factor))
-    chroms = [c for _, c, _ in sequence_starts(bins)]
+    chroms = [c for _, c, _ in starts]
     offsets = small_table(bins.sparkSession, [(c, *p) for c, p in zip(chroms, pieces)], "chrom_id int, _old long, _new long")
     return bins.join(offsets, "chrom_id").withColumn("new_id", F.col("_new") + F.expr(f"(bin_id - _old) div {factor}"))
 
 
-def coarse_id(bins: DataFrame, factor: int) -> DataFrame:
+def coarse_id(bins: DataFrame, factor: int, starts: Starts | None = None) -> DataFrame:
     """(bin_id, new_id): each sequence's bins in groups of ``factor``."""
-    return _with_coarse_id(bins, factor).select("bin_id", "new_id")
+    return _with_coarse_id(bins, factor, starts).select("bin_id", "new_id")
 
 
-def coarsen_bins(bins: DataFrame, factor: int) -> DataFrame:
-    """Bins of ``factor`` consecutive ones, the last of a sequence of what is left."""
-    grouped = _with_coarse_id(bins, factor).groupBy("new_id", "chrom_id", "chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+def coarsen_bins(bins: DataFrame, factor: int, starts: Starts | None = None) -> DataFrame:
+    """Bins of ``factor`` consecutive ones, the last of a sequence of what is left. ``starts`` are the bins' :func:`sequence_starts`, where known."""
+    grouped = _with_coarse_id(bins, factor, starts).groupBy("new_id", "chrom_id", "chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return grouped.select(F.col("new_id").alias("bin_id"), "chrom_id", "chrom", "start", "end")
 
 
-def coarsen_pixels(pixels: DataFrame, bins: DataFrame, factor: int, columns: Sequence[str] = ("count",), how: Mapping[str, object] | None = None) -> DataFrame:
+def coarsen_pixels(pixels: DataFrame, bins: DataFrame, factor: int, columns: Sequence[str] = ("count",), how: Mapping[str, object] | None = None, starts: Starts | None = None) -> DataFrame:
     """Pixels of the coarser bins, values aggregated (summed by default).
 
     The new ids follow from the old by arithmetic on the sequences' first bins, or by joins with the bin table if there are many sequences.
     """
     how = dict(how or {})
-    pieces, rows = _coarse_pieces(bins, factor), pixels.select(*PIXEL_KEYS, *columns)
+    starts = sequence_starts(bins) if starts is None else starts
+    pieces, rows = _coarse_pieces(starts, factor), pixels.select(*PIXEL_KEYS, *columns)
     if 0 < len(pieces) <= MOST_PIECES:
         rows = rows.withColumns({f"_{k}": _coarser(k, pieces, factor) for k in PIXEL_KEYS})
     else:
-        ids = coarse_id(bins, factor)
+        ids = coarse_id(bins, factor, starts)
         for k in PIXEL_KEYS:
             rows = rows.join(ids.select(F.col("bin_id").alias(k), F.col("new_id").alias(f"_{k}")), k)
     types = {f.name: f.dataType for f in rows.schema}
@@ -128,8 +138,9 @@ def zoom_levels(bins: DataFrame, pixels: DataFrame, columns: Sequence[str] = ("c
     if size is None:
         raise ValueError("the pyramid needs fixed bins")
     depth = quad_tile_depth(chromsizes_of(bins).total, size, tile)
-    out = {depth: keep(depth, (bins, pixels))}
+    out, starts = {depth: keep(depth, (bins, pixels))}, sequence_starts(bins)
     for level in range(depth - 1, -1, -1):
         bins, pixels = out[level + 1]
-        out[level] = keep(level, (coarsen_bins(bins, 2), coarsen_pixels(pixels, bins, 2, columns, how)))
+        out[level] = keep(level, (coarsen_bins(bins, 2, starts), coarsen_pixels(pixels, bins, 2, columns, how, starts)))
+        starts = coarser_starts(starts, 2)
     return out
