@@ -155,6 +155,24 @@ def test_streamed_batches_follow_the_input(spark, monkeypatch):
     assert len(asked) == 2 and asked[0]  # a batch's text has a known size
 
 
+def test_median_by_places_leaves_no_maps(spark):
+    from statistics import median
+
+    from weftmap.operators.ingest import aggregate_records
+
+    nan = float("nan")
+    rows = [(0, 0, 4.0, 7), (0, 0, 1.0, None), (0, 0, nan, 2), (0, 1, 3.0, 5), (0, 1, 9.0, 5), (0, 1, 2.0, 5), (1, 1, nan, None), (1, 1, None, None), (1, 2, 1.5, -3)]
+    found = aggregate_records(spark.createDataFrame(rows, "bin1_id long, bin2_id long, x double, k int"), {"x": "median", "k": "median"})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "percentile" not in plan
+    want = {}
+    for a, b, x, k in rows:
+        xs, ks = want.setdefault((a, b), ([], []))
+        xs += [] if x is None or x != x else [x]
+        ks += [] if k is None else [k]
+    assert {(r[0], r[1]): (r["x"], r["k"]) for r in found.collect()} == {p: tuple(median(v) if v else None for v in both) for p, both in want.items()}
+
+
 def test_levels_of_a_pyramid_do_not_compute_the_bins_again(spark, monkeypatch):
     from weftmap.functions.bins import binnify, sequence_starts
     from weftmap.operators import reduce as R
