@@ -155,6 +155,27 @@ def test_streamed_batches_follow_the_input(spark, monkeypatch):
     assert len(asked) == 2 and asked[0]  # a batch's text has a known size
 
 
+def test_sums_step_over_all_bins_once_for_as_many_pixels(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from weftmap.operators import balance as BL
+
+    rng, n = np.random.default_rng(1), 300_000
+    a, b, v, w = rng.integers(0, n, 20_000), rng.integers(0, n, 20_000), rng.random(20_000), rng.random(n)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 100]) for x in (a, b, v)], names=["bin1_id", "bin2_id", "_v"]) for i in range(0, 20_000, 100)]
+    calls, real = [], np.bincount
+    monkeypatch.setattr(BL.np, "bincount", lambda *x, **y: calls.append(1) or real(*x, **y))
+    found = BL._added(iter(batches), n, w, "_v")
+    assert len(calls) == 2
+    want = np.zeros(n)
+    np.add.at(want, a, v * w[a] * w[b])
+    np.add.at(want, b, v * w[a] * w[b])
+    assert np.allclose(found, want)
+    monkeypatch.setattr(BL, "_LEAST_ADDED", 10)
+    assert np.allclose(BL._added(iter(batches[:7]), n, None, "_v").sum(), 2 * v[:700].sum())
+
+
 def test_median_by_places_leaves_no_maps(spark):
     from statistics import median
 
